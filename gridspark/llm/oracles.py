@@ -1,0 +1,71 @@
+"""DuckDB SQL that states what the queries return, without their methods."""
+
+DECONTAMINATION = r"""
+WITH d0 AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+i0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i1 AS (SELECT item_id, w, least(len(w), 5) AS k FROM i0 WHERE len(w) > 0),
+ish AS (SELECT item_id, k, len(w) - k + 1 AS m, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS s FROM i1),
+ks AS (SELECT DISTINCT k FROM i1),
+d1 AS (SELECT doc_id, k, len(w) - k + 1 AS size, list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' ')) AS h FROM d0, ks WHERE len(w) >= k),
+dsh AS (SELECT doc_id, k, size, unnest(h) AS s, unnest(range(0, size)) AS pos FROM d1),
+cand AS (SELECT DISTINCT doc_id, item_id, ish.k, m, size FROM dsh JOIN ish ON dsh.s = ish.s AND dsh.k = ish.k),
+win AS (SELECT doc_id, item_id, k, m, size, least(m, size) AS n, unnest(range(0, size - least(m, size) + 1)) AS start FROM cand),
+wc AS (SELECT win.doc_id, win.item_id, win.k, m, n, start, s, count(*) AS nd FROM win JOIN dsh ON dsh.doc_id = win.doc_id AND dsh.k = win.k AND pos >= start AND pos < start + n GROUP BY ALL),
+ic AS (SELECT item_id, s, count(*) AS ni FROM ish GROUP BY ALL),
+sc AS (SELECT wc.doc_id, wc.item_id, k, m, n, start, sum(least(nd, ni)) AS o FROM wc JOIN ic ON ic.item_id = wc.item_id AND ic.s = wc.s GROUP BY ALL),
+ok AS (SELECT *, o / (m + n - o) AS similarity FROM sc WHERE 175 * o >= 75 * (m + n))
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start_word, CAST(n + k - 1 AS INTEGER) AS n_words, CAST(similarity AS DOUBLE) AS similarity FROM ok
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+SUBSTRINGS = r"""
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT r, doc_id, n, unnest(range(0, greatest(n - 49, 0))) AS pos, x FROM h),
+q AS (SELECT r, doc_id, pos, substr(x, 2 * pos + 1, 100) AS s FROM p),
+g AS (SELECT r, pos, doc_id > min(doc_id) OVER (PARTITION BY s) AS gone FROM q),
+c AS (SELECT r, pos, max(pos + 50) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g WHERE gone),
+i AS (SELECT r, pos, sum(CASE WHEN reach >= pos THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY pos) AS island FROM c),
+s AS (SELECT r, island, min(pos) AS a, max(pos) + 50 AS b FROM i GROUP BY ALL),
+e AS (SELECT r, a, b, lead(a) OVER (PARTITION BY r ORDER BY a) AS nxt, row_number() OVER (PARTITION BY r ORDER BY a) AS k FROM s),
+t AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed FROM s GROUP BY r),
+kept AS (SELECT e.r, string_agg((CASE WHEN k = 1 THEN substr(x, 1, 2 * a) ELSE '' END) || substr(x, 2 * b + 1, 2 * (coalesce(nxt, n) - b)), '' ORDER BY a) AS y FROM e JOIN h ON h.r = e.r GROUP BY e.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM h LEFT JOIN t ON t.r = h.r LEFT JOIN kept ON kept.r = h.r
+"""
+
+JACCARD = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda p: array_to_string(ws[p:p + 4], ' '))) AS s FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT a AS v, a AS r FROM e UNION SELECT reach.v, e.b FROM reach JOIN e ON e.a = reach.r),
+c AS (SELECT v, min(r) AS comp FROM reach GROUP BY v)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(comp, w.doc_id) AS BIGINT) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.v = w.doc_id
+"""
+
+URLS = r"""
+WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(how, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+f AS (SELECT page_id, how, h || q AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC) AS k FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)),
+x AS (SELECT p.page_id, url, host, path, rule, how FROM p LEFT JOIN f ON f.page_id = p.page_id AND k = 1),
+d AS (SELECT url, how, count(*) AS copies FROM x WHERE length(url) > 0 GROUP BY ALL),
+g AS (SELECT url, how, copies, g, count(*) AS n FROM (SELECT url, how, copies, unnest(list_transform(range(1, length(url) + 1), lambda i: substr(repeat(chr(2), 4) || url, i, 5))) AS g FROM d) GROUP BY ALL),
+t AS (SELECT g, sum(CASE WHEN how = 'allow' THEN n * copies ELSE 0 END) AS good, sum(CASE WHEN how = 'block' THEN n * copies ELSE 0 END) AS bad FROM g GROUP BY g),
+s AS (SELECT k, substr(g, 5 - k, k + 1) AS s, sum(good) AS good, sum(bad) AS bad FROM t, range(0, 5) AS o(k) GROUP BY ALL),
+c AS (SELECT k, substr(s, 1, CAST(k AS BIGINT)) AS c, sum(good) AS gn, sum(bad) AS bn, count(*) FILTER (good > 0) AS gt, count(*) FILTER (bad > 0) AS bt FROM s GROUP BY ALL),
+m AS (SELECT s.k, s.s, good, bad, gn, bn, gt, bt FROM s JOIN c ON s.k = c.k AND substr(s.s, 1, CAST(s.k AS BIGINT)) = c.c),
+l0 AS (SELECT g, CASE WHEN gn > 0 THEN (good + gt / 128.0::DOUBLE) / (gn + gt) ELSE 1 / 128.0::DOUBLE END AS a, CASE WHEN bn > 0 THEN (bad + bt / 128.0::DOUBLE) / (bn + bt) ELSE 1 / 128.0::DOUBLE END AS b FROM (SELECT g FROM t) t JOIN m ON m.k = 0 AND m.s = substr(g, 5, 1)),
+l1 AS (SELECT g, CASE WHEN gn > 0 THEN (good + gt * a) / (gn + gt) ELSE a END AS a, CASE WHEN bn > 0 THEN (bad + bt * b) / (bn + bt) ELSE b END AS b FROM l0 JOIN m ON m.k = 1 AND m.s = substr(g, 4, 2)),
+l2 AS (SELECT g, CASE WHEN gn > 0 THEN (good + gt * a) / (gn + gt) ELSE a END AS a, CASE WHEN bn > 0 THEN (bad + bt * b) / (bn + bt) ELSE b END AS b FROM l1 JOIN m ON m.k = 2 AND m.s = substr(g, 3, 3)),
+l3 AS (SELECT g, CASE WHEN gn > 0 THEN (good + gt * a) / (gn + gt) ELSE a END AS a, CASE WHEN bn > 0 THEN (bad + bt * b) / (bn + bt) ELSE b END AS b FROM l2 JOIN m ON m.k = 3 AND m.s = substr(g, 2, 4)),
+l4 AS (SELECT g, CASE WHEN gn > 0 THEN (good + gt * a) / (gn + gt) ELSE a END AS a, CASE WHEN bn > 0 THEN (bad + bt * b) / (bn + bt) ELSE b END AS b FROM l3 JOIN m ON m.k = 4 AND m.s = g),
+z AS (SELECT url, how, copies, sum(n * (ln(a) - ln(b))) / sum(n) AS score FROM g JOIN l4 ON l4.g = g.g GROUP BY ALL),
+v AS (SELECT how, sum(copies * score) / sum(copies) AS mean, sqrt(greatest(0, sum(copies * score * score) / sum(copies) - (sum(copies * score) / sum(copies)) ** 2)) AS sd FROM z WHERE how IS NOT NULL GROUP BY how),
+lim AS (SELECT coalesce(CASE WHEN a.sd + b.sd > 0 THEN (a.mean * b.sd + b.mean * a.sd) / (a.sd + b.sd) ELSE (a.mean + b.mean) / 2 END, 0) AS cut FROM (SELECT 1) LEFT JOIN v a ON a.how = 'allow' LEFT JOIN v b ON b.how = 'block')
+SELECT page_id, host, path, rule, coalesce(x.how, CASE WHEN coalesce(z.score, 0) >= (SELECT cut FROM lim) THEN 'allow' ELSE 'block' END) AS verdict
+FROM x LEFT JOIN z ON z.url = x.url AND z.how IS NULL
+"""
