@@ -19,19 +19,18 @@ from gridspark.llm.common import checkpointed
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is rejected where its language can't be told, or where it is least like any language.
 LEAST_SCORE = 0.2
-_CARRY = ("lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters, and those whose profile has a cosine under LEAST_SCORE with every language."""
-    told = language.identify(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id")
-    return docs.join(told.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    prototypes = language.train(docs.filter(~language.held_out()))
+    return language.predict(docs.select(*COLUMNS), prototypes).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked documents."""
-    grouped = jaccard.join(docs, carry=("text", *_CARRY))
-    return grouped.filter(F.col("doc_id") == F.col("component_id")).select(*COLUMNS)
+    """Keeps the document with the smallest id of each group of linked documents; rows that repeat its id stay with it."""
+    gone = jaccard.join(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

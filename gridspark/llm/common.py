@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of input that a Python worker holds as Python objects at once (one longer row counts alone).
 SLICE_BYTES = 2 << 20
@@ -59,5 +59,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, now and not when the driver's heap fills up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

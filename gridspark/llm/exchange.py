@@ -74,6 +74,15 @@ def unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
     return np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1, 8), step]), dtype=np.uint64), blob[end:]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, so that the planes that all numbers share compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(blob: bytes, dtype=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(dtype).ravel()
+
+
 def message_table(messages: list[Message]) -> pa.Table:
     cols = list(zip(*messages)) if messages else [[], [], [], []]
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, ARROW)], schema=ARROW)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 from .exchange import Layout, Message, back, dealt, first_round, merged, next_round, pack, ranges, total_bytes, unpack
 from .graph import components
 
@@ -159,6 +159,7 @@ def linked_classes(classes: DataFrame) -> DataFrame:
     # A prefix shingle of one class only finds nobody.
     keyed = checkpointed(keyed.join(keyed.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1").select("t"), "t"))
     fragments = checkpointed(_fragments(classes.join(keyed.select("c").distinct(), "c", "left_semi")))
+    release(spark)
     links = tried = None
     comps = spark.createDataFrame([], "v long, comp long")
 
@@ -206,6 +207,7 @@ def linked_classes(classes: DataFrame) -> DataFrame:
 def join(docs: DataFrame, carry: tuple[str, ...] = (), bucket_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, carry...) for each row; component_id is null where doc_id is."""
     rows = checkpointed(profiles(docs, carry, bucket_bytes))
+    release(docs.sparkSession)
     may = rows.filter(F.col("toks").isNotNull() & F.col("doc_id").isNotNull()).withColumn("c", F.xxhash64("sig"))
     least = may.groupBy("c", "sig").agg(F.min("doc_id").alias("d"))
     classes = checkpointed(may.join(least.select("c", "d"), "c").filter(F.col("doc_id") == F.col("d")).select("c", "n", "toks").dropDuplicates(["c"]))

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import slices
 
@@ -140,20 +142,21 @@ def train(df: DataFrame, text: str = "text", label: str = "lang") -> dict[str, n
     return dict(sorted(out.items()))
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) for each row; the score is the cosine, or 0 where that is below 0."""
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """df with lang_pred and score (existing columns of these names are replaced); the score is the cosine, or 0 where that is
+    below 0. The other columns pass through as they are."""
     names = list(prototypes)
     unit = np.stack([v / max(np.linalg.norm(v), 1e-12) for v in prototypes.values()]) if names else np.zeros((0, DIMENSIONS))
-    kind = dict(df.dtypes)[key]
-    src = df.select(key, text)
-    schema = f"`{key}` {kind}, lang_pred string, score double"
-    arrow = pa.schema([(key, pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    src = df.select(*[c for c in df.columns if c not in ("lang_pred", "score")])
+    at = src.columns.index(text)
+    schema = T.StructType([*src.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         vectors = Vectors()
         for part in slices(batches):
             langs, scores = [], []
-            for value in part.column(1).to_pylist():
+            for value in part.column(at).to_pylist():
                 v = vectors.document(value) if value and names else None
                 if v is None:
                     langs.append("und")
@@ -163,7 +166,8 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id
                 best = int(np.argmax(cos))
                 langs.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cos[best]))))
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow[0].type), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=arrow)
+            cols = [c.cast(f.type) for c, f in zip(part.columns, arrow)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=arrow)
 
     return src.mapInArrow(run, schema)
 
@@ -176,4 +180,4 @@ def held_out(key: str = "doc_id"):
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) over a documents table, trained on the rows outside the held-out fold."""
     prototypes = train(docs.filter(~held_out()))
-    return predict(docs, prototypes).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), prototypes).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import Layout, Message, back, dealt, first_round, merged, next_round, pack, ranges, read_messages, total_bytes, unpack  # noqa: F401
+from .exchange import Layout, Message, back, dealt, first_round, merged, next_round, pack, planes, ranges, total_bytes, unpack, unplanes
 
 LENGTH, SEED_BYTES = 50, 24
 SPAN = LENGTH - SEED_BYTES + 1
@@ -164,7 +164,7 @@ def _joined_bits(messages: list[Message], kind: int) -> np.ndarray:
 def _answer_least(kind: int, got: list[Message]) -> list[Message]:
     """To every entry, the least document of its key: a bit says whether it is the entry's own, else the number follows."""
     sent = [unpack(m[3]) for m in got]
-    own = np.concatenate([np.frombuffer(rest, np.int64) for _, rest in sent])
+    own = np.concatenate([unplanes(rest) for _, rest in sent])
     order, begin, counts = merged([k for k, _ in sent])
     least = back(order, counts, np.minimum.reduceat(own[order], begin), [len(k) for k, _ in sent])
     out, at = [], 0
@@ -172,7 +172,7 @@ def _answer_least(kind: int, got: list[Message]) -> list[Message]:
         other = mine != own[at : at + len(mine)]
         at += len(mine)
         # The source of an answer is the range that gave it, so that a bucket can put ranges in order.
-        out.append((m[1], m[0], kind, _bits(other) + mine[other].tobytes()))
+        out.append((m[1], m[0], kind, _bits(other) + planes(mine[other])))
     return out
 
 
@@ -182,7 +182,7 @@ def _read_least(messages: list[Message], kind: int, own: np.ndarray) -> np.ndarr
         if m[2] == kind:
             other, rest = _unbits(m[3])
             part = out[at : at + len(other)]
-            part[other] = np.frombuffer(rest, np.int64)
+            part[other] = unplanes(rest)
             at += len(other)
     return out
 
@@ -235,7 +235,7 @@ def _rounds(docs: DataFrame, layout: Layout, carry: tuple[str, ...], emit, schem
             one = np.where(low == high, low, np.uint64(0))
             out += _send(layout, NAME, b, keys, lambda x, y: one[x:y].tobytes())
             keys2, least, _ = _least_by(whole, bucket.ids[np.concatenate([p[2] for p in parts])])
-            out += _send(layout, RUN, b, keys2, lambda x, y: least[x:y].tobytes())
+            out += _send(layout, RUN, b, keys2, lambda x, y: planes(least[x:y]))
         return message(out)
 
     def rank_runs(r, got):
@@ -269,22 +269,23 @@ def _rounds(docs: DataFrame, layout: Layout, carry: tuple[str, ...], emit, schem
                 gone.append(np.stack([d[x], first[x] - base[x], last[x] - base[x] + LENGTH]))
                 x = rank[part]
                 n = last[x] - first[x] + 1
-                pos = np.repeat(first[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                single.append((np.repeat(d[x], n), pos - np.repeat(base[x], n), string[pos]))
+                single.append((np.stack([d[x], first[x] - base[x], n]), string[spread(first[x], n)]))
         return gone, single
 
-    def together(single):
-        return [np.concatenate([s[i] for s in single]) for i in range(3)] if single else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+    def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """first, first + 1, ... n times for each run."""
+        return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
     def send_strings(b, table, answers):
         bucket = Bucket(table)
         gone, single = judged(bucket, answers)
-        doc, pos, string = together(single)
-        keys, least, _ = _least_by(string, bucket.ids[doc])
-        cover = np.concatenate(gone, axis=1) if gone else np.zeros((3, 0), np.int64)
-        # Strings are looked up again by their place: (document, position) is kept, the name is computed anew.
-        out = [(-1 - b, b, REMOVED, cover.astype(np.int32).tobytes()), (-1 - b, b, SHARED, np.stack([doc, pos]).astype(np.int32).tobytes())]
-        out += _send(layout, STRING, b, keys, lambda x, y: least[x:y].tobytes())
+        none = np.zeros((3, 0), np.int64)
+        run, cover = (np.concatenate([none, *x], axis=1) for x in ([s[0] for s in single], gone))
+        string = np.concatenate([np.zeros(0, np.uint64), *[s[1] for s in single]])
+        keys, least, _ = _least_by(string, bucket.ids[np.repeat(run[0], run[2])])
+        # Strings are looked up again by their place: the runs are kept, the names are computed anew.
+        out = [(-1 - b, b, REMOVED, cover.astype(np.int32).tobytes()), (-1 - b, b, SHARED, run.astype(np.int32).tobytes())]
+        out += _send(layout, STRING, b, keys, lambda x, y: planes(least[x:y]))
         return message(out)
 
     def rank_strings(r, got):
@@ -293,9 +294,9 @@ def _rounds(docs: DataFrame, layout: Layout, carry: tuple[str, ...], emit, schem
     def finish(b, table, answers):
         bucket = Bucket(table)
         cover = [np.frombuffer(m[3], np.int32).reshape(3, -1).astype(np.int64) for m in answers if m[2] == REMOVED]
-        where = [np.frombuffer(m[3], np.int32).reshape(2, -1).astype(np.int64) for m in answers if m[2] == SHARED]
+        where = [np.frombuffer(m[3], np.int32).reshape(3, -1).astype(np.int64) for m in answers if m[2] == SHARED]
         if where and where[0].shape[1]:
-            doc, pos = where[0]
+            doc, pos = np.repeat(where[0][0], where[0][2]), spread(where[0][1], where[0][2])
             string, at = np.empty(len(doc), np.uint64), 0
             for c in bucket.chunks():
                 end = int(np.searchsorted(doc, c.first + len(c.start)))
