@@ -159,6 +159,7 @@ def linked_classes(classes: DataFrame) -> DataFrame:
     # A prefix shingle of one class only finds nobody.
     keyed = checkpointed(keyed.join(keyed.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1").select("t"), "t"))
     fragments = checkpointed(_fragments(classes.join(keyed.select("c").distinct(), "c", "left_semi")))
+    del classes
     release(spark)
     links = tried = None
     comps = spark.createDataFrame([], "v long, comp long")
@@ -210,7 +211,13 @@ def join(docs: DataFrame, carry: tuple[str, ...] = (), bucket_bytes: int | None
     release(docs.sparkSession)
     may = rows.filter(F.col("toks").isNotNull() & F.col("doc_id").isNotNull()).withColumn("c", F.xxhash64("sig"))
     least = may.groupBy("c", "sig").agg(F.min("doc_id").alias("d"))
-    classes = checkpointed(may.join(least.select("c", "d"), "c").filter(F.col("doc_id") == F.col("d")).select("c", "n", "toks").dropDuplicates(["c"]))
-    of = least.join(linked_classes(classes), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    least = checkpointed(least)
+    one = [checkpointed(may.join(least.select("c", "d"), "c").filter(F.col("doc_id") == F.col("d")).select("c", "n", "toks").dropDuplicates(["c"]))]
+    # From here on the documents' shingles aren't needed any more, only the classes', and those only until they are cut.
+    rows = checkpointed(rows.drop("toks"))
+    del may
+    release(docs.sparkSession)
+    found = linked_classes(one.pop())
+    of = least.join(found, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     label = of.join(of.groupBy("comp").agg(F.min("d").alias("least_id")), "comp").select("sig", "least_id")
     return rows.join(label, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least_id", "doc_id")).alias("component_id"), *carry)
