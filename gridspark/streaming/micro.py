@@ -35,8 +35,10 @@ def sessions(rows: DataFrame, at: str, key: str, gap: str = "30 minutes") -> Dat
     return rows.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def freshness_state(rows: DataFrame, key: str, at: str, timeout_ms: int = 3_600_000) -> DataFrame:
-    """(key, latest, n) updates: the newest event time and the number of events of each key so far."""
+def freshness_state(rows: DataFrame, key: str, at: str, idle_ms: int | None = None) -> DataFrame:
+    """(key, latest, n) updates: the newest event time and the number of events of each key so far. With idle_ms, a key's state
+    goes once the watermark is that far beyond its newest event. (A timeout by the clock would keep a run that takes what is
+    available from ever ending.)"""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,11 +51,12 @@ def freshness_state(rows: DataFrame, key: str, at: str, timeout_ms: int = 3_600_
             latest = top if latest is None else latest if top is None else max(latest, top)
             n += len(pdf)
         state.update((latest, n))
-        state.setTimeoutDuration(timeout_ms)
+        if idle_ms is not None and latest is not None:
+            state.setTimeoutTimestamp(max(latest // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], "latest": [pd.Timestamp(latest, unit="us") if latest is not None else pd.NaT], "n": [n]})
 
     kind = dict(rows.dtypes)[key]
-    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, latest timestamp, n long", "latest long, n long", "update", "ProcessingTimeTimeout")
+    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, latest timestamp, n long", "latest long, n long", "update", "NoTimeout" if idle_ms is None else "EventTimeTimeout")
 
 
 def run_once(rows: DataFrame, path: str, checkpoint: str, mode: str = "append", kind: str = "parquet") -> StreamingQuery:
