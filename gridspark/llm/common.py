@@ -60,12 +60,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Keeps the driver's heap small in loops that plan many jobs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more, now and not when the driver's heap fills up.
 
     The first collection finds the plans, the next what they alone referred to; the cleaner works in between.
     """
     for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        collect_garbage(spark)
         time.sleep(0.3)

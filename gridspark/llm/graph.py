@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, collect_garbage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,12 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "comp"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("near"))
-        hooked = labels.join(near, "v").select("v", "comp", F.least("comp", "near").alias("low"))
+        near = both.join(labels.select(F.col("v").alias("b"), "comp"), "b").select(F.col("a").alias("v"), "comp", F.lit(None).cast("long").alias("was"))
+        low = near.unionByName(labels.withColumn("was", F.col("comp"))).groupBy("v").agg(F.min("comp").alias("low"), F.max("was").alias("was"))
         # A label's own label is no larger, so the jump can only lower it.
         jump = labels.select(F.col("v").alias("low"), F.col("comp").alias("far"))
-        after = checkpointed(hooked.join(jump, "low", "left").select("v", F.least("low", F.coalesce("far", "low")).alias("comp"), F.col("comp").alias("was")))
-        changed = after.filter("comp < was").limit(1).count()
+        after = checkpointed(low.join(jump, "low", "left").select("v", F.least("low", F.coalesce("far", "low")).alias("comp"), "was"))
         labels = after.select("v", "comp")
-        if not changed:
+        if after.filter("comp < was").isEmpty():
             return labels
+        collect_garbage(edges.sparkSession)

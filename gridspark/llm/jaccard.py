@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release
+from .common import checkpointed, collect_garbage, release
 from .exchange import Layout, Message, back, dealt, first_round, merged, next_round, pack, ranges, total_bytes, unpack
 from .graph import components
 
 WORDS, LEAST = 5, 75
 #: Parts that the global order is cut into; rounds with leaders before the exhaustive one.
 FRAGMENTS, LEADER_ROUNDS = 8, 3
+#: Pairs per (shingle, class) up to which listing them all costs no more than another round.
+FEW = 2
 _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -176,32 +178,38 @@ def linked_classes(classes: DataFrame) -> DataFrame:
         comps = components(links)
         return True
 
+    def pairs_left() -> tuple[int, int]:
+        """How many (shingle, pair of classes in different components) there are, and how many (shingle, class)."""
+        per = labelled(keyed).groupBy("t", "comp").agg(F.count("*").alias("k")).groupBy("t").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+        left, rows = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).collect()[0]
+        return int(left or 0), int(rows or 0)
+
+    def ordered_pairs(rows: DataFrame) -> DataFrame:
+        """Distinct (a, b, na, nb) with a < b, of fitting sizes, that weren't verified yet, from (c, n, oc, on)."""
+        swap = F.col("c") < F.col("oc")
+        out = rows.filter(_fits(F.col("n"), F.col("on"))).select(
+            F.when(swap, F.col("c")).otherwise(F.col("oc")).alias("a"), F.when(swap, F.col("oc")).otherwise(F.col("c")).alias("b"),
+            F.when(swap, F.col("n")).otherwise(F.col("on")).alias("na"), F.when(swap, F.col("on")).otherwise(F.col("n")).alias("nb")).distinct()
+        return checkpointed(out if tried is None else out.join(tried, ["a", "b"], "left_anti"))
+
     for i in range(LEADER_ROUNDS):
+        left, size = pairs_left()
+        if left <= FEW * size:
+            break
         now = labelled(keyed)
         first = F.col("c") if i == 0 else F.xxhash64("c", F.lit(i))
-        leader = now.groupBy("t").agg(F.min(F.struct(first.alias("o"), "c", "n", "comp")).alias("l"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("t", F.col("l.c").alias("lc"), F.col("l.n").alias("ln"), F.col("l.comp").alias("lcomp"))
-        ordered = F.col("c") < F.col("lc")
-        pairs = now.join(leader, "t").filter((F.col("comp") != F.col("lcomp")) & _fits(F.col("n"), F.col("ln"))).select(
-            F.when(ordered, F.col("c")).otherwise(F.col("lc")).alias("a"), F.when(ordered, F.col("lc")).otherwise(F.col("c")).alias("b"),
-            F.when(ordered, F.col("n")).otherwise(F.col("ln")).alias("na"), F.when(ordered, F.col("ln")).otherwise(F.col("n")).alias("nb")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        if pairs.isEmpty():
-            break
+        leader = now.groupBy("t").agg(F.min(F.struct(first.alias("o"), "c", "n", "comp")).alias("l"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("t", F.col("l.c").alias("oc"), F.col("l.n").alias("on"), F.col("l.comp").alias("other"))
+        pairs = ordered_pairs(now.join(leader, "t").filter(F.col("comp") != F.col("other")))
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         if not merge(pairs):
             break
+        collect_garbage(spark)
     # The exact rest: pairs of sets that share a prefix shingle, are in different components, and weren't verified yet.
-    now = labelled(keyed)
-    open_keys = now.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("t")
-    rest = checkpointed(now.join(open_keys, "t"))
-    if not rest.isEmpty():
-        other = rest.select("t", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("other"))
-        pairs = rest.withColumnsRenamed({"c": "a", "n": "na"}).join(other, "t").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("other")) & _fits(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        merge(checkpointed(pairs))
+    if pairs_left()[0]:
+        now = labelled(keyed)
+        rest = now.join(now.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("t"), "t")
+        other = rest.select("t", F.col("c").alias("oc"), F.col("n").alias("on"), F.col("comp").alias("other"))
+        merge(ordered_pairs(rest.join(other, "t").filter((F.col("c") < F.col("oc")) & (F.col("comp") != F.col("other")))))
     return comps.withColumnRenamed("v", "c")
 
 

@@ -376,6 +376,8 @@ def test_jaccard_exhaustive_round_alone(spark, monkeypatch):
         base[rng.randrange(55)] = f"n{i}"
     want = groups_by_hand(rows)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs_of(spark, rows)).collect()) == want
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs_of(spark, rows)).collect()) == want
     monkeypatch.setattr(jaccard, "LEADER_ROUNDS", 0)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs_of(spark, rows)).collect()) == want
 
