@@ -17,14 +17,15 @@ from gridspark.llm import bpe, decontamination, jaccard, language, substrings
 from gridspark.llm.common import checkpointed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document is rejected where its language can't be told, or where it is least like any language.
-LEAST_SCORE = 0.2
+#: A document is rejected where it has no letters, or where it is like no language though it is long enough to tell.
+LEAST_SCORE, LONG_ENOUGH = 0.15, 100
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters, and those whose profile has a cosine under LEAST_SCORE with every language."""
+    """Rejects documents without letters, and those of LONG_ENOUGH characters whose profile has a cosine under LEAST_SCORE with
+    every language; too short a text isn't held against a document."""
     prototypes = language.train(docs.filter(~language.held_out()))
-    return language.predict(docs.select(*COLUMNS), prototypes).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return language.predict(docs.select(*COLUMNS), prototypes).filter((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_SCORE) | (F.length("text") < LONG_ENOUGH))).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
