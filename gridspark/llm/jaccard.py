@@ -184,12 +184,20 @@ def linked_classes(classes: DataFrame) -> DataFrame:
         left, rows = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).collect()[0]
         return int(left or 0), int(rows or 0)
 
-    def ordered_pairs(rows: DataFrame) -> DataFrame:
-        """Distinct (a, b, na, nb) with a < b, of fitting sizes, that weren't verified yet, from (c, n, oc, on)."""
+    def ordered_pairs(rows: DataFrame, every: bool = False) -> DataFrame:
+        """Distinct (a, b, na, nb) with a < b, of fitting sizes, that weren't verified yet, from (c, n, oc, on).
+
+        If rows hold every shared prefix shingle of a pair, pairs that share too few are left out: what two sets share beyond the
+        prefix that ends first is in the rest of its set, so the overlap is at most the shared prefix shingles and that rest.
+        """
         swap = F.col("c") < F.col("oc")
         out = rows.filter(_fits(F.col("n"), F.col("on"))).select(
             F.when(swap, F.col("c")).otherwise(F.col("oc")).alias("a"), F.when(swap, F.col("oc")).otherwise(F.col("c")).alias("b"),
-            F.when(swap, F.col("n")).otherwise(F.col("on")).alias("na"), F.when(swap, F.col("on")).otherwise(F.col("n")).alias("nb")).distinct()
+            F.when(swap, F.col("n")).otherwise(F.col("on")).alias("na"), F.when(swap, F.col("on")).otherwise(F.col("n")).alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+        if every:
+            rest = F.floor((LEAST * F.greatest("na", "nb") + 99) / 100) - 1
+            out = out.filter((100 + LEAST) * (F.col("k") + rest) >= LEAST * (F.col("na") + F.col("nb")))
+        out = out.drop("k")
         return checkpointed(out if tried is None else out.join(tried, ["a", "b"], "left_anti"))
 
     for i in range(LEADER_ROUNDS):
@@ -209,7 +217,7 @@ def linked_classes(classes: DataFrame) -> DataFrame:
         now = labelled(keyed)
         rest = now.join(now.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("t"), "t")
         other = rest.select("t", F.col("c").alias("oc"), F.col("n").alias("on"), F.col("comp").alias("other"))
-        merge(ordered_pairs(rest.join(other, "t").filter((F.col("c") < F.col("oc")) & (F.col("comp") != F.col("other")))))
+        merge(ordered_pairs(rest.join(other, "t").filter((F.col("c") < F.col("oc")) & (F.col("comp") != F.col("other"))), every=True))
     return comps.withColumnRenamed("v", "c")
 
 
