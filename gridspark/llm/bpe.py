@@ -115,7 +115,7 @@ class WordBpe:
         """Normalised text, cut at white space."""
         text = unicodedata.normalize("NFC", text)
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return _SPACE_RUN.split(text) if _OTHER_SPACE.search(text) else text.split()
+        return list(filter(None, _SPACE_RUN.split(text))) if _OTHER_SPACE.search(text) else text.split()
 
     def spans(self, text: str):
         """(special?, string) pieces of a raw text."""
