@@ -8,11 +8,11 @@ LEAST % or more.
 1. A leak shares shingles with its item, so shingles of documents meet those of the items first. Sliding a window to the right
    until its first shingle is one of the item's never lowers its similarity, so windows that begin at such a place suffice, and
    of these only those that hold as many of the item's shingles as the threshold asks for.
-2. These item-sized windows and the items get a SimHash of BITS bits over their weighted shingles. Fingerprints are cut into
-   RADIUS + 1 blocks; within RADIUS, at least one block must agree (pigeonhole), so an equi-join per block misses none.
-3. The exact similarity decides. Each (document, item) is reported once, with its best and then first window.
+2. The exact similarity of each of these item-sized windows decides. Each (document, item) is reported once, with its best and
+   then first window.
 
-RADIUS is over four standard deviations beyond the distance that SimHash gives bags at the threshold.
+No fingerprint stands between the two: the SimHash of a bag follows its most frequent shingles, so a window at the threshold that
+lacks or replaces a repeated shingle can be at any distance, and no radius keeps all leaks.
 
 Null texts, texts without words and items without words have no leaks. A null id is never reported. Rows that repeat an id are
 reported once. Ties between windows go to the earliest. Extra columns aren't read. Work for an item that many documents hold is
@@ -28,9 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE, LEAST = 5, 75
+#: The cut of a fingerprint; the search does without fingerprints.
 BITS, RADIUS = 63, 24
-#: Three counters of 21 bits share a long, so a bag may hold up to two million shingles.
-_LANES = 1 | 1 << 21 | 1 << 42
 
 
 def words(text: str = "text") -> Column:
@@ -51,24 +50,12 @@ def items_of(benchmark: DataFrame, key: str = "item_id") -> DataFrame:
     return split.select("item", F.size("ws").alias("w"), F.least(F.size("ws"), F.lit(SHINGLE)).alias("k"), hashes.alias("h")).withColumn("m", F.size("h"))
 
 
-def simhash(bags: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., fp) from one row per shingle `s` of a bag: bit b is set where more than half of the shingles have it."""
-    sums = bags.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(F.shiftrightunsigned("s", b).bitwiseAND(F.lit(_LANES))).alias(f"_{b}") for b in range(21)])
-    bits = [F.when(F.shiftrightunsigned(f"_{b}", 21 * lane).bitwiseAND(F.lit((1 << 21) - 1)) * 2 > F.col("_n"), F.lit(1 << (21 * lane + b))).otherwise(F.lit(0)) for b in range(21) for lane in range(3)]
-    return sums.select(*keys, reduce(Column.bitwiseOR, bits).cast("long").alias("fp"))
-
-
 def blocks() -> list[tuple[int, int]]:
     """(first bit, bits) of RADIUS + 1 blocks, as equal as can be."""
     edges = [BITS * i // (RADIUS + 1) for i in range(RADIUS + 2)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _blocked(df: DataFrame, keep: list[str]) -> DataFrame:
-    values = F.array(*[F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << n) - 1)) for a, n in blocks()])
-    return df.select(*keep, "fp", F.posexplode(values).alias("block", "value"))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity), one row for each document and item that it leaks."""
     items = items_of(benchmark)
@@ -100,15 +87,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFram
         one = split.select("doc_id", "h", F.explode_outer("cands").alias("c")).filter(F.col("c.size") == F.size("h"))
         parts.append(one.select("doc_id", F.col("c.item").alias("item"), F.col("c.m").alias("m"), F.col("c.k").alias("k"), F.col("c.start").alias("start"), F.slice("h", F.col("c.start") + 1, F.col("c.m")).alias("win")))
     windows = reduce(DataFrame.unionByName, parts).distinct()
-    bag = ["doc_id", "item", "m", "k", "start", "win"]
-    marked = simhash(windows.select(*bag, F.explode("win").alias("s")), bag)
-    of_items = simhash(items.select("item", F.explode("h").alias("s")), ["item"])
-    near = _blocked(marked, bag).join(_blocked(of_items, ["item"]).withColumnRenamed("fp", "item_fp"), ["item", "block", "value"]).filter(
-        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*bag).distinct()
 
     counts = items.select("item", F.explode("h").alias("s")).groupBy("item", "s").agg(F.count("*").alias("ni"))
     size = F.size("win").alias("n")
-    mine = near.select("doc_id", "item", "m", "k", "start", size, F.xxhash64("win").alias("which"), F.explode("win").alias("s"))
+    mine = windows.select("doc_id", "item", "m", "k", "start", size, F.xxhash64("win").alias("which"), F.explode("win").alias("s"))
     mine = mine.groupBy("doc_id", "item", "m", "k", "start", "n", "which", "s").agg(F.count("*").alias("nd")).join(counts, ["item", "s"])
     scored = mine.groupBy("doc_id", "item", "m", "k", "start", "n", "which").agg(F.sum(F.least("nd", "ni")).alias("o"))
     scored = scored.filter((100 + least) * F.col("o") >= least * (F.col("m") + F.col("n"))).withColumn("similarity", F.col("o") / (F.col("m") + F.col("n") - F.col("o")))

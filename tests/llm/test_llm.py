@@ -76,6 +76,18 @@ def test_decontamination(spark):
     assert decontamination.leaks(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    """Windows over the threshold that replace or lack an item's repeated shingle, or repeat one that the item has once."""
+    rest = [f"w{i}" for i in range(176)]
+    once = [f"u{i}" for i in range(204)]
+    items = [(1, " ".join(["x"] * 28 + rest)), (2, " ".join(once))]
+    rows = [(1, " ".join(["y"] * 28 + rest)), (2, " ".join([f"z{i}" for i in range(28)] + rest)), (3, " ".join(rest)), (4, " ".join(["y"] * 28 + once[28:]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.leaks(docs_of(spark, rows), bench).collect()}
+    want = leaks_by_hand(rows, items)
+    assert set(want) == {(1, 1), (2, 1), (3, 1), (4, 2)} and got == pytest.approx(want)
+
+
 def test_simhash_blocks_cover_the_radius():
     cover = decontamination.blocks()
     assert len(cover) == decontamination.RADIUS + 1 and sum(n for _, n in cover) == decontamination.BITS
