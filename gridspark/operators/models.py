@@ -71,11 +71,16 @@ def fit_ridge(rows: DataFrame, features: list[str], target: str = "actual", alph
     return Linear(tuple(features), tuple(map(float, beta[1:])), float(beta[0]))
 
 
+#: Distinct (features, label) rows that the driver may hold while a model is fitted.
+HELD_ROWS = 10_000
+
+
 def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", iterations: int = 400, rate: float = 0.05, l2: float = 0.01, positive_weight: float | None = None) -> Linear:
     """Full-batch gradient descent on standardised features (population deviation, 1 where that is 0).
 
-    Equal rows are summed first, so an iteration is one aggregate over distinct feature vectors; the intercept starts at the logit
-    of the prevalence, clipped to [.001, .999], and isn't penalised.
+    Equal rows are summed first, so an iteration is one aggregate over distinct feature vectors: in NumPy where there are at most
+    HELD_ROWS of them, else a Spark job each. The intercept starts at the logit of the prevalence, clipped to [.001, .999], and
+    isn't penalised.
     """
     x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)]
     table = rows.filter(F.col(label).isNotNull()).select(*x, F.col(label).cast("double").alias("y")).groupBy(*[f"x{i}" for i in range(len(x))], "y").agg(F.count("*").cast("double").alias("n")).persist()
@@ -90,6 +95,16 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", ite
         weight = positive_weight if positive_weight is not None else (n - positives) / positives if positives else 1.0
         base = min(max(positives / n, 0.001), 0.999)
         w, b = np.zeros(len(features)), float(np.log(base / (1 - base)))
+        few = table.limit(HELD_ROWS + 1).collect()
+        if len(few) <= HELD_ROWS:
+            data = np.array(sorted(map(tuple, few)))
+            z, y, times = (data[:, :-2] - mean) / deviation, data[:, -2], data[:, -1] * np.where(data[:, -2] == 1, weight, 1.0)
+            for _ in range(iterations):
+                with np.errstate(over="ignore"):
+                    error = times * (1 / (1 + np.exp(-(z @ w + b))) - y)
+                w -= rate * (z.T @ error / n + l2 * w)
+                b -= rate * error.sum() / n
+            iterations = 0
         for _ in range(iterations):
             z = reduce(lambda a, i: a + (F.col(f"x{i}") - float(mean[i])) / float(deviation[i]) * float(w[i]), range(len(w)), F.lit(b))  # noqa: B023
             error = F.col("n") * F.when(F.col("y") == 1, weight).otherwise(1.0) * (1 / (1 + F.exp(-z)) - F.col("y"))

@@ -374,7 +374,7 @@ def clf_balance(s, d):
 def clf_logistic(s, d):
     """Gradient-descent iterates have no plain SQL; tested against NumPy."""
     rows = a.scored_documents(s, d)
-    fit = models.fit_logistic(rows, ["score", "quality"], iterations=20)
+    fit = models.fit_logistic(rows, ["score", "quality"])
     return metrics.probabilistic(fit.probability(rows.withColumnRenamed("score", "raw")).drop("raw") if False else fit.probability(rows), ["source"])
 
 

@@ -132,6 +132,15 @@ def test_ridge_and_logistic_against_numpy(spark):
     assert np.allclose(got.coefficients, w / x.std(0)) and np.isclose(got.intercept, b - (w * x.mean(0) / x.std(0)).sum())
 
 
+def test_logistic_steps_in_spark_and_numpy_agree(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(a), int(b), None if i == 7 else int(a + b > 3)) for i, (a, b) in enumerate(rng.integers(0, 4, (80, 2)))], "a double, b int, label int")
+    held = models.fit_logistic(df, ["a", "b"], iterations=5)
+    monkeypatch.setattr(models, "HELD_ROWS", 3)
+    jobs = models.fit_logistic(df, ["a", "b"], iterations=5)
+    assert np.allclose([held.intercept, *held.coefficients], [jobs.intercept, *jobs.coefficients])
+
+
 def test_curves_against_brute_force(spark):
     rng = np.random.default_rng(1)
     y, s = rng.integers(0, 2, 80), rng.integers(0, 10, 80) / 10

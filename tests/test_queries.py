@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from gridspark.queries import ORACLES, QUERIES
@@ -42,6 +43,22 @@ def test_query(spark, con, name):
         assert all(p == q or isinstance(p, float) and isinstance(q, (int, float)) and math.isclose(p, q, rel_tol=1e-5, abs_tol=1e-9) for p, q in zip(x, y)), (x, y)
 
 
+def test_logistic_is_trained_to_the_end(spark, con):
+    """400 full-batch steps at rate 0.05, as the reference."""
+    rows = con.sql("SELECT source, toxic, (n_chars % 101) / 100.0::DOUBLE, quality FROM labels JOIN documents USING (doc_id)").fetchall()
+    source, (y, *x) = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows], float).T
+    z = np.stack([(c - c.mean()) / (c.std() or 1) for c in x], axis=1)
+    weight, w, b = np.where(y == 1, (y == 0).sum() / y.sum(), 1.0), np.zeros(2), math.log(y.mean() / (1 - y.mean()))
+    for _ in range(400):
+        e = weight * (1 / (1 + np.exp(-(z @ w + b))) - y)
+        w, b = w - 0.05 * (z.T @ e / len(y) + 0.01 * w), b - 0.05 * e.mean()
+    p = 1 / (1 + np.exp(-(z @ w + b)))
+    got = {r.source: (r.brier, r.log_loss) for r in QUERIES["clf_logistic"](spark, SF).collect()}
+    for s in set(source):
+        at = source == s
+        assert got[s] == pytest.approx((((p - y)[at] ** 2).mean(), -np.log(np.where(y == 1, p, 1 - p)[at]).mean()))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
