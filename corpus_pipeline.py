@@ -29,9 +29,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked documents; rows that repeat its id stay with it."""
-    gone = jaccard.join(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of linked documents: that with the smallest id, and where rows of the group share it, that with
+    the smallest checksum of the text. A row is known by its id and text; of rows with equal ids and texts any one stays."""
+    rows = docs.select(*COLUMNS).withColumn("md5", F.md5("text"))
+    judged = checkpointed(jaccard.join(rows, carry=("md5",), group=True).filter(F.col("group").isNotNull() & F.col("doc_id").isNotNull()))
+    first = judged.filter(F.col("doc_id") == F.col("component_id"))
+    several = first.groupBy("group").agg(F.min("md5").alias("least"), F.max("md5").alias("most"), F.count("*").alias("k")).filter("k > 1")
+    later = first.join(several.filter("least < most"), "group").filter(F.col("md5") > F.col("least"))
+    gone = judged.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "md5").unionByName(later.select("doc_id", "md5")).distinct()
+    kept = rows.join(gone, ["doc_id", "md5"], "left_anti").select(*COLUMNS, "md5")
+    again = several.join(first, "group").filter(F.col("md5") == F.col("least")).groupBy("doc_id", "md5").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id", "md5")
+    if not again.isEmpty():
+        kept = kept.join(again, ["doc_id", "md5"], "left_anti").unionByName(kept.join(again, ["doc_id", "md5"], "left_semi").dropDuplicates(["doc_id", "md5"]))
+    return kept.select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,5 +99,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFram
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs without the documents that leak an item."""
-    return docs.join(leaks(docs, benchmark, least).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that leak an item. Each row with an id is judged by its own text, whatever rows repeat its id."""
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text"))
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(key.alias("doc_id"), "text")
+    found = leaks(rows, benchmark, least).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(found, docs["doc_id"].isNotNull() & (key == F.col("_leak")), "left_anti").select(*docs.columns)

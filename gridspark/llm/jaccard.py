@@ -221,8 +221,11 @@ def linked_classes(classes: DataFrame) -> DataFrame:
     return comps.withColumnRenamed("v", "c")
 
 
-def join(docs: DataFrame, carry: tuple[str, ...] = (), bucket_bytes: int | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, carry...) for each row; component_id is null where doc_id is."""
+def join(docs: DataFrame, carry: tuple[str, ...] = (), bucket_bytes: int | None = None, group: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, carry...) for each row; component_id is null where doc_id is.
+
+    If asked for, `group` tells groups apart whose least ids are equal; it is null for rows without shingles.
+    """
     rows = checkpointed(profiles(docs, carry, bucket_bytes))
     release(docs.sparkSession)
     may = rows.filter(F.col("toks").isNotNull() & F.col("doc_id").isNotNull()).withColumn("c", F.xxhash64("sig"))
@@ -235,5 +238,5 @@ def join(docs: DataFrame, carry: tuple[str, ...] = (), bucket_bytes: int | None
     release(docs.sparkSession)
     found = linked_classes(one.pop())
     of = least.join(found, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    label = of.join(of.groupBy("comp").agg(F.min("d").alias("least_id")), "comp").select("sig", "least_id")
-    return rows.join(label, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least_id", "doc_id")).alias("component_id"), *carry)
+    label = of.join(of.groupBy("comp").agg(F.min("d").alias("least_id")), "comp").select("sig", "least_id", "comp")
+    return rows.join(label, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least_id", "doc_id")).alias("component_id"), *([F.col("comp").alias("group")] if group else []), *carry)

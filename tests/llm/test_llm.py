@@ -430,3 +430,17 @@ def test_pipeline(spark):
             last = {r.doc_id for r in docs.collect()}
             assert last == clean
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == last
+
+
+def test_pipeline_judges_rows_that_repeat_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (3, c + " more"), (3, d), (4, d + " more"), (5, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'web' AS source", "0L AS n_chars")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    c = min(c, c + " more", key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert Counter(got) == Counter([(1, a), (2, b), (3, c), (3, d), (5, ""), (5, ""), (6, None)])
+    spark.createDataFrame([(1, b)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path)).collect()]
+    assert Counter(got) == Counter(x for x in rows if x != (2, b))
