@@ -21,6 +21,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE, LONG_ENOUGH = 0.15, 100
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """docs with `unnamed`; rows without an id get one from their text that is larger than any below 2^62."""
+    stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    return docs.select(*COLUMNS).withColumn("unnamed", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", stand_in))
+
+
+def as_named(rows: DataFrame) -> DataFrame:
+    """The columns of documents, with the ids that `named` replaced null again."""
+    return rows.withColumn("doc_id", F.when(~F.col("unnamed"), F.col("doc_id"))).select(*COLUMNS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters, and those of LONG_ENOUGH characters whose profile has a cosine under LEAST_SCORE with
     every language; too short a text isn't held against a document."""
@@ -30,29 +41,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of linked documents: that with the smallest id, and where rows of the group share it, that with
-    the smallest checksum of the text. A row is known by its id and text; of rows with equal ids and texts any one stays."""
-    rows = docs.select(*COLUMNS).withColumn("md5", F.md5("text"))
-    judged = checkpointed(jaccard.join(rows, carry=("md5",), group=True).filter(F.col("group").isNotNull() & F.col("doc_id").isNotNull()))
+    the smallest checksum of the text. A row is known by its id and text; of rows with equal ids and texts any one stays.
+    Rows without an id come after all others."""
+    rows = named(docs).withColumn("md5", F.md5("text"))
+    judged = checkpointed(jaccard.join(rows, carry=("md5",), group=True).filter(F.col("group").isNotNull()))
     first = judged.filter(F.col("doc_id") == F.col("component_id"))
     several = first.groupBy("group").agg(F.min("md5").alias("least"), F.max("md5").alias("most"), F.count("*").alias("k")).filter("k > 1")
     later = first.join(several.filter("least < most"), "group").filter(F.col("md5") > F.col("least"))
     gone = judged.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "md5").unionByName(later.select("doc_id", "md5")).distinct()
-    kept = rows.join(gone, ["doc_id", "md5"], "left_anti").select(*COLUMNS, "md5")
+    kept = rows.join(gone, ["doc_id", "md5"], "left_anti")
     again = several.join(first, "group").filter(F.col("md5") == F.col("least")).groupBy("doc_id", "md5").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id", "md5")
     if not again.isEmpty():
         kept = kept.join(again, ["doc_id", "md5"], "left_anti").unionByName(kept.join(again, ["doc_id", "md5"], "left_semi").dropDuplicates(["doc_id", "md5"]))
-    return kept.select(*COLUMNS)
+    return as_named(kept)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that stand in an earlier document; documents of which nothing is left go. n_chars follows the text."""
-    kept = substrings.dedup(docs, keep_text=True, carry=("lang", "source"))
-    return kept.filter(F.length("kept") > 0).select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+    kept = substrings.dedup(named(docs), keep_text=True, carry=("lang", "source", "unnamed"))
+    return as_named(kept.filter(F.length("kept") > 0).select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"), "unnamed"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that leak a benchmark item."""
-    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    return as_named(decontamination.clean(named(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -432,6 +432,18 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == last
 
 
+def test_pipeline_judges_rows_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (None, a), (None, b), (None, c)], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'web' AS source", "0L AS n_chars")
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    assert texts(corpus_pipeline.drop_near_copies(spark, docs, "")) == Counter([(1, a), (None, b), (None, c)])
+    assert texts(corpus_pipeline.drop_repeated_passages(spark, docs, "")) == Counter([(1, a), (None, b), (None, c)])
+    spark.createDataFrame([(1, b)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert texts(corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path))) == Counter([(1, a), (None, a), (None, c)])
+
+
 def test_pipeline_judges_rows_that_repeat_an_id(spark, tmp_path):
     import corpus_pipeline
 
