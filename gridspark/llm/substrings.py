@@ -331,7 +331,7 @@ def _rounds(docs: DataFrame, layout: Layout, carry: tuple[str, ...], emit, schem
 def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (), bucket_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row, with `kept` (a string) if asked for, and carried columns.
 
-    Where a cut splits a character, `kept` leaves out its remaining bytes; the checksum is of the exact bytes.
+    Where a cut splits a character, `kept` keeps the whole character; the checksum is of the exact bytes.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -339,6 +339,18 @@ def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (),
     schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept string"] if keep_text else []), *(f"`{c}` {types[c]}" for c in carry)])
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
 
+    def whole(raw: bytes, cuts: np.ndarray) -> bytes:
+        """What is left where removed spans shrink to whole characters."""
+        out, at = [], 0
+        for x, y in cuts.T.tolist():
+            while x < y and raw[x] & 0xC0 == 0x80:
+                x += 1
+            while x < y < len(raw) and raw[y] & 0xC0 == 0x80:
+                y -= 1
+            out.append(raw[at:x])
+            at = y
+        return b"".join([*out, raw[at:]])
+
     def emit(bucket: Bucket, spans: dict[int, np.ndarray]) -> pa.Table:
         n_bytes, removed, n_spans, sha, kept = [], [], [], [], []
         for i, raw in enumerate(bucket.raw):
@@ -352,7 +364,7 @@ def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (),
             n_spans.append(0 if cuts is None else cuts.shape[1])
             sha.append(hashlib.sha256(left).hexdigest())
             if keep_text:
-                kept.append(left.decode("utf-8", "ignore"))
+                kept.append((left if cuts is None else whole(raw, cuts)).decode("utf-8", "ignore"))
         cols = [bucket.table.column("doc_id"), n_bytes, removed, n_spans, sha, *([kept] if keep_text else []), *(bucket.table.column(c) for c in carry)]
         return pa.table([c.cast(f.type) if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 

@@ -400,6 +400,13 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {50: 50, 51: 50}
 
 
+def test_cuts_keep_whole_characters(spark):
+    passage = "".join(f"{i:03d}" for i in range(30))
+    rows = [(1, f"{passage}é"), (2, f"{passage}è and more"), (3, f"ḩ{passage[:60]}"), (4, f"new ᨩ{passage[:60]}")]
+    got = {r.doc_id: r.kept for r in substrings.dedup(docs_of(spark, rows), keep_text=True).collect()}
+    assert got[1] == rows[0][1] and got[2] == "è and more" and got[4] == "new ᨩ"
+
+
 # --- pipeline
 
 def test_pipeline(spark):
