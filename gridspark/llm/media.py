@@ -223,8 +223,8 @@ def write_tiff(images: list[np.ndarray], compression: int = DEFLATE, predictor:
     return bytes(out)
 
 
-def pages(media: bytes) -> Iterator[Page]:
-    """The pages of a file, in the order of its directories."""
+def directories(media: bytes) -> Iterator[tuple[int, dict[int, list[int]]]]:
+    """Number and tags of each directory of a file, in order."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(media[:2]))
     if order is None or len(media) < 8 or struct.unpack_from(order + "H", media, 2)[0] != 42:
         raise ValueError("no TIFF header")
@@ -235,12 +235,18 @@ def pages(media: bytes) -> Iterator[Page]:
                 raise ValueError("the directories form a loop")
             seen.add(at)
             tags, at = _directory(media, order, at)
-            yield _page(media, tags, number)
+            yield number, tags
             number += 1
     except struct.error as e:
         raise ValueError(f"the file breaks off: {e}") from None
 
 
+def pages(media: bytes) -> Iterator[Page]:
+    """The pages of a file, in the order of its directories."""
+    for number, tags in directories(media):
+        yield _page(media, tags, number)
+
+
 def _directory(media: bytes, order: str, at: int) -> tuple[dict[int, list[int]], int]:
     count = struct.unpack_from(order + "H", media, at)[0]
     tags = {}
@@ -285,7 +291,11 @@ def _page(media: bytes, tags: dict[int, list[int]], number: int) -> Page:
 
 
 def tiff_pages(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """(key, page, width, height, samples, compression, pixels, error), one row per page."""
+    """(key, page, width, height, samples, compression, pixels, error), one row per page.
+
+    A page that can't be read gives a row with its number and the error, and the next directory follows; page -1 is an error of the
+    file, after which no directory is found.
+    """
     src = df.select(key, media)
     kind = dict(df.dtypes)[key]
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -299,8 +309,12 @@ def tiff_pages(df: DataFrame, key: str = "doc_id", media: str = "media") -> Data
                 if data is None:
                     continue
                 try:
-                    for p in pages(data):
-                        yield pa.RecordBatch.from_pylist([{key: k, **p._asdict(), "error": None}], schema=arrow)
+                    for number, tags in directories(data):
+                        try:
+                            row = {**_page(data, tags, number)._asdict(), "error": None}
+                        except ValueError as e:
+                            row = {"page": number, "error": str(e)}
+                        yield pa.RecordBatch.from_pylist([{key: k, **row}], schema=arrow)
                 except ValueError as e:
                     yield pa.RecordBatch.from_pylist([{key: k, "page": -1, "error": str(e)}], schema=arrow)
 

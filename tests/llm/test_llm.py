@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -195,6 +196,18 @@ def test_tiff_operator(spark):
 
 # --- 5 licences
 
+def test_tiff_pages_after_one_that_cannot_be_read(spark):
+    data = bytearray(media.write_tiff([np.full((4, 8), i, np.uint8) for i in range(3)], media.DEFLATE, 2))
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack_from(order + "I", data, 4)[0]
+    at = struct.unpack_from(order + "I", data, at + 2 + 12 * struct.unpack_from(order + "H", data, at)[0])[0]
+    here = next(h for h in range(at + 2, len(data), 12) if struct.unpack_from(order + "H", data, h)[0] == media.BITS)
+    struct.pack_into(order + "H", data, here + 8, 16)
+    rows = spark.createDataFrame([(1, bytes(data))], "doc_id long, media binary")
+    got = {r.page: (r.pixels and r.pixels[0], r.error is None) for r in media.tiff_pages(rows).collect()}
+    assert got == {0: (0, True), 1: (None, False), 2: (2, True)}
+
+
 def test_licenses(spark):
     rows = [(1, "r/LICENSE", "Released under the MIT License."), (2, "r/a/b/x.py", "code\nno header"), (3, "r/a/LICENSE.txt", "intro\nLicensed under the Apache License, Version 2.0.\n"), (4, "r/a/b/y.py", "# This work is licensed under the GNU General Public License, version 3.\nz"),
             (5, "q/x", "the license of poets"), (6, None, None), (7, "r/a", "plain"), (8, "LICENSE", "nothing"), (9, "top.txt", "x"), (9, "top.txt", "x"), (10, "r/ab/z", "x")]
