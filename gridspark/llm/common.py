@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import time
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,31 +47,37 @@ def map_slices(df: DataFrame, fn: Callable[[dict], dict], schema: str, state: Ca
     return df.mapInArrow(run, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage into the shared folder that the cluster names; a folder of our own only where the session names none."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not where:
-            import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, and in it one of this application's own.
 
-            where = os.path.join(tempfile.gettempdir(), "gridspark-checkpoints")
-        sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    Only local sessions that name none get a folder of the machine, until they end.
+    """
+    sc = spark.sparkContext
+    where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="gridspark-shared-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where.rstrip('/')}/gridspark-{sc.applicationId}"
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Keeps the driver's heap small in loops that plan many jobs."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table in the shared folder: what is read back depends on no executor.
 
+    A checkpoint() would keep the estimated sizes of the plan behind it, which multiply at each join of a loop until planning alone
+    takes minutes; a table has the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, now and not when the driver's heap fills up.
 
-    The first collection finds the plans, the next what they alone referred to; the cleaner works in between.
-    """
-    for _ in range(3):
-        collect_garbage(spark)
-        time.sleep(0.3)
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing will read again."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

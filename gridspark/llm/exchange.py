@@ -36,8 +36,8 @@ class Layout:
         size = bucket_bytes or min(LARGEST_BUCKET, int(BUCKET_BYTES * max(1.0, math.sqrt(total_bytes / 1e9))))
         self.buckets = max(LEAST_BUCKETS, -(-total_bytes // size))
         self.range_bits = max(6, math.ceil(math.log2(self.buckets)) - 2)
-        #: Leading bits of a key that make a false meeting of two keys as rare as 2**-18 a key.
-        self.key_bits = min(64, 18 + max(20, math.ceil(math.log2(max(total_bytes, 2)))))
+        #: Leading bits of a key that make a false meeting of two keys as rare as 2**-10 a key.
+        self.key_bits = min(64, 10 + max(20, math.ceil(math.log2(max(total_bytes, 2)))))
 
     def short(self, keys: np.ndarray) -> np.ndarray:
         """Keys cut to key_bits: enough to find candidates."""
@@ -55,23 +55,29 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).collect()[0][0]
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences of 4 bytes where they fit, in bytes that say how many there are."""
+def pack(keys: np.ndarray, bits: int = 64) -> bytes:
+    """Sorted keys of which only the leading bits count, as differences of as few bytes as they need; 8 bytes say how many and how wide."""
     if not len(keys):
         return b"\0" * 8
-    step = np.diff(keys)
-    wide = 8 if len(step) and step.max() >> np.uint64(32) else 4
-    return len(keys).to_bytes(7, "little") + bytes([wide]) + keys[:1].tobytes() + step.astype("<u4" if wide == 4 else "<u8").tobytes()
+    shift = 64 - bits
+    step = np.diff(keys >> np.uint64(shift))
+    wide = max(1, -(-int(step.max()).bit_length() // 8)) if len(step) else 1
+    narrow = np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide])
+    return len(keys).to_bytes(6, "little") + bytes([wide, shift]) + keys[:1].astype("<u8").tobytes() + narrow.tobytes()
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
     """Keys, and what follows them."""
-    n = int.from_bytes(blob[:7], "little")
+    n = int.from_bytes(blob[:6], "little")
     if not n:
         return np.zeros(0, np.uint64), blob[8:]
-    wide, end = blob[7], 16 + (n - 1) * blob[7]
-    step = np.frombuffer(blob, f"<u{wide}", n - 1, 16).astype(np.uint64)
-    return np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1, 8), step]), dtype=np.uint64), blob[end:]
+    wide, shift = blob[6], np.uint64(blob[7])
+    end = 16 + (n - 1) * wide
+    step = np.zeros((n, 8), np.uint8)
+    step[1:, :wide] = np.frombuffer(blob, np.uint8, (n - 1) * wide, 16).reshape(-1, wide)
+    step = step.view("<u8").ravel()
+    step[0] = np.frombuffer(blob, "<u8", 1, 8)[0] >> shift
+    return np.cumsum(step, dtype=np.uint64) << shift, blob[end:]
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -93,7 +99,8 @@ def read_messages(table: pa.Table) -> list[Message]:
 
 
 def dealt(docs: DataFrame, layout: Layout, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    bucket = F.pmod(F.xxhash64(key), F.lit(layout.buckets)).cast("int")
+    """Rows by a hash of key and text, so that rows without a key, or of one key, spread as their texts do."""
+    bucket = F.pmod(F.xxhash64(key, text), F.lit(layout.buckets)).cast("int")
     return docs.select(bucket.alias("b"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
 
 

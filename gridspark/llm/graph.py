@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, collect_garbage
+from .common import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, comp): for each vertex of edges (a, b), the least vertex that it reaches.
+    """(v, comp): for each vertex of edges (a, b), the least vertex that it reaches; vertices are of any type with an order.
 
-    Rounds alternate between neighbours' least labels and label jumping (the label of the label), each cut by a checkpoint, until
-    none changes: about log of the longest path. Self-loops and repeated edges are harmless; no edges give no rows.
+    In each round a vertex hooks to its least neighbour if that is smaller, follows hooks four steps, and the graph is contracted to
+    the vertices where they arrive, so at least half of the vertices of a component are gone after as many rounds as its hooks are
+    deep; long chains are halved, too. Each round ends in a written table. Labels of the rounds are then followed one after the
+    other. Self-loops and repeated edges are harmless; no edges give no rows.
     """
-    pairs = edges.filter(F.col("a") != F.col("b")).select("a", "b")
-    both = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "comp"), "b").select(F.col("a").alias("v"), "comp", F.lit(None).cast("long").alias("was"))
-        low = near.unionByName(labels.withColumn("was", F.col("comp"))).groupBy("v").agg(F.min("comp").alias("low"), F.max("was").alias("was"))
-        # A label's own label is no larger, so the jump can only lower it.
-        jump = labels.select(F.col("v").alias("low"), F.col("comp").alias("far"))
-        after = checkpointed(low.join(jump, "low", "left").select("v", F.least("low", F.coalesce("far", "low")).alias("comp"), "was"))
-        labels = after.select("v", "comp")
-        if after.filter("comp < was").isEmpty():
-            return labels
-        collect_garbage(edges.sparkSession)
+    a, b = F.col("a"), F.col("b")
+
+    def of_both_ways(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter(a != b)
+        return written(pairs.unionByName(pairs.select(b.alias("a"), a.alias("b"))).distinct())
+
+    def twice(up: DataFrame) -> DataFrame:
+        return up.join(up.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p"))
+
+    left, maps = of_both_ways(edges.select("a", "b")), []
+    while not maps or not left.isEmpty():
+        label = written(twice(twice(left.groupBy(a.alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p")))))
+        ends = label.select(F.col("v").alias("a"), F.col("p").alias("x")), label.select(F.col("v").alias("b"), F.col("p").alias("y"))
+        moved = left.filter(a < b).join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        # Where four steps don't arrive at the end of the hooks, the way on is an edge.
+        further = label.select(F.col("p").alias("a")).distinct().join(ends[0], "a").select("a", F.col("x").alias("b"))
+        after = of_both_ways(moved.unionByName(further))
+        forget(left)
+        left = after
+        maps.append(label)
+    forget(left)
+    step = lambda got, more: got.join(more.select(F.col("v").alias("p"), F.col("p").alias("q")), "p", "left").select("v", F.coalesce("q", "p").alias("p"))
+    return reduce(step, maps).withColumnRenamed("p", "comp")

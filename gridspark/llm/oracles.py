@@ -34,16 +34,16 @@ FROM h LEFT JOIN t ON t.r = h.r LEFT JOIN kept ON kept.r = h.r
 """
 
 JACCARD = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-sh AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda p: array_to_string(ws[p:p + 4], ' '))) AS s FROM w WHERE len(ws) > 0),
-n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT r, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda p: array_to_string(ws[p:p + 4], ' '))) AS s FROM w WHERE len(ws) > 0),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+o AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b JOIN w v ON v.r = a JOIN w u ON u.r = b WHERE v.doc_id IS NOT NULL AND u.doc_id IS NOT NULL AND 100 * o >= 75 * (x.n + y.n - o)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 reach AS (SELECT a AS v, a AS r FROM e UNION SELECT reach.v, e.b FROM reach JOIN e ON e.a = reach.r),
-c AS (SELECT v, min(r) AS comp FROM reach GROUP BY v)
+c AS (SELECT v, min(doc_id) AS comp FROM reach JOIN w ON w.r = reach.r GROUP BY v)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(comp, w.doc_id) AS BIGINT) AS component_id
-FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.v = w.doc_id
+FROM w LEFT JOIN n ON n.r = w.r LEFT JOIN c ON c.v = w.r
 """
 
 URLS = r"""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpointed
+from .common import written
 
 #: Ranges for each shard; sample keys drawn for each range.
 CELLS, DRAWN = 128, 8
@@ -50,7 +50,7 @@ def shard(docs: DataFrame, shards: int = 8, cells: int = CELLS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row; `cells` is the number of ranges per shard."""
     spark = docs.sparkSession
     # A few dozen bytes a document, written once, so that texts are read once.
-    rows = checkpointed(sizes(docs))
+    rows = written(sizes(docs))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
     cuts = np.array(splitters(rows, shards * cells, total), np.int64)
 

@@ -142,8 +142,8 @@ NAME, RUN, STRING, SHARED, REMOVED = range(5)
 
 def _send(layout: Layout, kind: int, src: int, keys: np.ndarray, payload) -> list[Message]:
     """Sorted keys by range; payload(a, b) gives the bytes that go with keys[a:b]."""
-    cut = layout.cut(keys)
-    return [(r, src, kind, pack(keys[a:b]) + payload(a, b)) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+    cut, bits = layout.cut(keys), layout.key_bits if kind == NAME else 64
+    return [(r, src, kind, pack(keys[a:b], bits) + payload(a, b)) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
 
 def _bits(flags: np.ndarray) -> bytes:

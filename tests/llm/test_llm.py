@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 tokenizers_path = pytest.importorskip("public_tokenizers").path
 
-from gridspark.llm import bpe, decontamination, graph, jaccard, language, licenses, media, sharding, substrings, tokencount, urls  # noqa: E402
+from gridspark.llm import bpe, decontamination, exchange, graph, jaccard, language, licenses, media, sharding, substrings, tokencount, urls  # noqa: E402
 
 DOC = "doc_id long, text string"
 ODD = [(901, None), (902, ""), (903, "  \n"), (904, "x"), (905, "a" * 30_000), (906, "日本語 😀 é" * 50), (907, "same text here"), (908, "same text here"), (908, "same text here")]
@@ -391,20 +391,37 @@ def test_jaccard(spark):
     assert jaccard.join(docs_of(spark, rows).limit(0)).count() == 0
 
 
-def test_jaccard_exhaustive_round_alone(spark, monkeypatch):
-    """Without leader rounds the exact rest must find everything; with them, nothing may be lost."""
+@pytest.mark.parametrize("leaders, block", [(16, 512), (1, 4), (0, 4)])
+def test_jaccard_blocks_lose_no_link(spark, monkeypatch, leaders, block):
+    """With few leaders or none, the pairs of blocks must find everything; with them, nothing may be lost."""
     rng = random.Random(8)
     base = [f"w{i}" for i in range(60)]
     rows = []
     for i in range(40):  # a chain: neighbours are similar, ends are not
         rows.append((i, " ".join(base[:-1] + [f"x{i}"])))
         base[rng.randrange(55)] = f"n{i}"
-    want = groups_by_hand(rows)
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs_of(spark, rows)).collect()) == want
-    monkeypatch.setattr(jaccard, "FEW", 0)
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs_of(spark, rows)).collect()) == want
-    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", 0)
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs_of(spark, rows)).collect()) == want
+    rows += [(100 + i, " ".join([*(f"p{k}" for k in range(30)), *(f"own{i}_{k}" for k in range(6))])) for i in range(30)]  # a passage of unlinked texts
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs_of(spark, rows)).collect()) == groups_by_hand(rows)
+
+
+def test_jaccard_parities_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        x, y = (rng.choice(600, rng.integers(1, 300), replace=False) for _ in range(2))
+        bits = [np.bincount(t & (jaccard.BITS - 1), minlength=jaccard.BITS) & 1 for t in (x, y)]
+        assert np.count_nonzero(bits[0] != bits[1]) <= len(set(x) ^ set(y))
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(4)
+    for bits in (20, 38, 64):
+        for n in (0, 1, 2, 1000):
+            shift = np.uint64(64 - bits)
+            keys = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) >> shift << shift)
+            got, rest = exchange.unpack(exchange.pack(keys, bits) + b"rest")
+            assert got.tolist() == keys.tolist() and rest == b"rest"
 
 
 def test_components(spark):
