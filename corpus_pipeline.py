@@ -6,19 +6,17 @@ docs. All but the last return the columns of documents; the last returns the col
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import bpe, decontamination, jaccard, language, substrings
-from gridspark.llm.common import checkpointed
+from gridspark.llm.common import forget, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document is rejected where it has no letters, or where it is like no language though it is long enough to tell.
-LEAST_SCORE, LONG_ENOUGH = 0.15, 100
+#: A document is rejected where it has no letters, or where its profile is like no language: n characters tell a cosine to within
+#: about 1 / sqrt(n), and even the upper end of that is under LEAST_SCORE.
+LEAST_SCORE = 0.15
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -33,10 +31,12 @@ def as_named(rows: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters, and those of LONG_ENOUGH characters whose profile has a cosine under LEAST_SCORE with
-    every language; too short a text isn't held against a document."""
+    """Rejects documents without letters (so null and empty texts), and those of which even score + 1 / sqrt(characters) is under
+    LEAST_SCORE. Repeated rows and rows without an id are judged like any other; the latter are trained on. With no labelled
+    document there is no language to be like, and all are rejected."""
     prototypes = language.train(docs.filter(~language.held_out()))
-    return language.predict(docs.select(*COLUMNS), prototypes).filter((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_SCORE) | (F.length("text") < LONG_ENOUGH))).select(*COLUMNS)
+    most = F.col("score") + 1 / F.sqrt(F.length("text"))
+    return language.predict(docs.select(*COLUMNS), prototypes).filter((F.col("lang_pred") != "und") & (most >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     the smallest checksum of the text. A row is known by its id and text; of rows with equal ids and texts any one stays.
     Rows without an id come after all others."""
     rows = named(docs).withColumn("md5", F.md5("text"))
-    judged = checkpointed(jaccard.join(rows, carry=("md5",), group=True).filter(F.col("group").isNotNull()))
+    judged = written(jaccard.join(rows, carry=("md5",), group=True).filter(F.col("group").isNotNull()))
     first = judged.filter(F.col("doc_id") == F.col("component_id"))
     several = first.groupBy("group").agg(F.min("md5").alias("least"), F.max("md5").alias("most"), F.count("*").alias("k")).filter("k > 1")
     later = first.join(several.filter("least < most"), "group").filter(F.col("md5") > F.col("least"))
@@ -63,12 +63,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that leak a benchmark item."""
+    """Drops documents that leak a benchmark item; each row is judged by its own text, with or without an id. An empty benchmark
+    drops none."""
     return as_named(decontamination.clean(named(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, lang, source) of what is left."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, lang, source) of what is left, one row for each row; a null text is empty."""
     return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"), carry=("lang", "source"))
 
 
@@ -85,17 +86,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written to the checkpoint folder (cut with checkpoint() where the session names none) and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    at = posixpath.join(shared, f"pipeline-{uuid.uuid4().hex}") if shared else None
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        if at:
-            out.write.parquet(f"{at}/{k}")
-            docs = spark.read.parquet(f"{at}/{k}")
-        else:
-            docs = checkpointed(out)
-    return docs
+    """All stages in order; each but the last is written to the shared folder, read again, and deleted when its successor is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
