@@ -364,7 +364,7 @@ def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (),
             n_spans.append(0 if cuts is None else cuts.shape[1])
             sha.append(hashlib.sha256(left).hexdigest())
             if keep_text:
-                kept.append((left if cuts is None else whole(raw, cuts)).decode("utf-8", "ignore"))
+                kept.append((left if cuts is None else whole(raw, cuts)).decode("utf-8", "surrogatepass"))
         cols = [bucket.table.column("doc_id"), n_bytes, removed, n_spans, sha, *([kept] if keep_text else []), *(bucket.table.column(c) for c in carry)]
         return pa.table([c.cast(f.type) if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
