@@ -7,7 +7,9 @@ score is the mean over its characters of the log ratio, accepted over rejected;
 the point as many standard deviations below the accepted mean as above the rejected one.
 
 Everything is DataFrame operations. Counts and look-ups are keyed by n-gram, and are pre-aggregated per n-gram before the
-shuffle; log ratios are computed once per distinct n-gram of the table.
+shuffle; log ratios are computed once per distinct n-gram of the table, and summed in whole units, so that the cut and the
+verdicts don't depend on the order of rows. Windows that stand in most URLs make hot keys of the look-up only, an equi-join that
+Spark splits.
 
 Null URLs, and URLs without `://`, have an empty host and path and no rule; an empty or null URL has score 0. The method's
 verdict is allow where the score is at least the cut. Without URLs of either kind to learn from, the score is 0 and the cut is
@@ -20,11 +22,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from .common import written
 
 #: Production rules: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Characters of context in the longest order; size of the alphabet of the uniform distribution (code points fold into it).
 ORDER, ALPHABET = 4, 128
+#: Units of log ratios and scores; a score is under 40 of natural logarithm, so its square keeps to 25 digits.
+UNIT = 1 << 36
 
 
 def host_and_path(url: str | Column) -> tuple[Column, Column]:
@@ -46,53 +53,67 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def grams(urls: DataFrame, carry: Sequence[str]) -> DataFrame:
-    """(carry..., g, n): each URL's windows of ORDER + 1 characters with their counts; the start is padded."""
+def windows(urls: DataFrame, *carry: str) -> DataFrame:
+    """(carry..., g): each URL's windows of ORDER + 1 characters, one for each character; the start is padded."""
     padded = F.concat(F.lit("\x02" * ORDER), F.col("url"))
-    windows = F.transform(F.sequence(F.lit(1), F.length("url")), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
-    return urls.filter(F.length("url") > 0).select(*carry, F.explode(windows).alias("g")).groupBy(*carry, "g").agg(F.count("*").alias("n"))
-
-
-def _log_ratio(counts: DataFrame) -> DataFrame:
-    """(g, llr) from (g, good, bad): for each distinct window, the log ratio of its last character under the two models."""
-    table = counts.select("g", "good", "bad")
-    out = table.select("g")
-    for k in range(ORDER + 1):
-        part = lambda c, k=k: F.substring(c, ORDER + 1 - k, k + 1)  # noqa: E731  k characters of context and the last one
-        sums = table.groupBy(part(F.col("g")).alias(f"s{k}")).agg(F.sum("good").alias(f"g{k}"), F.sum("bad").alias(f"b{k}"))
-        heads = sums.groupBy(F.substring(F.col(f"s{k}"), 1, k).alias(f"c{k}")).agg(
-            F.sum(f"g{k}").alias(f"gn{k}"), F.sum(f"b{k}").alias(f"bn{k}"), F.sum((F.col(f"g{k}") > 0).cast("long")).alias(f"gt{k}"), F.sum((F.col(f"b{k}") > 0).cast("long")).alias(f"bt{k}"))
-        joined = sums.join(heads, F.substring(F.col(f"s{k}"), 1, k) == F.col(f"c{k}")).drop(f"c{k}")
-        out = out.withColumn(f"s{k}", part(F.col("g"))).join(joined, f"s{k}").drop(f"s{k}")
-    good = bad = F.lit(1.0 / ALPHABET)
-    for k in range(ORDER + 1):
-        mixed = lambda n, total, kinds, below: F.when(total > 0, (n + kinds * below) / (total + kinds)).otherwise(below)
-        good = mixed(F.col(f"g{k}"), F.col(f"gn{k}"), F.col(f"gt{k}"), good)
-        bad = mixed(F.col(f"b{k}"), F.col(f"bn{k}"), F.col(f"bt{k}"), bad)
-    return out.select("g", (F.log(good) - F.log(bad)).alias("llr"))
+    every = F.transform(F.sequence(F.lit(1), F.length("url")), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+    return urls.select(*carry, F.explode(every).alias("g"))
+
+
+def _model(tally: DataFrame) -> DataFrame:
+    """(k, s, good, bad, good_n, bad_n, good_kinds, bad_kinds) for k characters of context and the one after, s: how often s was
+    accepted and rejected, how often its context was, and with how many kinds of characters after it."""
+    parts = F.array(*(F.struct(F.lit(k).alias("k"), F.substring("g", ORDER + 1 - k, k + 1).alias("s")) for k in range(ORDER + 1)))
+    sums = tally.select("good", "bad", F.explode(parts).alias("o")).groupBy("o.k", "o.s").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    # A context has as many rows as characters follow it: the alphabet at most.
+    of = W.Window.partitionBy("k", F.substring(F.col("s"), F.lit(1), F.col("k")))
+    kinds = lambda c: F.sum((F.col(c) > 0).cast("long")).over(of).alias(f"{c}_kinds")
+    return sums.select("k", "s", "good", "bad", F.sum("good").over(of).alias("good_n"), F.sum("bad").over(of).alias("bad_n"), kinds("good"), kinds("bad"))
+
+
+def _log_ratio(model: DataFrame) -> DataFrame:
+    """(g, llr): for each distinct window, the log ratio of its last character under the two models, in units of 1 / UNIT.
+
+    Whole units make sums of them exact, whatever their order.
+    """
+    def mixed(kind: str, below: Column) -> Column:
+        n, total, kinds = F.col(kind), F.col(f"{kind}_n"), F.col(f"{kind}_kinds")
+        return F.when(total > 0, (n + kinds * below) / (total + kinds)).otherwise(below)
+
+    at = model.filter("k = 0").select("s", mixed("good", F.lit(1.0 / ALPHABET)).alias("p"), mixed("bad", F.lit(1.0 / ALPHABET)).alias("q"))
+    for k in range(1, ORDER + 1):
+        shorter = at.select(F.col("s").alias("tail"), "p", "q")
+        at = model.filter(F.col("k") == k).withColumn("tail", F.substring("s", 2, k)).join(shorter, "tail").select("s", mixed("good", F.col("p")).alias("p"), mixed("bad", F.col("q")).alias("q"))
+    return at.select(F.col("s").alias("g"), F.round((F.log("p") - F.log("q")) * UNIT).cast("long").alias("llr"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row; score is null where a rule decides."""
+    spark = pages.sparkSession
     url = F.col("url")
     host, path = host_and_path(url)
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     every = pages.select("page_id", url, host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("how"))
-    # Equal URLs are scored once; this also keeps a URL that many rows share out of the joins below.
-    urls = every.filter(F.length("url") > 0).groupBy("url", "how").agg(F.count("*").alias("copies"))
-    split = grams(urls, ["url", "how", "copies"])
-    seen = F.col("n") * F.col("copies")
-    tally = split.groupBy("g").agg(F.sum(F.when(F.col("how") == "allow", seen).otherwise(0)).alias("good"), F.sum(F.when(F.col("how") == "block", seen).otherwise(0)).alias("bad"))
-    scored = split.join(_log_ratio(tally), "g").groupBy("url", "how", "copies").agg((F.sum(F.col("n") * F.col("llr")) / F.sum("n")).alias("score"))
+    # Equal URLs are counted and scored once. They are dealt out anew, as their windows are many times more than they are.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    urls = written(every.filter(F.length("url") > 0).groupBy("url", "how").agg(F.count("*").alias("copies")).repartition(tasks, "url").withColumn("id", F.monotonically_increasing_id()))
+    seen = lambda kind: F.sum(F.when(F.col("how") == kind, F.col("copies")).otherwise(0))
+    tally = windows(urls, "how", "copies").groupBy("g").agg(seen("allow").alias("good"), seen("block").alias("bad"))
+    ratio = _log_ratio(written(_model(tally)))
+    sums = windows(urls, "id").join(ratio, "g").groupBy("id").agg(F.sum("llr").alias("llr"), F.count("*").alias("n"))
+    scored = written(urls.join(sums, "id").select("url", "how", "copies", F.round(F.col("llr") / F.col("n")).cast("long").alias("units")))
     moments = []
     for kind in ("allow", "block"):
-        of = F.when(F.col("how") == kind, F.col("copies"))
-        mean = F.sum(of * F.col("score")) / F.sum(of)
-        moments += [mean.alias(f"m_{kind}"), F.sqrt(F.greatest(F.lit(0.0), F.sum(of * F.col("score") * F.col("score")) / F.sum(of) - mean * mean)).alias(f"s_{kind}")]
+        of = F.when(F.col("how") == kind, F.col("copies")).cast("decimal(18,0)")
+        x = F.col("units").cast("decimal(18,0)")
+        total = F.sum(of).cast("double")
+        mean = F.sum((of * x).cast("decimal(38,0)")).cast("double") / total
+        square = F.sum((of * (x * x).cast("decimal(25,0)")).cast("decimal(38,0)")).cast("double") / total
+        moments += [mean.alias(f"m_{kind}"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias(f"s_{kind}")]
     both = F.col("s_allow") + F.col("s_block")
     cut = F.when(both > 0, (F.col("m_allow") * F.col("s_block") + F.col("m_block") * F.col("s_allow")) / both).otherwise((F.col("m_allow") + F.col("m_block")) / 2)
-    limit = scored.agg(*moments).select(F.coalesce(cut, F.lit(0.0)).alias("cut"))
-    learned = F.coalesce(limit.scalar(), F.lit(0.0))
-    judged = scored.filter(F.col("how").isNull()).select("url", "score")
-    return every.join(judged, "url", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("how", F.when(F.coalesce("score", F.lit(0.0)) >= learned, "allow").otherwise("block")).alias("verdict"), F.when(F.col("how").isNull(), F.coalesce("score", F.lit(0.0))).alias("score"))
+    learned = F.coalesce(scored.agg(*moments).select(F.coalesce(cut, F.lit(0.0)).alias("cut")).scalar(), F.lit(0.0))
+    units = F.coalesce("units", F.lit(0))
+    open_ = scored.filter(F.col("how").isNull()).select("url", "units")
+    return every.join(open_, "url", "left").select(
+        "page_id", "host", "path", "rule", F.coalesce("how", F.when(units >= learned, "allow").otherwise("block")).alias("verdict"), F.when(F.col("how").isNull(), units / UNIT).alias("score"))
