@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, codes, ladder, share
 
-#: Weights and bands of the composite.
+#: Weights and bands of the composite, and scores where evidence is missing.
 WEIGHTS = {"age": 0.18, "inspection": 0.17, "maintenance": 0.20, "telemetry": 0.20, "alarm": 0.10, "outage": 0.15}
 BANDS = [(35.0, "CRITICAL"), (55.0, "DEGRADED"), (75.0, "WATCH")]
 MISSING = {"neutral": 50.0, "penalize": 40.0}
@@ -75,16 +75,29 @@ def linked_outages(assets: DataFrame, outages: DataFrame) -> DataFrame:
     return one.select(F.col("_a").alias("asset_id"), "outage_id", "direct", *[F.col(f"_r.{x}").alias(x) for x in keep])
 
 
-def outage_evidence(assets: DataFrame, linked: DataFrame) -> DataFrame:
-    """Nine measures: direct ones of the asset itself, contextual ones of its feeder or substation."""
+def outage_evidence(assets: DataFrame, outages: DataFrame) -> DataFrame:
+    """Nine measures: direct ones of the asset itself, contextual ones of its feeder or substation.
+
+    Contextual outages are those of the feeder, plus those of the substation, less those of both, less the asset's own among them.
+    So outages are summed per asset, feeder, substation and pair of these, and no row stands for a pair of asset and outage;
+    `linked_outages` lists the pairs for those who need them. Needs unique outage ids.
+    """
     c = F.col
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
-    aggs = linked.groupBy("asset_id").agg(
-        n(c("direct")).alias("direct_outage_count"), n(c("direct") & ~c("planned")).alias("direct_unplanned_count"), n(c("direct") & c("planned")).alias("direct_planned_count"), n(c("direct") & (c("cause") == "equipment_failure")).alias("equipment_failure_count"),
-        F.sum(F.when(c("direct"), c("duration_minutes")).otherwise(0)).cast("long").alias("direct_minutes"), F.sum(F.when(c("direct"), c("customers")).otherwise(0)).cast("long").alias("direct_customers"), n(~c("direct")).alias("contextual_count"),
-        n(~c("direct") & c("severe")).alias("contextual_severe_count"), F.max(F.when(c("direct"), c("start_min"))).alias("last_direct_start"))
-    zero = [x for x in aggs.columns if x not in ("asset_id", "last_direct_start")]
-    return assets.join(aggs, "asset_id", "left").withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in zero})
+    ids = assets.select("asset_id", c("feeder_id").alias("_f"), c("substation_id").alias("_s"))
+    near = F.coalesce(c("feeder_id") == c("_f"), F.lit(False)) | F.coalesce(c("substation_id") == c("_s"), F.lit(False))
+    own = outages.drop("asset_id").withColumnRenamed("primary_asset_id", "asset_id").join(ids, "asset_id").withColumn("_near", near).groupBy("asset_id").agg(
+        F.count("*").alias("direct_outage_count"), n(~c("planned")).alias("direct_unplanned_count"), n(c("planned")).alias("direct_planned_count"), n(c("cause") == "equipment_failure").alias("equipment_failure_count"),
+        F.sum("duration_minutes").cast("long").alias("direct_minutes"), F.sum("customers").cast("long").alias("direct_customers"), F.max("start_min").alias("last_direct_start"), n(c("_near")).alias("_own"), n(c("_near") & c("severe")).alias("_own_severe"))
+    both = outages.groupBy("feeder_id", "substation_id").agg(F.count("*").alias("k"), n(c("severe")).alias("v"))
+    per = lambda by: both.filter(reduce(lambda x, y: x & y, [c(b).isNotNull() for b in by])).groupBy(*by).agg(F.sum("k").alias("_".join(["_k", *by])), F.sum("v").alias("_".join(["_v", *by])))
+    out = assets.join(own, "asset_id", "left")
+    for by in (["feeder_id"], ["substation_id"], ["feeder_id", "substation_id"]):
+        out = out.join(per(by), by, "left")
+    known = lambda x: F.coalesce(c(x), F.lit(0).cast("long"))
+    around = lambda x, mine: known(f"_{x}_feeder_id") + known(f"_{x}_substation_id") - known(f"_{x}_feeder_id_substation_id") - known(mine)
+    zero = [x for x in own.columns if x not in ("asset_id", "last_direct_start", "_own", "_own_severe")]
+    return out.withColumns({x: known(x) for x in zero} | {"contextual_count": around("k", "_own"), "contextual_severe_count": around("v", "_own_severe")}).select(*assets.columns, *zero, "contextual_count", "contextual_severe_count", "last_direct_start")
 
 
 def component_scores(f: DataFrame, now_day: int, missing: str = "neutral") -> DataFrame:
@@ -117,7 +130,7 @@ def health_band(score: str = "health_score", completeness: str = "completeness",
 
 
 def reasons(f: DataFrame, now_day: int, keep: int = 5) -> DataFrame:
-    """Reason codes in their fixed order, cut to `keep`."""
+    """Reason codes (fixed values, in their fixed order), cut to `keep`."""
     c = F.col
     told, r, share_high = c("telemetry_count") > 0, c("age_ratio"), c("high_utilisation_share")
     rules = [

@@ -63,11 +63,11 @@ HOURLY_TYPE = "ht AS (SELECT event_type AS entity_id, date_trunc('hour', ts) AS
 def assets(spark: SparkSession, d: str) -> DataFrame:
     """Parts as assets: life from the size, dates from the key."""
     k = F.col("p_partkey")
-    return table(spark, d, "part").select(k.alias("asset_id"), F.col("p_type").alias("asset_type"), F.col("p_size").cast("double").alias("expected_life_years"), (F.lit(9131).cast("long") - k * 37 % 12000).alias("commissioned_day"), (F.lit(11680).cast("long") - k * 13 % 700).alias("last_inspection_day"),
-                                          (F.lit(11500).cast("long") + k * 11 % 400).alias("next_due_day"), (k % 3 + 1).cast("int").alias("criticality"), F.when(k % 40 == 0, "maintenance").otherwise("active").alias("operational_status"), (k % 100 + 1).alias("feeder_id"), (k % 25).cast("int").alias("substation_id"))
+    return table(spark, d, "part").select(k.alias("asset_id"), F.when(k % 9 == 0, "primary_substation").otherwise(F.col("p_type")).alias("asset_type"), F.col("p_size").cast("double").alias("expected_life_years"), (F.lit(9131).cast("long") - k * 37 % 12000).alias("commissioned_day"), (F.lit(11680).cast("long") - k * 13 % 700).alias("last_inspection_day"),
+                                          (F.lit(11500).cast("long") + k * 11 % 400).alias("next_due_day"), (k % 3 + 1).cast("int").alias("criticality"), F.when(k % 40 == 0, "maintenance").otherwise("active").alias("operational_status"), F.when(k % 10 != 0, k % 100 + 1).alias("feeder_id"), (k % 25).cast("int").alias("substation_id"))
 
 
-ASSETS = "assets AS (SELECT p_partkey AS asset_id, p_type AS asset_type, CAST(p_size AS DOUBLE) AS expected_life_years, 9131 - p_partkey * 37 % 12000 AS commissioned_day, 11680 - p_partkey * 13 % 700 AS last_inspection_day, 11500 + p_partkey * 11 % 400 AS next_due_day, CAST(p_partkey % 3 + 1 AS INTEGER) AS criticality, CASE WHEN p_partkey % 40 = 0 THEN 'maintenance' ELSE 'active' END AS operational_status, p_partkey % 100 + 1 AS feeder_id, CAST(p_partkey % 25 AS INTEGER) AS substation_id FROM part)"
+ASSETS = "assets AS (SELECT p_partkey AS asset_id, CASE WHEN p_partkey % 9 = 0 THEN 'primary_substation' ELSE p_type END AS asset_type, CAST(p_size AS DOUBLE) AS expected_life_years, 9131 - p_partkey * 37 % 12000 AS commissioned_day, 11680 - p_partkey * 13 % 700 AS last_inspection_day, 11500 + p_partkey * 11 % 400 AS next_due_day, CAST(p_partkey % 3 + 1 AS INTEGER) AS criticality, CASE WHEN p_partkey % 40 = 0 THEN 'maintenance' ELSE 'active' END AS operational_status, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey % 100 + 1 END AS feeder_id, CAST(p_partkey % 25 AS INTEGER) AS substation_id FROM part)"
 
 
 def maintenance(spark: SparkSession, d: str) -> DataFrame:

@@ -375,7 +375,7 @@ def clf_logistic(s, d):
     """Gradient-descent iterates have no plain SQL; tested against NumPy."""
     rows = a.scored_documents(s, d)
     fit = models.fit_logistic(rows, ["score", "quality"])
-    return metrics.probabilistic(fit.probability(rows.withColumnRenamed("score", "raw")).drop("raw") if False else fit.probability(rows), ["source"])
+    return metrics.probabilistic(fit.probability(rows), ["source"])
 
 
 NOW = 11688  # 2002-01-01 in days since 1970
@@ -387,31 +387,32 @@ def _health(s: SparkSession, d: str) -> DataFrame:
     e = health.maintenance_evidence(assets, a.maintenance(s, d), NOW)
     t = a.readings(s, d).select((F.col("meter_id") % 100 + 1).alias("feeder_id"), (F.col("meter_id") % 25).cast("int").alias("substation_id"), F.col("value").alias("utilisation_pct"), F.col("value").alias("transformer_temperature_c"), F.when(F.col("value") > 60, "HIGH_LOAD").alias("alarm_code"), F.lit("normal").alias("operational_status"), "ts_min")
     e = health.telemetry_evidence(e, t)
-    return health.component_scores(health.outage_evidence(e, health.linked_outages(assets, o)), NOW)
+    return health.component_scores(health.outage_evidence(e, o), NOW)
 
 
 LINKED = a.OUTAGES + ", " + a.ASSETS + f""", lo AS (SELECT asset_id, outage_id, max(direct) AS direct FROM (SELECT x.asset_id, outage_id, true AS direct FROM assets x JOIN outages o ON o.asset_id = x.asset_id AND start_min >= {(NOW - 365) * 1440} UNION ALL SELECT x.asset_id, outage_id, false FROM assets x JOIN outages o ON o.feeder_id = x.feeder_id AND start_min >= {(NOW - 365) * 1440} UNION ALL SELECT x.asset_id, outage_id, false FROM assets x JOIN outages o ON o.substation_id = x.substation_id AND start_min >= {(NOW - 365) * 1440}) GROUP BY ALL),
-oe AS (SELECT lo.asset_id, count(*) FILTER (direct) AS direct_outage_count, count(*) FILTER (direct AND NOT planned) AS direct_unplanned_count, count(*) FILTER (direct AND cause = 'equipment_failure') AS equipment_failure_count, coalesce(sum(duration_minutes) FILTER (direct), 0)::BIGINT AS direct_minutes, count(*) FILTER (NOT direct) AS contextual_count, count(*) FILTER (NOT direct AND severe) AS contextual_severe_count FROM lo JOIN outages USING (outage_id) GROUP BY ALL)"""
+oe AS (SELECT lo.asset_id, count(*) FILTER (direct) AS direct_outage_count, count(*) FILTER (direct AND NOT planned) AS direct_unplanned_count, count(*) FILTER (direct AND cause = 'equipment_failure') AS equipment_failure_count, count(*) FILTER (direct AND planned) AS direct_planned_count, coalesce(sum(customers) FILTER (direct), 0)::BIGINT AS direct_customers, max(start_min) FILTER (direct) AS lds, coalesce(sum(duration_minutes) FILTER (direct), 0)::BIGINT AS direct_minutes, count(*) FILTER (NOT direct) AS contextual_count, count(*) FILTER (NOT direct AND severe) AS contextual_severe_count FROM lo JOIN outages USING (outage_id) GROUP BY ALL)"""
 
 
 @query("health_or_join", LINKED + " SELECT asset_id, count(*) AS linked, count(*) FILTER (direct) AS direct FROM lo GROUP BY ALL")
 def health_or_join(s, d):
     o = a.outages(s, d).withColumnsRenamed({"asset_id": "primary_asset_id"}).filter(F.col("start_min") >= (NOW - 365) * 1440)
-    return health.linked_outages(a.assets(s, d), o).groupBy("asset_id").agg(F.count("*").alias("linked"), F.sum(F.col("direct").cast("long")).alias("direct"))
+    found = health.outage_evidence(a.assets(s, d), o).select("asset_id", (F.col("direct_outage_count") + F.col("contextual_count")).alias("linked"), F.col("direct_outage_count").alias("direct"))
+    return found.filter("linked > 0")
 
 
-HEALTH = LINKED + ", " + a.MAINTENANCE + ", " + a.READINGS + f""", me AS (SELECT asset_id, count(*) AS mc, count(*) FILTER (maintenance_type = 'corrective') AS cc, count(*) FILTER (maintenance_type = 'emergency') AS ec, count(*) FILTER (maintenance_status = 'deferred') AS dc, count(*) FILTER (follow_up) AS fc, sum(downtime_minutes) AS dm FROM maint WHERE day <= {NOW} AND day >= {NOW} - 365 GROUP BY ALL),
-tf AS (SELECT meter_id % 100 + 1 AS feeder_id, count(*) AS tc, avg(value) AS mu, max(value) AS xu, count(*) FILTER (value >= 90) / count(*)::DOUBLE AS hs, count(*) FILTER (value >= 75) / count(*)::DOUBLE AS ts, count(*) FILTER (value > 60) AS ac FROM readings GROUP BY ALL),
-h0 AS (SELECT x.*, coalesce(mc, 0) AS mc, coalesce(cc, 0) AS cc, coalesce(ec, 0) AS ec, coalesce(dc, 0) AS dc, coalesce(fc, 0) AS fc, coalesce(dm, 0) AS dm, coalesce(tc, 0) AS tc, mu, xu, hs, tf.ts AS tsh, ac, coalesce(direct_outage_count, 0) AS doc, coalesce(direct_unplanned_count, 0) AS duc, coalesce(equipment_failure_count, 0) AS efc, coalesce(direct_minutes, 0) AS dmin, coalesce(contextual_count, 0) AS ctx, coalesce(contextual_severe_count, 0) AS ctxs, ({NOW} - commissioned_day) / 365.25::DOUBLE / expected_life_years AS r, greatest({NOW} - next_due_day, 0) AS od, greatest(next_due_day - {NOW}, 0) AS ah
-  FROM assets x LEFT JOIN me ON me.asset_id = x.asset_id LEFT JOIN tf ON tf.feeder_id = x.feeder_id LEFT JOIN oe ON oe.asset_id = x.asset_id),
+HEALTH = LINKED + ", " + a.MAINTENANCE + ", " + a.READINGS + f""", me AS (SELECT asset_id, count(*) AS mc, count(*) FILTER (maintenance_type = 'corrective') AS cc, count(*) FILTER (maintenance_type = 'preventive') AS pc, sum(cost) AS cost, avg(cost) AS mcost, max(day) FILTER (maintenance_status = 'completed') AS lcd, count(*) FILTER (maintenance_type = 'emergency') AS ec, count(*) FILTER (maintenance_status = 'deferred') AS dc, count(*) FILTER (follow_up) AS fc, sum(downtime_minutes) AS dm FROM maint WHERE day <= {NOW} AND day >= {NOW} - 365 GROUP BY ALL),
+tf AS (SELECT link, k, count(*) AS tc, avg(value) AS mu, max(value) AS xu, count(*) FILTER (value >= 90) / count(*)::DOUBLE AS hs, count(*) FILTER (value >= 75) / count(*)::DOUBLE AS ts, count(*) FILTER (value > 60) AS ac, max(ts_min) AS lt FROM (SELECT 'f' AS link, meter_id % 100 + 1 AS k, value, ts_min FROM readings UNION ALL SELECT 's', meter_id % 25, value, ts_min FROM readings) GROUP BY ALL),
+h0 AS (SELECT x.*, coalesce(mc, 0) AS mc, coalesce(cc, 0) AS cc, coalesce(ec, 0) AS ec, coalesce(dc, 0) AS dc, coalesce(fc, 0) AS fc, coalesce(dm, 0) AS dm, coalesce(pc, 0) AS pc, coalesce(cost, 0) AS cost, mcost, lcd, coalesce(tc, 0) AS tc, mu, xu, hs, tf.ts AS tsh, ac, lt, coalesce(direct_planned_count, 0) AS dpc, coalesce(direct_customers, 0) AS dcu, lds, coalesce(direct_outage_count, 0) AS doc, coalesce(direct_unplanned_count, 0) AS duc, coalesce(equipment_failure_count, 0) AS efc, coalesce(direct_minutes, 0) AS dmin, coalesce(contextual_count, 0) AS ctx, coalesce(contextual_severe_count, 0) AS ctxs, ({NOW} - commissioned_day) / 365.25::DOUBLE / expected_life_years AS r, greatest({NOW} - next_due_day, 0) AS od, greatest(next_due_day - {NOW}, 0) AS ah
+  FROM assets x LEFT JOIN me ON me.asset_id = x.asset_id LEFT JOIN tf ON (CASE WHEN x.asset_type = 'primary_substation' OR x.feeder_id IS NULL THEN link = 's' AND tf.k = x.substation_id ELSE link = 'f' AND tf.k = x.feeder_id END) LEFT JOIN oe ON oe.asset_id = x.asset_id),
 h1 AS (SELECT *, CASE WHEN r <= 0.5 THEN least(100, greatest(0, 100 - 20 * r)) WHEN r <= 1 THEN least(100, greatest(0, 90 - 60 * (r - 0.5) / 0.5)) ELSE least(100, greatest(0, 30 - 30 * least(1, r - 1))) END AS s1, CASE WHEN od > 0 THEN 70 - 70 * least(365, od) / 365.0::DOUBLE WHEN ah >= 180 THEN 100 ELSE least(100, 80 + 20 * ah / 180.0::DOUBLE) END AS s2,
   CASE WHEN mc = 0 THEN 50 ELSE least(100, greatest(0, 100 - (25 * cc / mc::DOUBLE + 30 * ec / mc::DOUBLE + 12 * least(3, dc) + 8 * least(3, fc) + 20 * least(1, dm / 720.0::DOUBLE)))) END AS s3, CASE WHEN tc = 0 THEN 50 ELSE least(100, greatest(0, 100 - (0.8 * greatest(0, mu - 75) + 0.6 * greatest(0, xu - 95) + 25 * hs + 25 * tsh))) END AS s4, CASE WHEN tc = 0 THEN 50 ELSE least(100, greatest(0, 100 - 12 * least(8, ac))) END AS s5, least(100, greatest(0, 100 - (25 * duc + 15 * efc + 20 * least(1, dmin / 720.0::DOUBLE) + 4 * least(4, ctx)))) AS s6 FROM h0),
 h2 AS (SELECT *, 0.18 * s1 + 0.17 * s2 + 0.20 * s3 + 0.20 * s4 + 0.10 * s5 + 0.15 * s6 AS score FROM h1), h3 AS (SELECT *, CASE WHEN score <= 35 THEN 'CRITICAL' WHEN score <= 55 THEN 'DEGRADED' WHEN score <= 75 THEN 'WATCH' ELSE 'HEALTHY' END AS band, od > 0 OR dc > 0 OR duc > 0 OR operational_status IN ('maintenance', 'retired') AS pressing FROM h2)"""
 
 
-@query("health_features", HEALTH + " SELECT asset_id, mc AS maintenance_count, cc AS corrective_count, ec AS emergency_count, dc AS deferred_count, CAST(dm AS BIGINT) AS downtime_minutes, tc AS telemetry_count, mu AS mean_utilisation, hs AS high_utilisation_share, doc AS direct_outage_count, duc AS direct_unplanned_count, ctx AS contextual_count, ctxs AS contextual_severe_count, r AS age_ratio FROM h0")
+@query("health_features", HEALTH + " SELECT asset_id, mc AS maintenance_count, cc AS corrective_count, ec AS emergency_count, dc AS deferred_count, CAST(dm AS BIGINT) AS downtime_minutes, tc AS telemetry_count, mu AS mean_utilisation, hs AS high_utilisation_share, doc AS direct_outage_count, duc AS direct_unplanned_count, ctx AS contextual_count, ctxs AS contextual_severe_count, r AS age_ratio, pc AS preventive_count, fc AS follow_up_count, cost AS maintenance_cost, mcost AS mean_cost, lcd AS last_completed_day, xu AS max_utilisation, tsh AS high_temperature_share, ac AS alarm_count, lt AS last_telemetry_min, efc AS equipment_failure_count, dmin AS direct_minutes, dpc AS direct_planned_count, dcu AS direct_customers, lds AS last_direct_start, od AS inspection_overdue_days FROM h0")
 def health_features(s, d):
-    return _health(s, d).select("asset_id", "maintenance_count", "corrective_count", "emergency_count", "deferred_count", "downtime_minutes", "telemetry_count", "mean_utilisation", "high_utilisation_share", "direct_outage_count", "direct_unplanned_count", "contextual_count", "contextual_severe_count", "age_ratio")
+    return _health(s, d).select("asset_id", "maintenance_count", "corrective_count", "emergency_count", "deferred_count", "downtime_minutes", "telemetry_count", "mean_utilisation", "high_utilisation_share", "direct_outage_count", "direct_unplanned_count", "contextual_count", "contextual_severe_count", "age_ratio", "preventive_count", "follow_up_count", "maintenance_cost", "mean_cost", "last_completed_day", "max_utilisation", "high_temperature_share", "alarm_count", "last_telemetry_min", "equipment_failure_count", "direct_minutes", "direct_planned_count", "direct_customers", "last_direct_start", "inspection_overdue_days")
 
 
 @query("health_scores", HEALTH + " SELECT asset_id, s1::DOUBLE AS age_score, s2::DOUBLE AS inspection_score, s3::DOUBLE AS maintenance_score, s4::DOUBLE AS telemetry_score, s5::DOUBLE AS alarm_score, s6::DOUBLE AS outage_score, score AS health_score, band AS health_band FROM h3")

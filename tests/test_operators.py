@@ -1,6 +1,7 @@
 """Operators on hand-made rows: known numbers, zero denominators, band limits, empty tables, and models against NumPy."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -113,6 +114,21 @@ def test_disjunctive_join(spark):
     assert sorted((r.asset_id, r.outage_id, r.direct) for r in health.linked_outages(a, o).collect()) == [("x", "o1", True), ("y", "o1", False), ("z", "o2", False)]
 
 
+def test_outage_evidence_like_the_pairs(spark):
+    """Sums by inclusion and exclusion against the pairs themselves, with nulls on either side and outages of nobody."""
+    rng = random.Random(2)
+    pick = lambda n: rng.choice([None, *range(n)])
+    a = spark.createDataFrame([(i, pick(3), pick(2)) for i in range(12)], "asset_id long, feeder_id long, substation_id long")
+    o = spark.createDataFrame([(f"o{i}", pick(14), pick(3), pick(2), rng.random() < 0.5, rng.choice(["equipment_failure", "x"]), i, i, rng.random() < 0.5, i) for i in range(80)],
+                              "outage_id string, primary_asset_id long, feeder_id long, substation_id long, planned boolean, cause string, duration_minutes long, customers long, severe boolean, start_min long")
+    pairs = health.linked_outages(a, o).collect()
+    for r in health.outage_evidence(a, o).collect():
+        mine = [p for p in pairs if p.asset_id == r.asset_id]
+        direct, around = [p for p in mine if p.direct], [p for p in mine if not p.direct]
+        assert (r.direct_outage_count, r.direct_unplanned_count, r.equipment_failure_count, r.direct_minutes, r.last_direct_start) == (len(direct), sum(not p.planned for p in direct), sum(p.cause == "equipment_failure" for p in direct), sum(p.duration_minutes for p in direct), max((p.start_min for p in direct), default=None))
+        assert (r.contextual_count, r.contextual_severe_count) == (len(around), sum(p.severe for p in around))
+
+
 def test_ridge_and_logistic_against_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 2))
