@@ -28,8 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE, LEAST = 5, 75
-#: The cut of a fingerprint; the search does without fingerprints.
-BITS, RADIUS = 63, 24
 
 
 def words(text: str = "text") -> Column:
@@ -50,12 +48,6 @@ def items_of(benchmark: DataFrame, key: str = "item_id") -> DataFrame:
     return split.select("item", F.size("ws").alias("w"), F.least(F.size("ws"), F.lit(SHINGLE)).alias("k"), hashes.alias("h")).withColumn("m", F.size("h"))
 
 
-def blocks() -> list[tuple[int, int]]:
-    """(first bit, bits) of RADIUS + 1 blocks, as equal as can be."""
-    edges = [BITS * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity), one row for each document and item that it leaks."""
     items = items_of(benchmark)

@@ -2,7 +2,7 @@
 
 `pages` walks the chain of image directories of a file, gathers each page's strips or tiles, undoes PackBits, LZW or deflate
 and the horizontal predictor, and gives the pixels of each page. `tiff_pages` emits one row per page of a binary column.
-`store` turns any byte string into a greyscale TIFF, losslessly, and `digest` stores, reads back and describes texts.
+`store` turns any byte string into a greyscale TIFF, losslessly, and `digest` stores, reads back page by page and describes texts.
 
 Null media have no rows; files that break off, carry an unknown compression or are no TIFF raise ValueError in `pages` and give
 one row with page -1 and the reason in `error` in `tiff_pages`, so that nothing is lost silently. Repeated rows give repeated
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_slices, slices
+from .common import SLICE_BYTES, map_slices, slices
 
 #: Tags and codes of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -30,6 +30,10 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 
+#: More pixels than any of the compressions makes of a byte; bounds the memory that a damaged header can ask for.
+LARGEST_RATIO = 4096
+
+
 class Page(NamedTuple):
     page: int
     width: int
@@ -175,7 +179,7 @@ def expand(data: bytes, compression: int, size: int) -> bytes:
         return lzw_decode(data, size)
     if compression in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, size)
         except zlib.error as e:
             raise ValueError(str(e)) from None
     raise ValueError(f"compression {compression} is unknown")
@@ -261,14 +265,18 @@ def _directory(media: bytes, order: str, at: int) -> tuple[dict[int, list[int]],
 
 
 def _page(media: bytes, tags: dict[int, list[int]], number: int) -> Page:
-    one = lambda tag, default=None: tags.get(tag, [default])[0]
+    one = lambda tag, default=None: (tags.get(tag) or [default])[0]
     columns, rows, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    if not columns or not rows or set(tags.get(BITS, [1])) != {8} or one(PLANAR, 1) != 1:
+    if not columns or not rows or not samples or set(tags.get(BITS, [1])) != {8} or one(PLANAR, 1) != 1:
         raise ValueError("only chunky 8-bit pages with a size are read")
+    if columns * rows * samples > LARGEST_RATIO * len(media):
+        raise ValueError("the page is larger than its file can hold")
     compression, predictor = one(COMPRESSION, 1), one(PREDICTOR, 1)
     tiled = TILES in tags
     wide = one(TILE_WIDTH) if tiled else columns
     high = one(TILE_HEIGHT) if tiled else min(one(ROWS, rows), rows)
+    if not wide or not high:
+        raise ValueError("strips or tiles without a size")
     where, sizes = tags.get(TILES if tiled else STRIPS, []), tags.get(TILE_BYTES if tiled else STRIP_BYTES, [])
     across = -(-columns // wide)
     if len(where) != len(sizes) or len(where) < across * -(-rows // high):
@@ -290,33 +298,43 @@ def _page(media: bytes, tags: dict[int, list[int]], number: int) -> Page:
     return Page(number, columns, rows, samples, compression, image.tobytes())
 
 
-def tiff_pages(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """(key, page, width, height, samples, compression, pixels, error), one row per page.
+def tiff_pages(df: DataFrame, key: str = "doc_id", media: str = "media", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, page, width, height, samples, compression, pixels, error, carry...), one row per page, a file's pages one after the other.
 
     A page that can't be read gives a row with its number and the error, and the next directory follows; page -1 is an error of the
     file, after which no directory is found.
     """
-    src = df.select(key, media)
-    kind = dict(df.dtypes)[key]
+    src = df.select(key, media, *carry)
+    kinds = dict(df.dtypes)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = f"`{key}` {kind}, page int, width int, height int, samples int, compression int, pixels binary, error string"
+    schema = ", ".join([f"`{key}` {kinds[key]}, page int, width int, height int, samples int, compression int, pixels binary, error string", *(f"`{c}` {kinds[c]}" for c in carry)])
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
+    def of(data: bytes) -> Iterator[dict]:
+        try:
+            for number, tags in directories(data):
+                try:
+                    yield {**_page(data, tags, number)._asdict(), "error": None}
+                except ValueError as e:
+                    yield {"page": number, "error": str(e)}
+        except ValueError as e:
+            yield {"page": -1, "error": str(e)}
+
     def run(batches):
+        out, held = [], 0
         for part in slices(batches):
-            for k, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if data is None:
+            for row in part.to_pylist():
+                if (data := row.pop(media)) is None:
                     continue
-                try:
-                    for number, tags in directories(data):
-                        try:
-                            row = {**_page(data, tags, number)._asdict(), "error": None}
-                        except ValueError as e:
-                            row = {"page": number, "error": str(e)}
-                        yield pa.RecordBatch.from_pylist([{key: k, **row}], schema=arrow)
-                except ValueError as e:
-                    yield pa.RecordBatch.from_pylist([{key: k, "page": -1, "error": str(e)}], schema=arrow)
+                for page in of(data):
+                    out.append(row | page)
+                    held += len(page.get("pixels", b""))
+                    if held > SLICE_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return src.mapInArrow(run, schema)
 
@@ -325,32 +343,68 @@ def tiff_pages(df: DataFrame, key: str = "doc_id", media: str = "media") -> Data
 COLUMNS, PAGE_ROWS = 64, 1024
 
 
-def store(payload: bytes, compression: int = DEFLATE, predictor: int = 2) -> bytes:
-    """A payload whose length is a positive multiple of COLUMNS, as pages of at most PAGE_ROWS rows."""
+def store(payload: bytes) -> bytes:
+    """A payload whose length is a positive multiple of COLUMNS, as pages of at most PAGE_ROWS rows.
+
+    Its checksum chooses the form, so that a corpus has all of them: a sixteenth in strips of LZW, three in strips of PackBits, four
+    in tiles and eight in strips of deflate, always with differences of neighbours but for PackBits.
+    """
     image = np.frombuffer(payload, np.uint8).reshape(-1, COLUMNS)
-    return write_tiff([image[r : r + PAGE_ROWS] for r in range(0, len(image), PAGE_ROWS)], compression, predictor)
+    form = zlib.crc32(payload) % 16
+    images = [image[r : r + PAGE_ROWS] for r in range(0, len(image), PAGE_ROWS)]
+    if form == 0:
+        return write_tiff(images, LZW, 2)
+    if form < 4:
+        return write_tiff(images, PACKBITS, 1)
+    return write_tiff(images, DEFLATE, 2, tile=(64, 32) if form < 8 else None)
+
 
+def stored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, media, media_bytes, media_sha256): each text's bytes, padded with zeros, as a TIFF."""
 
-def features(read: list[Page]) -> str:
-    """Pages, rows, the mean level in hundredths, and a 16-bit hash of which quarter-page bands are lighter than the next."""
-    pixels = np.concatenate([np.frombuffer(p.pixels, np.uint8) for p in read])
-    bands = [int(b.sum()) * 4096 // max(len(b), 1) for b in np.array_split(pixels, 17)]
+    def run(cols):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in cols[text]]
+        media = [store(r.ljust(max(64, -(-len(r) // 64) * 64), b"\0")) for r in raw]
+        return {key: cols[key], "n_bytes": list(map(len, raw)), "media": media, "media_bytes": list(map(len, media)), "media_sha256": [hashlib.sha256(m).hexdigest() for m in media]}
+
+    return map_slices(df.select(key, text), run, f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, media binary, media_bytes long, media_sha256 string")
+
+
+def features(pixels: bytes, pages: int) -> str:
+    """Pages, rows, the mean level in hundredths, and a 16-bit hash of which seventeenths of the pixels are lighter than the next."""
+    level = np.frombuffer(pixels, np.uint8)
+    bands = [int(b.sum()) * 4096 // max(len(b), 1) for b in np.array_split(level, 17)]
     sign = sum(1 << i for i in range(16) if bands[i] > bands[i + 1])
-    return f"pages={len(read)};rows={sum(p.height for p in read)};mean={int(pixels.sum()) * 100 // len(pixels)};bands={sign:04x}"
+    return f"pages={pages};rows={len(level) // COLUMNS};mean={int(level.sum()) * 100 // len(level)};bands={sign:04x}"
 
 
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores each text as a TIFF, reads it back through `pages`, and describes both forms."""
+    """Stores each text as a TIFF, reads it back page by page, and describes both forms. A page that doesn't come back is an error."""
+    pages = tiff_pages(stored(df, key, text), key, "media", ("n_bytes", "media_bytes", "media_sha256"))
+    schema = f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(cols):
-        out = {n: [] for n in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for value in cols[text]:
-            raw = (value or "").encode("utf-8", "surrogatepass")
-            media = store(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"))
-            read = list(pages(media))
-            back = b"".join(p.pixels for p in read)
-            for name, got in (("n_bytes", len(raw)), ("payload_bytes", len(back)), ("payload_sha256", hashlib.sha256(back).hexdigest()), ("tail_crc32", zlib.crc32(back[-64:])), ("media_bytes", len(media)), ("media_sha256", hashlib.sha256(media).hexdigest()), ("feature", features(read))):
-                out[name].append(got)
-        return {key: cols[key]} | out
-
-    return map_slices(df.select(key, text), run, f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def described(first: dict, parts: list[bytes]) -> dict:
+        back = b"".join(parts)
+        return {key: first[key], "n_bytes": first["n_bytes"], "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-64:]), "media_bytes": first["media_bytes"], "media_sha256": first["media_sha256"], "feature": features(back, len(parts))}
+
+    def run(batches):
+        first, parts, out = None, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["error"]:
+                    raise ValueError(f"page {row['page']}: {row['error']}")
+                if row["page"] == 0:  # a file's pages follow one another, so this one begins the next file
+                    if first:
+                        out.append(described(first, parts))
+                    first, parts = row, []
+                parts.append(row.pop("pixels"))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        if first:
+            yield pa.RecordBatch.from_pylist([described(first, parts)], schema=arrow)
+
+    return pages.mapInArrow(run, schema)

@@ -2,15 +2,15 @@
 
 Records are ordered by (hash of the text, doc_id), so copies lie side by side. A size-weighted sample of the text hashes gives
 quantile boundaries, which cut the order into many small ranges; their exact sizes are then counted. Where one text holds more
-than a range should, it becomes a range of its own, and it is subdivided by doc_id: always for numbering, and into several
-shards only if it alone outweighs a whole shard. Ranges go to shards heaviest first, each to the lightest shard so far, so
+than a range should, it becomes a range of its own, and it is subdivided by a running number of its rows: always for numbering,
+and into several shards only if it alone outweighs a whole shard. Ranges go to shards heaviest first, each to the lightest shard so far, so
 `bytes` is the law that holds: sizes are near equal, and equal texts share a shard unless that can't be.
 
-The driver sees the sample and one row per range, a number that follows `cells` and not the documents. Slots number the
-records of a shard from 0 without gaps: the offset of the range plus the place in it.
+The driver sees the sample and one row per range; there are `cells` ranges a shard, or as many as keep a range to about RANGE_ROWS
+rows. Slots number the records of a shard from 0 without gaps: the offset of the range plus the place in it.
 
-Null texts have size 1 (nothing plus 1) and the checksum of no bytes. An empty table gives no rows. Equal keys are told apart
-by nothing, so doc_id should be unique; repeated rows still get slots of their own.
+Null texts have size 1 (nothing plus 1) and the checksum of no bytes. An empty table gives no rows. Null and repeated ids are rows
+like any other: sampling and subdividing go by the running number, which the written table holds. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import window as W
 
 from .common import written
 
-#: Ranges for each shard; sample keys drawn for each range.
-CELLS, DRAWN = 128, 8
+#: Ranges for each shard at least; sample keys drawn for each range; rows of a range from where on there are more ranges.
+CELLS, DRAWN, RANGE_ROWS = 128, 8, 1 << 20
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -38,10 +38,10 @@ def sizes(docs: DataFrame) -> DataFrame:
 def splitters(rows: DataFrame, cells: int, total: int) -> list[int]:
     """Boundaries at the quantiles of a sample that takes each record with a chance in proportion to its size.
 
-    The chance is read off a hash of the key, so it is the same on every run; about cells * DRAWN keys are drawn.
+    The chance is read off a hash of the row's number, so it is the same whenever it is read; about cells * DRAWN keys are drawn.
     """
     chance = F.col("size") * F.lit(cells * DRAWN / max(total, 1))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("uid", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     keys = sorted(r[0] for r in rows.filter(draw < chance).select("h").collect())
     return sorted({keys[i * len(keys) // cells] for i in range(1, cells)}) if keys else []
 
@@ -50,8 +50,9 @@ def shard(docs: DataFrame, shards: int = 8, cells: int = CELLS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row; `cells` is the number of ranges per shard."""
     spark = docs.sparkSession
     # A few dozen bytes a document, written once, so that texts are read once.
-    rows = written(sizes(docs))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
+    rows = written(sizes(docs).withColumn("uid", F.monotonically_increasing_id()))
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).collect()[0]
+    cells = max(cells, -(-n_rows // (shards * RANGE_ROWS)))
     cuts = np.array(splitters(rows, shards * cells, total), np.int64)
 
     @F.pandas_udf("int")
@@ -68,14 +69,14 @@ def shard(docs: DataFrame, shards: int = 8, cells: int = CELLS) -> DataFrame:
         known = np.array(order, np.int64)
 
         @F.pandas_udf("long")
-        def part_of(h: pd.Series, d: pd.Series) -> pd.Series:
-            """-1 for ordinary rows, else heavy text's place << 32 | part by doc_id."""
+        def part_of(h: pd.Series, uid: pd.Series) -> pd.Series:
+            """-1 for ordinary rows, else heavy text's place << 32 | part by the row's number."""
             hh = h.to_numpy()
             i = np.minimum(np.searchsorted(known, hh), len(known) - 1)
-            mixed = (d.fillna(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            mixed = (uid.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             return pd.Series(np.where(known[i] == hh, (i << 32) | (mixed.astype(np.int64) % parts[i]), -1))
 
-        rows = rows.withColumn("part", part_of("h", "doc_id"))
+        rows = rows.withColumn("part", part_of("h", "uid"))
     else:
         order = []
         rows = rows.withColumn("part", F.lit(-1).cast("long"))
@@ -97,7 +98,7 @@ def shard(docs: DataFrame, shards: int = 8, cells: int = CELLS) -> DataFrame:
         heapq.heappush(heap, (load, s))
 
     at = spark.createDataFrame(given or [(0, 0, 0, 0)], "cell int, part long, shard int, offset long")
-    place = F.row_number().over(W.Window.partitionBy("cell", "part").orderBy("h", "doc_id")) - 1
+    place = F.row_number().over(W.Window.partitionBy("cell", "part").orderBy("h", "doc_id", "uid")) - 1
     # One row per range: shards * cells and the parts of heavy texts, at most three times as many, so it is small whatever the documents.
     return rows.withColumn("place", place).join(F.broadcast(at), ["cell", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -89,12 +89,6 @@ def test_decontamination_of_repeated_shingles(spark):
     assert set(want) == {(1, 1), (2, 1), (3, 1), (4, 2)} and got == pytest.approx(want)
 
 
-def test_simhash_blocks_cover_the_radius():
-    cover = decontamination.blocks()
-    assert len(cover) == decontamination.RADIUS + 1 and sum(n for _, n in cover) == decontamination.BITS
-    assert [a for a, _ in cover] == list(np.cumsum([0] + [n for _, n in cover])[:-1])
-
-
 # --- 2 substrings
 
 def cut_by_hand(rows):
@@ -196,6 +190,45 @@ def test_tiff_operator(spark):
 
 # --- 5 licences
 
+def test_tiff_digest_by_hand(spark):
+    """Every stored form, and what is said of it, recomputed from the file that `store` makes; files of several pages among them."""
+    rows = ODD + [(i, f"text {i} " * (i % 7 * 40)) for i in range(60)] + [(70, "long " * 40_000), (None, "no id"), (None, None)]
+    forms = set()
+    got = sorted(((r.doc_id is None, r.doc_id, r.n_bytes), r.media_bytes, r.media_sha256, r.feature) for r in media.digest(docs_of(spark, rows)).collect())
+    want = []
+    for d, t in rows:
+        raw = (t or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        data = media.store(payload)
+        read = list(media.pages(data))
+        assert b"".join(p.pixels for p in read) == payload
+        forms.add((read[0].compression, media.TILES in next(media.directories(data))[1]))
+        level = list(payload)
+        cut = [(len(level) // 17 + 1) * i if i <= len(level) % 17 else len(level) // 17 * i + len(level) % 17 for i in range(18)]
+        bands = [sum(level[x:y]) * 4096 // max(y - x, 1) for x, y in zip(cut, cut[1:])]
+        sign = sum(1 << i for i in range(16) if bands[i] > bands[i + 1])
+        want.append(((d is None, d, len(raw)), len(data), hashlib.sha256(data).hexdigest(), f"pages={-(-len(payload) // 65536)};rows={len(payload) // 64};mean={sum(level) * 100 // len(level)};bands={sign:04x}"))
+    assert got == sorted(want) and forms == {(media.LZW, False), (media.PACKBITS, False), (media.DEFLATE, True), (media.DEFLATE, False)}
+    assert media.digest(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_tiff_damage_is_an_error_row(spark):
+    """Any damaged tag: zero or absent sizes, empty lists, sizes beyond the file; no other file is touched by it."""
+    rows, n = [], 0
+    for tile in (None, (16, 16)):
+        good = media.write_tiff([np.full((20, 20), 7, np.uint8)], media.DEFLATE, 2, 8, tile)
+        at = struct.unpack_from("<I", good, 4)[0]
+        for k in range(struct.unpack_from("<H", good, at)[0]):
+            for field, kind, value in ((4, "<I", 0), (8, "<I", 0), (8, "<I", 0xFFFFFFFF), (0, "<H", 9999), (4, "<I", 0xFFFFFFFF), (8, "<I", 3)):
+                bad = bytearray(good)
+                struct.pack_into(kind, bad, at + 2 + 12 * k + field, value)
+                rows.append((n := n + 1, bad))
+        rows.append((0, bytearray(good)))
+    got = media.tiff_pages(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert {r.doc_id for r in got} == {d for d, _ in rows} and all((r.pixels is None) == bool(r.error) for r in got)
+    assert [r.pixels for r in got if r.doc_id == 0] == [bytes([7] * 400)] * 2
+
+
 def test_tiff_pages_after_one_that_cannot_be_read(spark):
     data = bytearray(media.write_tiff([np.full((4, 8), i, np.uint8) for i in range(3)], media.DEFLATE, 2))
     order = "<" if data[:2] == b"II" else ">"
@@ -301,6 +334,19 @@ def test_shards_keep_copies_together(spark):
 
 # --- 9 URLs
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: (1 << 60) + i % 3])
+def test_shards_keep_their_law_on_equal_rows(spark, ids):
+    """One heavy text under null, one or few ids, so that only the rows' numbers can subdivide it."""
+    rows = [(ids(i), "x" * 999) for i in range(800)] + [(i, f"small {i}") for i in range(50)]
+    got = sharding.shard(docs_of(spark, rows)).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 0.05 * sum(sizes.values()) / 8
+    assert all(sorted(r.slot for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in range(8))
+    assert sorted((r.doc_id is None, r.doc_id) for r in got) == sorted((d is None, d) for d, _ in rows)
+
+
 def test_url_rules(spark):
     rows = [(1, "http://A.Example.org/en/7?x"), (2, "https://example.org/en/123"), (3, "http://x.example.org/es/a"), (4, "ftp://b.com/fr/1#t"), (5, "http://b.com/de/"), (6, "http://b.com/de"), (7, "no scheme.org/"), (8, None), (9, ""), (10, "http://org"), (11, "http://myexample.org/es/"), (12, "x://user@host?y"), (12, "x://user@host?y"), (13, "http://cheap-pills.com/q")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"g": F.lit(1), "host": F.lit(2), "path": F.lit(3), "html": F.lit(None).cast("string")})
