@@ -14,7 +14,8 @@ a name that is unique to a document drops out before the next, longer one is ran
 3. For the others, the smallest document of each run ranks its 50-byte strings one by one, up to the threshold, and removes
    those that a smaller document has.
 
-Names beyond 8 bytes are 64-bit mixes of the pair; equal names of unequal strings are as rare as such collisions.
+Names beyond 8 bytes are 64-bit mixes of the pair. What removes bytes, a run or a string of 50, is also compared by an independent
+mix of 32 bits, so unequal ones meet by a chance of 2**-96 a pair.
 
 A null text counts as empty: nothing of it is removed. A document without an id, or whose text is under LENGTH bytes, stays whole,
 and the former is nobody's source. Rows that repeat an id are each judged against smaller ids only. Extra columns may be carried.
@@ -34,7 +35,7 @@ LENGTH, SEED_BYTES = 50, 24
 SPAN = LENGTH - SEED_BYTES + 1
 #: Bytes worked on at once, so that arrays stay in the processor's cache; strings of a run at most.
 CHUNK, LONGEST_RUN = 1 << 16, 40
-A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
+A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93))
 
 
 def stir(x: np.ndarray) -> np.ndarray:
@@ -94,15 +95,20 @@ class Chunk:
             last = np.minimum(last, at + LONGEST_RUN - 1)
         return doc + self.first, at, last, least[at]
 
-    def strings(self) -> np.ndarray:
-        """Names of LENGTH bytes."""
-        sixteen = self.names()[1]
-        long = sixteen[:-16] * C
-        long += sixteen[16:]
+    def strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Names of LENGTH bytes, and their checks."""
+        eight, sixteen = self.names()
         gap = LENGTH - 32
-        pair = long[:-gap] * B
-        pair += long[gap:]
-        return stir(pair)
+
+        def longer(sixteen: np.ndarray, x: np.uint64, y: np.uint64) -> np.ndarray:
+            long = sixteen[:-16] * x
+            long += sixteen[16:]
+            pair = long[:-gap] * y
+            pair += long[gap:]
+            return stir(pair)
+
+        other = stir(eight)
+        return longer(sixteen, C, B), (longer(other[:-8] * D + other[8:], A, D) >> np.uint64(32)).astype(np.uint32)
 
 
 class Bucket:
@@ -137,6 +143,17 @@ def _least_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ranked[begin], np.minimum.reduceat(values, begin), np.maximum.reduceat(values, begin)
 
 
+def _groups(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (key, check), where each distinct pair begins in it, and the number of each entry's pair."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
+
+
 NAME, RUN, STRING, SHARED, REMOVED = range(5)
 
 
@@ -161,30 +178,45 @@ def _joined_bits(messages: list[Message], kind: int) -> np.ndarray:
     return np.concatenate(got) if got else np.zeros(0, bool)
 
 
+def _send_least(layout: Layout, kind: int, src: int, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> list[Message]:
+    """Each distinct (key, check) with the least document that has it."""
+    if not len(keys):
+        return []
+    order, begin, _ = _groups(keys, checks)
+    first, least = order[begin], np.minimum.reduceat(ids[order], begin)
+    checks = checks[first]
+    return _send(layout, kind, src, keys[first], lambda x, y: checks[x:y].tobytes() + planes(least[x:y]))
+
+
 def _answer_least(kind: int, got: list[Message]) -> list[Message]:
-    """To every entry, the least document of its key: a bit says whether it is the entry's own, else the number follows."""
+    """To every entry, the least document of its key and check: a bit says whether it is the entry's own, else the number follows."""
     sent = [unpack(m[3]) for m in got]
-    own = np.concatenate([unplanes(rest) for _, rest in sent])
-    order, begin, counts = merged([k for k, _ in sent])
-    least = back(order, counts, np.minimum.reduceat(own[order], begin), [len(k) for k, _ in sent])
+    checks = np.concatenate([np.frombuffer(rest, np.uint32, len(k)) for k, rest in sent])
+    own = np.concatenate([unplanes(rest[4 * len(k) :]) for k, rest in sent])
+    order, begin, number = _groups(np.concatenate([k for k, _ in sent]), checks)
+    least = np.minimum.reduceat(own[order], begin)[number]
     out, at = [], 0
-    for m, mine in zip(got, least):
-        other = mine != own[at : at + len(mine)]
-        at += len(mine)
+    for m, (k, _) in zip(got, sent):
+        mine, other = least[at : at + len(k)], least[at : at + len(k)] != own[at : at + len(k)]
+        at += len(k)
         # The source of an answer is the range that gave it, so that a bucket can put ranges in order.
         out.append((m[1], m[0], kind, _bits(other) + planes(mine[other])))
     return out
 
 
-def _read_least(messages: list[Message], kind: int, own: np.ndarray) -> np.ndarray:
-    out, at = own.copy(), 0
+def _read_least(messages: list[Message], kind: int, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each entry that `_send_least` was given, the least document of all buckets."""
+    if not len(keys):
+        return ids
+    order, begin, number = _groups(keys, checks)
+    out, at = np.minimum.reduceat(ids[order], begin), 0
     for m in messages:
         if m[2] == kind:
             other, rest = _unbits(m[3])
             part = out[at : at + len(other)]
             part[other] = unplanes(rest)
             at += len(other)
-    return out
+    return out[number]
 
 
 def _rounds(docs: DataFrame, layout: Layout, carry: tuple[str, ...], emit, schema: str) -> DataFrame:
@@ -210,7 +242,7 @@ def _rounds(docs: DataFrame, layout: Layout, carry: tuple[str, ...], emit, schem
         return [(m[1], r, SHARED, _bits(s)) for m, s in zip(got, back(order, counts, shared, [len(k) for k, _ in sent]))]
 
     def shared_runs(bucket: Bucket, shared: np.ndarray):
-        """Of each run whose name others have: chunk, document, first, last string, and the keys of its name and of the whole run."""
+        """Of each run whose name others have: chunk, strings, document, first, last string, its name, and key and check of the whole run."""
         found, names = all_runs(bucket)
         keep = shared[np.searchsorted(np.unique(names), names)]
         at, parts = 0, []
@@ -219,10 +251,11 @@ def _rounds(docs: DataFrame, layout: Layout, carry: tuple[str, ...], emit, schem
             at += len(doc)
             if not ok.any():
                 continue
-            string = c.strings()
+            string, check = c.strings()
             doc, first, last, name = doc[ok], first[ok], last[ok], name[ok]
             whole = stir((string[first] * A + string[last]) * B + name + (last - first).astype(np.uint64))
-            parts.append((c, string, doc, first, last, name, whole))
+            checks = stir(check[first] * A + check[last] * B + (last - first).astype(np.uint64)) >> np.uint64(32)
+            parts.append((c, (string, check), doc, first, last, name, whole, checks.astype(np.uint32)))
         return parts
 
     def send_runs(b, table, answers):
@@ -234,8 +267,7 @@ def _rounds(docs: DataFrame, layout: Layout, carry: tuple[str, ...], emit, schem
             keys, low, high = _least_by(names, whole)
             one = np.where(low == high, low, np.uint64(0))
             out += _send(layout, NAME, b, keys, lambda x, y: one[x:y].tobytes())
-            keys2, least, _ = _least_by(whole, bucket.ids[np.concatenate([p[2] for p in parts])])
-            out += _send(layout, RUN, b, keys2, lambda x, y: planes(least[x:y]))
+            out += _send_least(layout, RUN, b, whole, np.concatenate([p[7] for p in parts]), bucket.ids[np.concatenate([p[2] for p in parts])])
         return message(out)
 
     def rank_runs(r, got):
@@ -258,18 +290,18 @@ def _rounds(docs: DataFrame, layout: Layout, carry: tuple[str, ...], emit, schem
         if parts:
             names, whole, doc = np.concatenate([layout.short(p[5]) for p in parts]), np.concatenate([p[6] for p in parts]), np.concatenate([p[2] for p in parts])
             mixed = _joined_bits(answers, NAME)[np.searchsorted(np.unique(names), names)]
-            keys, own, _ = _least_by(whole, bucket.ids[doc])
-            least = _read_least(answers, RUN, own)[np.searchsorted(keys, whole)]
+            least = _read_least(answers, RUN, whole, np.concatenate([p[7] for p in parts]), bucket.ids[doc])
             drop, rank = bucket.ids[doc] > least, mixed & (bucket.ids[doc] == least)
             at = 0
-            for c, string, d, first, last, _, _ in parts:
+            for c, (string, check), d, first, last, *_ in parts:
                 part = slice(at, at := at + len(d))
                 base = c.start[d - c.first]
                 x = drop[part]
                 gone.append(np.stack([d[x], first[x] - base[x], last[x] - base[x] + LENGTH]))
                 x = rank[part]
                 n = last[x] - first[x] + 1
-                single.append((np.stack([d[x], first[x] - base[x], n]), string[spread(first[x], n)]))
+                at_string = spread(first[x], n)
+                single.append((np.stack([d[x], first[x] - base[x], n]), string[at_string], check[at_string]))
         return gone, single
 
     def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -281,11 +313,10 @@ def _rounds(docs: DataFrame, layout: Layout, carry: tuple[str, ...], emit, schem
         gone, single = judged(bucket, answers)
         none = np.zeros((3, 0), np.int64)
         run, cover = (np.concatenate([none, *x], axis=1) for x in ([s[0] for s in single], gone))
-        string = np.concatenate([np.zeros(0, np.uint64), *[s[1] for s in single]])
-        keys, least, _ = _least_by(string, bucket.ids[np.repeat(run[0], run[2])])
+        string, check = np.concatenate([np.zeros(0, np.uint64), *[s[1] for s in single]]), np.concatenate([np.zeros(0, np.uint32), *[s[2] for s in single]])
         # Strings are looked up again by their place: the runs are kept, the names are computed anew.
         out = [(-1 - b, b, REMOVED, cover.astype(np.int32).tobytes()), (-1 - b, b, SHARED, run.astype(np.int32).tobytes())]
-        out += _send(layout, STRING, b, keys, lambda x, y: planes(least[x:y]))
+        out += _send_least(layout, STRING, b, string, check, bucket.ids[np.repeat(run[0], run[2])])
         return message(out)
 
     def rank_strings(r, got):
@@ -297,14 +328,15 @@ def _rounds(docs: DataFrame, layout: Layout, carry: tuple[str, ...], emit, schem
         where = [np.frombuffer(m[3], np.int32).reshape(3, -1).astype(np.int64) for m in answers if m[2] == SHARED]
         if where and where[0].shape[1]:
             doc, pos = np.repeat(where[0][0], where[0][2]), spread(where[0][1], where[0][2])
-            string, at = np.empty(len(doc), np.uint64), 0
+            string, check, at = np.empty(len(doc), np.uint64), np.empty(len(doc), np.uint32), 0
             for c in bucket.chunks():
                 end = int(np.searchsorted(doc, c.first + len(c.start)))
                 if end > at:
-                    string[at:end] = c.strings()[pos[at:end] + c.start[doc[at:end] - c.first]]
+                    here = pos[at:end] + c.start[doc[at:end] - c.first]
+                    names = c.strings()
+                    string[at:end], check[at:end] = names[0][here], names[1][here]
                 at = end
-            keys, own, _ = _least_by(string, bucket.ids[doc])
-            drop = bucket.ids[doc] > _read_least(answers, STRING, own)[np.searchsorted(keys, string)]
+            drop = bucket.ids[doc] > _read_least(answers, STRING, string, check, bucket.ids[doc])
             cover.append(np.stack([doc[drop], pos[drop], pos[drop] + LENGTH]))
         spans: dict[int, np.ndarray] = {}
         if cover:

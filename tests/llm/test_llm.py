@@ -132,12 +132,30 @@ def test_substrings(spark):
     out = substrings.dedup(docs_of(spark, rows), keep_text=True, carry=("h",))
     got = sorted([tuple(r)[:5] for r in out.collect()], key=str)
     assert got == cut_by_hand(rows)
-    assert all(r.kept.encode() == r.kept.encode() and r.h == "clash" for r in out.collect())
+    assert all(r.h == "clash" for r in out.collect())
+    whole = {(d, hashlib.sha256((t or "").encode()).hexdigest()): t or "" for d, t in rows}
+    for r in out.collect():  # what is cut inside a character keeps the character, else `kept` has the bytes of the checksum
+        at_most = r.n_removed and (r.doc_id, r.kept_sha256) not in whole
+        assert hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 or at_most and not r.kept.isascii() and 0 < len(r.kept.encode()) - (r.n_bytes - r.n_removed) <= 6 * r.n_spans
     assert substrings.dedup(docs_of(spark, rows).limit(0)).count() == 0
 
 
 # --- 3 BPE
 
+def test_equal_keys_are_told_apart_by_their_checks():
+    layout, rng = exchange.Layout(1 << 20), np.random.default_rng(6)
+    buckets = [(rng.integers(0, 8, 40).astype(np.uint64) << np.uint64(61), rng.integers(0, 3, 40).astype(np.uint32), rng.integers(-5, 1 << 40, 40)) for _ in range(3)]
+    messages = [m for b, entries in enumerate(buckets) for m in substrings._send_least(layout, substrings.STRING, b, *entries)]
+    answers = [a for r in {m[0] for m in messages} for a in substrings._answer_least(substrings.STRING, sorted(m for m in messages if m[0] == r))]
+    least = {}
+    for entries in buckets:
+        for k, c, d in zip(*entries):
+            least[k, c] = min(d, least.get((k, c), d))
+    for b, (keys, checks, ids) in enumerate(buckets):
+        got = substrings._read_least(sorted(a for a in answers if a[0] == b), substrings.STRING, keys, checks, ids)
+        assert got.tolist() == [least[k, c] for k, c in zip(keys, checks)]
+
+
 def test_bpe_like_the_library(spark):
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(tokenizers_path("word_bpe_49k.json"))
     rng = random.Random(1)
