@@ -25,7 +25,7 @@ from .common import map_slices
 #: Parts up to which the scanned array is used.
 SHORT = 64
 #: Words that a task remembers; beyond that it starts anew (this bounds memory, not results).
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: The characters that count as white space in the tokenizer's patterns (Unicode White_Space).
 SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _SPACE_RUN = regex.compile(f"[{SPACES}]+")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -30,6 +31,13 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES) -> I
             yield batch.slice(at, step)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks, and what one group needed would stay theirs."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def map_slices(df: DataFrame, fn: Callable[[dict], dict], schema: str, state: Callable[[], object] | None = None) -> DataFrame:
     """mapInArrow over slices: fn gets the columns as lists (and the task's state, if any) and returns columns as lists."""
     names = df.columns
@@ -40,6 +48,8 @@ def map_slices(df: DataFrame, fn: Callable[[dict], dict], schema: str, state: Ca
             cols = {n: part.column(i).to_pylist() for i, n in enumerate(names)}
             out = fn(cols, own) if state else fn(cols)
             yield pa.RecordBatch.from_pydict(out, schema=out_schema)
+        own = cols = out = None
+        trim()
 
     from pyspark.sql.pandas.types import to_arrow_schema
 

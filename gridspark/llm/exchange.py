@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 MESSAGE = "dest int, src int, kind int, blob binary"
 ARROW = pa.schema([("dest", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 #: Text bytes of a bucket; it grows with the square root of the input beyond 1 GB, up to the largest.
@@ -35,7 +37,7 @@ class Layout:
     def __init__(self, total_bytes: int, bucket_bytes: int | None = None):
         size = bucket_bytes or min(LARGEST_BUCKET, int(BUCKET_BYTES * max(1.0, math.sqrt(total_bytes / 1e9))))
         self.buckets = max(LEAST_BUCKETS, -(-total_bytes // size))
-        self.range_bits = max(6, math.ceil(math.log2(self.buckets)) - 2)
+        self.range_bits = max(6, math.ceil(math.log2(self.buckets)) - 1)
         #: Leading bits of a key that make a false meeting of two keys as rare as 2**-10 a key.
         self.key_bits = min(64, 10 + max(20, math.ceil(math.log2(max(total_bytes, 2)))))
 
@@ -98,6 +100,11 @@ def read_messages(table: pa.Table) -> list[Message]:
     return sorted(zip(*(table.column(n).to_pylist() for n in ("dest", "src", "kind", "blob"))), key=lambda m: (m[0], m[2], m[1]))
 
 
+def trimmed(table: pa.Table) -> pa.Table:
+    trim()
+    return table
+
+
 def dealt(docs: DataFrame, layout: Layout, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows by a hash of key and text, so that rows without a key, or of one key, spread as their texts do."""
     bucket = F.pmod(F.xxhash64(key, text), F.lit(layout.buckets)).cast("int")
@@ -107,7 +114,7 @@ def dealt(docs: DataFrame, layout: Layout, key: str = "doc_id", text: str = "tex
 def first_round(dealt_docs: DataFrame, fn: Callable[[int, pa.Table], list[Message]]) -> DataFrame:
     """Each bucket's messages to ranges."""
     def run(key, table):
-        return message_table(fn(key[0].as_py(), table))
+        return trimmed(message_table(fn(key[0].as_py(), table)))
 
     return dealt_docs.groupBy("b").applyInArrow(run, MESSAGE)
 
@@ -117,7 +124,7 @@ def ranges(messages: DataFrame, fn: Callable[[int, list[Message]], list[Message]
     def run(key, table):
         dest = key[0].as_py()
         got = read_messages(table)
-        return message_table([(-1 - dest, *m[1:]) for m in got] if dest < 0 else fn(dest, got))
+        return trimmed(message_table([(-1 - dest, *m[1:]) for m in got] if dest < 0 else fn(dest, got)))
 
     return messages.groupBy("dest").applyInArrow(run, MESSAGE)
 
@@ -125,7 +132,7 @@ def ranges(messages: DataFrame, fn: Callable[[int, list[Message]], list[Message]
 def next_round(dealt_docs: DataFrame, answers: DataFrame, fn: Callable[[int, pa.Table, list[Message]], pa.Table], schema: str) -> DataFrame:
     """Documents of a bucket and the answers to it, together."""
     def run(key, docs, table):
-        return fn(key[0].as_py(), docs, read_messages(table))
+        return trimmed(fn(key[0].as_py(), docs, read_messages(table)))
 
     return dealt_docs.groupBy("b").cogroup(answers.groupBy("dest")).applyInArrow(run, schema)
 

@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import slices
+from .common import slices, trim
 
 DIMENSIONS = 512
 SYMBOLS = 96
 SEED = 7
 #: Trigram vectors that a task keeps; beyond that it starts anew (bounds memory, not results).
-KEPT_VECTORS = 20_000
+KEPT_VECTORS = 10_000
 
 
 def _letter_table() -> np.ndarray:
@@ -134,6 +134,8 @@ def train(df: DataFrame, text: str = "text", label: str = "lang") -> dict[str, n
                 c = codes[at : at + 4096]
                 total += counts[c].astype(np.float64) @ vectors.bind(c).astype(np.float64)
             yield pa.RecordBatch.from_pydict({"lang": [lang], "v": [total.tolist()]}, schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))]))
+        sums.clear()
+        trim()
 
     sums = src.mapInArrow(bundle, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
@@ -168,6 +170,8 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                 scores.append(float(min(1.0, max(0.0, cos[best]))))
             cols = [c.cast(f.type) for c, f in zip(part.columns, arrow)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=arrow)
+        vectors = None
+        trim()
 
     return src.mapInArrow(run, schema)
 
