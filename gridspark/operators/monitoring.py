@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.scalar import ratio
 
 #: Fields that may hold an event's time, in order of preference.
-TIME_FIELDS = ("event_timestamp", "weather_timestamp", "outage_start", "scheduled_start", "actual_start", "completed_at", "restoration_time", "ingested_at", "forecast_timestamp", "observation_timestamp", "assessment_timestamp")
+TIME_FIELDS = ("reading_timestamp", "event_timestamp", "weather_timestamp", "timestamp", "outage_start", "restoration_time", "maintenance_date", "actual_start", "scheduled_start", "completed_at", "commissioned_date")
 
 
 def event_time(rows: DataFrame) -> Column:
@@ -21,20 +21,21 @@ def event_time(rows: DataFrame) -> Column:
 
 
 def freshness(rows: DataFrame, by: str, at: str, now: str, limit_minutes: int = 120) -> DataFrame:
-    """(by, n, latest, age_minutes, status, reason) per dataset: up to the limit healthy, up to twice degraded, else failed."""
+    """(by, n, latest, without_time, age_minutes, status, reason, severity) per dataset: up to the limit healthy, up to twice degraded,
+    else failed. A dataset of which a row has no time is degraded, one without rows not available."""
     agg = rows.groupBy(by).agg(F.count("*").alias("n"), F.max(at).alias("latest"), F.sum(F.col(at).isNull().cast("long")).alias("without_time"))
     age = F.timestamp_diff("MINUTE", F.col("latest"), F.lit(now).cast("timestamp_ntz"))
     out = agg.withColumn("age_minutes", age)
     reason = (F.when(F.col("n") == 0, "DATASET_EMPTY").when(F.col("latest").isNull() | (F.col("without_time") > 0), "EVENT_TIMESTAMP_MISSING").when(F.col("age_minutes") <= limit_minutes, "DATA_FRESH").when(F.col("age_minutes") <= 2 * limit_minutes, "DATA_STALE").otherwise("DATA_VERY_STALE"))
     out = out.withColumn("reason", reason)
-    return out.withColumn("status", F.when(F.col("reason") == "DATA_FRESH", "HEALTHY").when(F.col("reason") == "DATA_STALE", "DEGRADED").otherwise("FAILED"))
+    return out.withColumn("status", F.when(F.col("reason") == "DATASET_EMPTY", "NOT_AVAILABLE").when(F.col("reason") == "DATA_FRESH", "HEALTHY").when(F.col("reason") == "DATA_VERY_STALE", "FAILED").otherwise("DEGRADED")).withColumn("severity", F.when(F.col("reason") == "DATA_FRESH", "INFO").when(F.col("reason") == "DATA_VERY_STALE", "HIGH").otherwise("WARNING"))
 
 
 def expected_datasets(found: DataFrame, expected: list[str], by: str = "dataset") -> DataFrame:
     """Adds the datasets that gave no rows, as DATASET_EMPTY."""
     spark = found.sparkSession
     missing = spark.createDataFrame([(e,) for e in expected], f"{by} string").join(found.select(by), by, "left_anti")
-    return found.unionByName(missing.withColumns({"n": F.lit(0).cast("long"), "reason": F.lit("DATASET_EMPTY"), "status": F.lit("FAILED")}), allowMissingColumns=True)
+    return found.unionByName(missing.withColumns({"n": F.lit(0).cast("long"), "reason": F.lit("DATASET_EMPTY"), "status": F.lit("NOT_AVAILABLE"), "severity": F.lit("WARNING")}), allowMissingColumns=True)
 
 
 def volume(counts: DataFrame, least: int, most: int, count: str = "n", baseline: str = "baseline", change: float = 0.5) -> DataFrame:
@@ -61,22 +62,37 @@ def schema_diff(old: DataFrame, new: DataFrame, on: list[str] | None = None) ->
     return out.select(*on, "change", (F.col("change") != "ADDED_OPTIONAL").alias("breaking"), F.when(F.col("change") == "ADDED_OPTIONAL", "INFO").when(F.col("change") == "ADDED_REQUIRED", "WARNING").otherwise("HIGH").alias("severity"))
 
 
-def numeric_drift(old: DataFrame, new: DataFrame, columns: list[str], limit: float) -> DataFrame:
-    """(field, old_mean, new_mean, drift, drifted): the absolute difference of means; both sides are one aggregate each."""
-    means = lambda df, side: df.agg(*[F.avg(c).alias(c) for c in columns]).unpivot([], columns, "field", f"{side}_mean")
+def _drift_reason(kind: str, limit: float | None, enough: Column) -> Column:
+    beyond = F.lit(False) if limit is None else F.coalesce(F.col("drift") > limit, F.lit(False))
+    return F.when(~enough, "INSUFFICIENT_SAMPLE_FOR_DRIFT").when(beyond, f"{kind}_DISTRIBUTION_DRIFT").otherwise("NO_DISTRIBUTION_DRIFT")
+
+
+def numeric_drift(old: DataFrame, new: DataFrame, columns: list[str], limit: float, least: int = 2) -> DataFrame:
+    """(field, old_mean, new_mean, drift, drifted, reason): the absolute difference of means; both sides are one aggregate each.
+
+    A field with fewer than `least` values on a side has no drift (null).
+    """
+    def means(df: DataFrame, side: str) -> DataFrame:
+        of = df.agg(*[F.struct(F.avg(c).alias("mean"), F.count(c).alias("n")).alias(c) for c in columns]).unpivot([], columns, "field", "x")
+        return of.select("field", F.col("x.mean").alias(f"{side}_mean"), F.col("x.n").alias(f"{side}_n"))
+
     both = means(old, "old").join(means(new, "new"), "field", "full_outer")
-    return both.withColumn("drift", F.abs(F.col("new_mean") - F.col("old_mean"))).withColumn("drifted", F.coalesce(F.col("drift") > limit, F.lit(False)))
+    enough = F.least(F.coalesce("old_n", F.lit(0)), F.coalesce("new_n", F.lit(0))) >= least
+    out = both.withColumn("drift", F.when(enough, F.abs(F.col("new_mean") - F.col("old_mean")))).withColumn("reason", _drift_reason("NUMERIC", limit, enough))
+    return out.select("field", "old_mean", "new_mean", "drift", (F.col("reason") == "NUMERIC_DISTRIBUTION_DRIFT").alias("drifted"), "reason")
 
 
-def categorical_drift(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
-    """(field, drift): the total variation distance between two distributions, in [0, 1]."""
+def categorical_drift(old: DataFrame, new: DataFrame, column: str, limit: float | None = None, least: int = 2) -> DataFrame:
+    """(field, drift, reason): the total variation distance between two distributions, in [0, 1]; null under `least` rows on a side."""
     c = F.col(column).cast("string")
     one = F.lit(1)
     n = lambda df, side: df.groupBy(c.alias("_c")).agg(F.count("*").alias(side))
     both = n(old, "a").withColumn("b", F.lit(0).cast("long")).unionByName(n(new, "b").withColumn("a", F.lit(0).cast("long"))).groupBy("_c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     totals = both.groupBy(one.alias("_1")).agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    shares = both.withColumn("_1", one).join(F.broadcast(totals), "_1")
-    return shares.groupBy("_1").agg((0.5 * F.sum(F.abs(F.coalesce(ratio("a", "ta"), F.lit(0.0)) - F.coalesce(ratio("b", "tb"), F.lit(0.0))))).alias("drift")).select(F.lit(column).alias("field"), "drift")
+    shares = both.withColumn("_1", one).join(F.broadcast(totals), "_1")  # the totals are one row
+    found = shares.groupBy("_1").agg((0.5 * F.sum(F.abs(F.coalesce(ratio("a", "ta"), F.lit(0.0)) - F.coalesce(ratio("b", "tb"), F.lit(0.0))))).alias("drift"), F.min(F.least("ta", "tb")).alias("least"))
+    enough = F.col("least") >= least
+    return found.withColumn("drift", F.when(enough, F.col("drift"))).select(F.lit(column).alias("field"), "drift", _drift_reason("CATEGORICAL", limit, enough).alias("reason"))
 
 
 def model_health(metrics: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
@@ -87,24 +103,27 @@ def model_health(metrics: DataFrame, rules: list[tuple[str, str, float]]) -> Dat
     return metrics.join(F.broadcast(table), "metric").select("metric", "value", "limit", "kind", F.coalesce(breach, F.lit(False)).alias("breached"))
 
 
-SEVERITY = {"CRITICAL": "FAILED", "HIGH": "FAILED", "WARNING": "DEGRADED"}
+#: What an alert is known by, and severities that reason codes bring with them.
+ALERT_FIELDS = ("monitoring_run_id", "component", "source_run_id", "scope_type", "scope_id", "monitor_type", "metric", "reason_code")
+SEVERITY_OF = {"DATA_VERY_STALE": "HIGH", "COMPONENT_RUN_FAILED": "CRITICAL", "CHECKSUM_MISMATCH": "HIGH", "BREAKING_SCHEMA_DRIFT": "HIGH"}
 
 
-def alerts(records: DataFrame, order: list[str], minimum: str = "WARNING", suppressed_components: list[str] | None = None) -> DataFrame:
-    """Adds alert_id, alert_status and suppression_reason to monitoring records (component, check_name, severity, triggered, ...).
+def alerts(records: DataFrame, order: list[str], severities: dict[str, str] = SEVERITY_OF, least_sample: int = 2, suppress: tuple[str, ...] = ("info", "sample", "repeated")) -> DataFrame:
+    """Adds alert_id, alert_status and suppression_reason to monitoring records (status, severity, ALERT_FIELDS, sample_size, ...), and
+    replaces their severity by that of their reason code, if it has one.
 
-    INFO is always suppressed; so are components in maintenance, and the second and later alert with one id (the later reason
-    wins). What is triggered and not suppressed is OPEN, else it is NOT_TRIGGERED.
+    A record that is DEGRADED or FAILED is TRIGGERED, others are NOT_TRIGGERED; suppressed ones are SUPPRESSED either way. The last
+    reason to suppress that holds is told: INFO records, samples under the least size, later records of one alert id in the given
+    order. `order` has to tell records apart. Absent fields count as blank.
     """
-    ident = ["component", "check_name", "subject", "severity", "reason", "run_id", "metric", "observed"]
-    joined = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) if c in records.columns else F.lit("") for c in ident])
-    out = records.withColumn("alert_id", F.concat(F.lit("ALERT-"), F.upper(F.substring(F.sha2(joined, 256), 1, 16))))
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in records.columns else F.lit("")
+    levels = F.create_map(*[F.lit(x) for kv in severities.items() for x in kv]) if severities else F.create_map().cast("map<string,string>")
+    out = records.withColumn("alert_id", F.substring(F.sha2(F.concat_ws("|", *map(given, ALERT_FIELDS)), 256), 1, 16)).withColumn("severity", F.coalesce(F.try_element_at(levels, given("reason_code")), F.col("severity")))
     rank = F.row_number().over(Window.partitionBy("alert_id").orderBy(*order))
-    levels = F.create_map(*[F.lit(x) for kv in {"INFO": 0, "WARNING": 1, "HIGH": 2, "CRITICAL": 3}.items() for x in kv])
-    low = {"INFO": 0, "WARNING": 1, "HIGH": 2, "CRITICAL": 3}[minimum]
-    reason = F.when(rank > 1, "DUPLICATE_ALERT").when(F.col("component").isin(suppressed_components or [""]), "COMPONENT_IN_MAINTENANCE").when(F.try_element_at(levels, F.col("severity")) < low, "BELOW_MINIMUM_SEVERITY")
-    out = out.withColumn("suppression_reason", reason)
-    return out.withColumn("alert_status", F.when(F.col("suppression_reason").isNotNull(), "SUPPRESSED").when(F.col("triggered"), "OPEN").otherwise("NOT_TRIGGERED"))
+    small = F.coalesce(F.col("sample_size") < least_sample, F.lit(False)) if "sample_size" in records.columns else F.lit(False)
+    rules = [("repeated", rank > 1, "DUPLICATE_ALERT_SUPPRESSED"), ("sample", small, "INSUFFICIENT_SAMPLE_SUPPRESSED"), ("info", F.col("severity") == "INFO", "INFO_ALERT_SUPPRESSED")]
+    out = out.withColumn("suppression_reason", F.coalesce(*[F.when(c, F.lit(r)) for name, c, r in rules if name in suppress], F.lit(None).cast("string")))
+    return out.withColumn("alert_status", F.when(F.col("suppression_reason").isNotNull(), "SUPPRESSED").when(F.col("status").isin("DEGRADED", "FAILED"), "TRIGGERED").otherwise("NOT_TRIGGERED"))
 
 
 def roll_up(records: DataFrame, by: list[str]) -> DataFrame:

@@ -111,14 +111,16 @@ def score(k: DataFrame, least_population: int = 1) -> DataFrame:
     return out.withColumn("reliability_band", F.when(F.col("reliability_score").isNull(), "INSUFFICIENT_DATA").otherwise(ladder(F.col("reliability_score"), BANDS, "STRONG")))
 
 
-def reasons(k: DataFrame, least_population: int = 1, keep: int = 5) -> DataFrame:
-    """Reason codes by falling priority."""
+def reasons(k: DataFrame, least_population: int = 1, keep: int = 5, least_completeness: float = 0.5) -> DataFrame:
+    """Reason codes (fixed values) by falling priority. A column `completeness` is the share of the population that is known; without
+    it, the population is known where it has the least size."""
     c = F.col
+    known = c("completeness") if "completeness" in k.columns else F.when(c("population") >= least_population, 1.0).otherwise(0.0)
     rules = [
-        (c("population") < least_population, "LOW_DATA_COMPLETENESS"), (c("population") < least_population, "INSUFFICIENT_POPULATION_DATA"), (c("saifi") >= 1, "HIGH_INTERRUPTION_FREQUENCY"),
+        (known < least_completeness, "LOW_DATA_COMPLETENESS"), (c("population") < least_population, "INSUFFICIENT_POPULATION_DATA"), (c("saifi") >= 1, "HIGH_INTERRUPTION_FREQUENCY"),
         (c("saidi_minutes") >= 120, "HIGH_INTERRUPTION_DURATION"), (c("mean_duration") > 180, "LONG_RESTORATION_TIME"), (c("asai") < 0.99, "LOW_SERVICE_AVAILABILITY"), (c("unplanned_count") > 1, "REPEATED_UNPLANNED_OUTAGES"),
         (c("severe_count") > 0, "SEVERE_WEATHER_OUTAGE_EXPOSURE"), (c("equipment_count") > 0, "EQUIPMENT_FAILURE_OUTAGE_CONCENTRATION"), (c("customer_interruptions") > c("population"), "HIGH_CUSTOMER_INTERRUPTION_VOLUME"),
-        (c("prolonged_count") > 0, "PROLONGED_OUTAGE_EVENT"), (c("planned_count") > c("unplanned_count"), "PLANNED_OUTAGE_CONCENTRATION"), (c("outage_count") == 0, "INSUFFICIENT_OUTAGE_HISTORY"),
+        (c("prolonged_count") > 0, "PROLONGED_OUTAGE_EVENT"), (c("planned_count") > 0, "PLANNED_OUTAGE_CONCENTRATION"), (c("outage_count") == 0, "INSUFFICIENT_OUTAGE_HISTORY"),
         (c("unplanned_count") == 0, "NO_UNPLANNED_OUTAGES"), (c("asai") >= 0.999, "STRONG_SERVICE_AVAILABILITY")]
     return k.withColumn("reason_codes", codes(rules, keep))
 

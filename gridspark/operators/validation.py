@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ISSUE = "struct<code:string,severity:string,field:string,observed:string,expected:string>"
 
@@ -50,6 +51,13 @@ def parsed(raw: Column, kind: str) -> Column:
     return raw
 
 
+#: The codes that an issue or a refused source can have; users match on them.
+ISSUE_CODES = (
+    "REQUIRED_FIELD_MISSING", "UNEXPECTED_FIELD", "INVALID_DATA_TYPE", "INVALID_TIMESTAMP", "INVALID_DATE", "VALUE_OUT_OF_RANGE", "INVALID_CATEGORY",
+    "DUPLICATE_PRIMARY_KEY", "DUPLICATE_NATURAL_KEY", "FOREIGN_KEY_NOT_FOUND", "HIERARCHY_MISMATCH", "SCHEMA_VERSION_MISMATCH", "MALFORMED_RECORD",
+    "EMPTY_FILE", "MANIFEST_MISSING", "MANIFEST_MALFORMED", "MANIFEST_CHECKSUM_MISMATCH", "MANIFEST_COUNT_MISMATCH", "MANIFEST_SIZE_MISMATCH",
+    "MANIFEST_DATASET_MISSING", "MANIFEST_DATASET_UNEXPECTED", "MANIFEST_DUPLICATE_ENTRY", "FILE_MISSING", "FILE_UNEXPECTED", "UNSUPPORTED_FORMAT",
+    "INCONSISTENT_CSV_ROW", "CHRONOLOGY_INVALID", "DERIVED_VALUE_MISMATCH")
 _BAD_TYPE = {"timestamp": "INVALID_TIMESTAMP", "date": "INVALID_DATE"}
 
 
@@ -67,9 +75,9 @@ def typed(rows: DataFrame, contract: dict) -> DataFrame:
         cols.append(value.alias(name))
         if f.get("required", True):
             found.append(issue(~given, "REQUIRED_FIELD_MISSING", name))
-        found.append(issue(given & value.isNull(), _BAD_TYPE.get(kind, "INVALID_TYPE"), name, raw, kind))
+        found.append(issue(given & value.isNull(), _BAD_TYPE.get(kind, "INVALID_DATA_TYPE"), name, raw, kind))
         if f.get("allowed_values"):
-            found.append(issue(given & ~raw.isin([str(v) for v in f["allowed_values"]]), "VALUE_NOT_ALLOWED", name, raw, "|".join(map(str, f["allowed_values"]))))
+            found.append(issue(given & ~raw.isin([str(v) for v in f["allowed_values"]]), "INVALID_CATEGORY", name, raw, "|".join(map(str, f["allowed_values"]))))
         if name == "schema_version":
             found.append(issue(given & (raw != contract["schema_version"]), "SCHEMA_VERSION_MISMATCH", name, raw, contract["schema_version"]))
         if name in ranges and kind in ("integer", "number"):
@@ -93,11 +101,14 @@ def range_issues(rows: DataFrame, ranges: dict[str, tuple[float, float]]) -> Dat
 def duplicate_issues(rows: DataFrame, key: list[str], order: list[str], out: str = "n_duplicate_issues") -> DataFrame:
     """Adds how many duplicate issues a row has: each later copy of a key one, the first copy as many as there are later ones.
 
-    Counting is partially aggregated; only keys with copies are then ranked.
+    Rows without a part of the key aren't judged. Counting is partially aggregated. Of rows that are equal in `order`, too, one is
+    the first; only these are ranked, so a key with many copies is no task's alone.
     """
     twice = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_first")).filter("_n > 1")
-    mine = F.struct(*order)
-    return rows.join(twice, key, "left").withColumn(out, F.when(F.col("_n").isNull(), 0).when(mine == F.col("_first"), F.col("_n") - 1).otherwise(1).cast("long")).select(*rows.columns, out)
+    joined = rows.join(twice, key, "left").withColumn("_tied", F.coalesce(F.struct(*order) == F.col("_first"), F.lit(False)))
+    spread = F.when(~F.col("_tied"), F.pmod(F.xxhash64(*key, *order), F.lit(1 << 20)))
+    place = F.row_number().over(Window.partitionBy(*key, "_tied", spread).orderBy(*order))
+    return joined.withColumn(out, F.when(F.col("_n").isNull(), 0).when(F.col("_tied") & (place == 1), F.col("_n") - 1).otherwise(1).cast("long")).select(*rows.columns, out)
 
 
 def missing_keys(rows: DataFrame, key: str, dimension: DataFrame, dim_key: str) -> DataFrame:
@@ -139,7 +150,7 @@ def chronology_issues(dataset: str) -> list[Column]:
                 issue((c("asset_type") == "primary_substation") & (F.coalesce(c("feeder_id"), F.lit("")) != ""), "HIERARCHY_MISMATCH", "feeder_id", c("feeder_id"))]
     if dataset == "maintenance_logs":
         done = c("maintenance_status") == "completed"
-        return [bad(_before("actual_start", "scheduled_start"), "actual_start", "documented schedule variance", "WARNING"), bad(_before("completed_at", "actual_start"), "completed_at", ">= actual_start"),
+        return [bad(_before("actual_start", "scheduled_start"), "actual_start", ">= scheduled_start, unless the schedule was changed", "WARNING"), bad(_before("completed_at", "actual_start"), "completed_at", ">= actual_start"),
                 issue(done & (c("actual_start").isNull() | c("completed_at").isNull()), "REQUIRED_FIELD_MISSING", "completed_at"), issue(c("maintenance_status").isin("scheduled", "cancelled") & (F.coalesce(c("downtime_minutes"), F.lit(-1)) != 0), "VALUE_OUT_OF_RANGE", "downtime_minutes", c("downtime_minutes"), "0", "WARNING")]
     if dataset == "outage_history":
         took = F.floor((F.unix_timestamp("restoration_time") - F.unix_timestamp("outage_start")) / 60)
@@ -153,7 +164,7 @@ def with_rules(rows: DataFrame, dataset: str, key: list[str], order: str = "_row
     ok = ~F.exists("issues", lambda i: i["severity"] == "ERROR")
     good = rows.filter(ok)
     ruled = duplicate_issues(good.withColumn("issues", F.concat("issues", issues(*chronology_issues(dataset)))), key, [order])
-    one = F.struct(F.lit("DUPLICATE_KEY").alias("code"), F.lit("ERROR").alias("severity"), F.lit(",".join(key)).alias("field"), F.lit(None).cast("string").alias("observed"), F.lit(None).cast("string").alias("expected"))
+    one = F.struct(F.lit("DUPLICATE_PRIMARY_KEY").alias("code"), F.lit("ERROR").alias("severity"), F.lit(",".join(key)).alias("field"), F.lit(None).cast("string").alias("observed"), F.lit(None).cast("string").alias("expected"))
     ruled = ruled.withColumn("issues", F.concat("issues", F.array_repeat(one, F.col("n_duplicate_issues").cast("int")))).drop("n_duplicate_issues")
     return ruled.unionByName(rows.filter(~ok))
 

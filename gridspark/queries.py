@@ -77,7 +77,7 @@ def rel_population_levels(s, d):
 
 
 @query("rel_score_reasons", SCORE + """ SELECT level, entity_id, reliability_score, CASE WHEN reliability_score IS NULL THEN 'INSUFFICIENT_DATA' WHEN reliability_score <= 50 THEN 'WEAK' WHEN reliability_score <= 70 THEN 'WATCH' WHEN reliability_score <= 85 THEN 'STABLE' ELSE 'STRONG' END AS reliability_band,
-  array_to_string(list_filter([CASE WHEN population < 1 THEN 'LOW_DATA_COMPLETENESS' END, CASE WHEN population < 1 THEN 'INSUFFICIENT_POPULATION_DATA' END, CASE WHEN saifi >= 1 THEN 'HIGH_INTERRUPTION_FREQUENCY' END, CASE WHEN saidi_minutes >= 120 THEN 'HIGH_INTERRUPTION_DURATION' END, CASE WHEN mean_duration > 180 THEN 'LONG_RESTORATION_TIME' END, CASE WHEN asai < 0.99 THEN 'LOW_SERVICE_AVAILABILITY' END, CASE WHEN unplanned_count > 1 THEN 'REPEATED_UNPLANNED_OUTAGES' END, CASE WHEN severe_count > 0 THEN 'SEVERE_WEATHER_OUTAGE_EXPOSURE' END, CASE WHEN equipment_count > 0 THEN 'EQUIPMENT_FAILURE_OUTAGE_CONCENTRATION' END, CASE WHEN customer_interruptions > population THEN 'HIGH_CUSTOMER_INTERRUPTION_VOLUME' END, CASE WHEN prolonged_count > 0 THEN 'PROLONGED_OUTAGE_EVENT' END, CASE WHEN planned_count > unplanned_count THEN 'PLANNED_OUTAGE_CONCENTRATION' END, CASE WHEN outage_count = 0 THEN 'INSUFFICIENT_OUTAGE_HISTORY' END, CASE WHEN unplanned_count = 0 THEN 'NO_UNPLANNED_OUTAGES' END, CASE WHEN asai >= 0.999 THEN 'STRONG_SERVICE_AVAILABILITY' END], lambda x: x IS NOT NULL)[1:5], '|') AS reason_codes FROM sc""")
+  array_to_string(list_filter([CASE WHEN population < 1 THEN 'LOW_DATA_COMPLETENESS' END, CASE WHEN population < 1 THEN 'INSUFFICIENT_POPULATION_DATA' END, CASE WHEN saifi >= 1 THEN 'HIGH_INTERRUPTION_FREQUENCY' END, CASE WHEN saidi_minutes >= 120 THEN 'HIGH_INTERRUPTION_DURATION' END, CASE WHEN mean_duration > 180 THEN 'LONG_RESTORATION_TIME' END, CASE WHEN asai < 0.99 THEN 'LOW_SERVICE_AVAILABILITY' END, CASE WHEN unplanned_count > 1 THEN 'REPEATED_UNPLANNED_OUTAGES' END, CASE WHEN severe_count > 0 THEN 'SEVERE_WEATHER_OUTAGE_EXPOSURE' END, CASE WHEN equipment_count > 0 THEN 'EQUIPMENT_FAILURE_OUTAGE_CONCENTRATION' END, CASE WHEN customer_interruptions > population THEN 'HIGH_CUSTOMER_INTERRUPTION_VOLUME' END, CASE WHEN prolonged_count > 0 THEN 'PROLONGED_OUTAGE_EVENT' END, CASE WHEN planned_count > 0 THEN 'PLANNED_OUTAGE_CONCENTRATION' END, CASE WHEN outage_count = 0 THEN 'INSUFFICIENT_OUTAGE_HISTORY' END, CASE WHEN unplanned_count = 0 THEN 'NO_UNPLANNED_OUTAGES' END, CASE WHEN asai >= 0.999 THEN 'STRONG_SERVICE_AVAILABILITY' END], lambda x: x IS NOT NULL)[1:5], '|') AS reason_codes FROM sc""")
 def rel_score_reasons(s, d):
     return reliability.reasons(reliability.score(_kpis(s, d))).select("level", "entity_id", "reliability_score", "reliability_band", F.array_join("reason_codes", "|").alias("reason_codes"))
 
@@ -471,9 +471,12 @@ def val_ingestion(s, d):
     return validation.ingestion_metrics(o.select(F.col("o_orderpriority").alias("dataset"), found.alias("issues")))
 
 
-@query("mon_freshness", "WITH f AS (SELECT event_type, count(*) AS n, max(ts) AS latest, date_diff('minute', max(ts), TIMESTAMP '2024-01-31 00:00:00') AS age FROM events GROUP BY ALL) SELECT event_type, n, latest, CASE WHEN age <= 20 THEN 'DATA_FRESH' WHEN age <= 40 THEN 'DATA_STALE' ELSE 'DATA_VERY_STALE' END AS reason, CASE WHEN age <= 20 THEN 'HEALTHY' WHEN age <= 40 THEN 'DEGRADED' ELSE 'FAILED' END AS status FROM f")
+@query("mon_freshness", """WITH e AS (SELECT event_type, CASE WHEN event_type <> 'signup' OR user_id % 50 <> 0 THEN ts END AS ts FROM events), f AS (SELECT event_type, count(*) AS n, max(ts) AS latest, count(*) - count(ts) AS without_time, date_diff('minute', max(ts), TIMESTAMP '2024-01-31 00:00:00') AS age FROM e GROUP BY ALL UNION ALL SELECT 'nobody', 0, NULL, NULL, NULL)
+SELECT event_type, n, latest, CASE WHEN n = 0 THEN 'DATASET_EMPTY' WHEN without_time > 0 THEN 'EVENT_TIMESTAMP_MISSING' WHEN age <= 20 THEN 'DATA_FRESH' WHEN age <= 40 THEN 'DATA_STALE' ELSE 'DATA_VERY_STALE' END AS reason, CASE WHEN n = 0 THEN 'NOT_AVAILABLE' WHEN without_time > 0 THEN 'DEGRADED' WHEN age <= 20 THEN 'HEALTHY' WHEN age <= 40 THEN 'DEGRADED' ELSE 'FAILED' END AS status FROM f""")
 def mon_freshness(s, d):
-    return monitoring.freshness(a.table(s, d, "events"), "event_type", "ts", "2024-01-31 00:00:00", 20).select("event_type", "n", "latest", "reason", "status")
+    e = a.table(s, d, "events").withColumn("ts", F.when((F.col("event_type") != "signup") | (F.col("user_id") % 50 != 0), F.col("ts")))
+    found = monitoring.freshness(e, "event_type", "ts", "2024-01-31 00:00:00", 20)
+    return monitoring.expected_datasets(found, ["nobody"], "event_type").select("event_type", "n", "latest", "reason", "status")
 
 
 @query("mon_volume", "WITH c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY day) AS baseline FROM c) SELECT event_type, day, n, (n - baseline) / baseline::DOUBLE AS pct_change, CASE WHEN n < 10 THEN 'VOLUME_BELOW_MINIMUM' WHEN n > 1000000 THEN 'VOLUME_ABOVE_MAXIMUM' WHEN baseline IS NULL THEN 'NO_VOLUME_BASELINE' WHEN (n - baseline) / baseline::DOUBLE <= -0.1 THEN 'VOLUME_DROP' WHEN (n - baseline) / baseline::DOUBLE >= 0.1 THEN 'VOLUME_SPIKE' ELSE 'VOLUME_IN_RANGE' END AS reason FROM b")
@@ -489,14 +492,14 @@ def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return e.filter("ts < timestamp_ntz'2024-01-16 00:00:00'"), e.filter("ts >= timestamp_ntz'2024-01-16 00:00:00'")
 
 
-@query("mon_drift_numeric", "WITH m AS (SELECT avg(value) FILTER (ts < TIMESTAMP '2024-01-16') AS a, avg(value) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM events) SELECT 'value' AS field, a AS old_mean, b AS new_mean, abs(b - a) AS drift, abs(b - a) > 0.5 AS drifted FROM m")
+@query("mon_drift_numeric", "WITH m AS (SELECT avg(value) FILTER (ts < TIMESTAMP '2024-01-16') AS a, avg(value) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM events) SELECT 'value' AS field, a AS old_mean, b AS new_mean, abs(b - a) AS drift, abs(b - a) > 0.5 AS drifted, CASE WHEN abs(b - a) > 0.5 THEN 'NUMERIC_DISTRIBUTION_DRIFT' ELSE 'NO_DISTRIBUTION_DRIFT' END AS reason FROM m")
 def mon_drift_numeric(s, d):
     return monitoring.numeric_drift(*_halves(s, d), ["value"], 0.5)
 
 
-@query("mon_drift_tvd", "WITH c AS (SELECT event_type, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY ALL) SELECT 'event_type' AS field, 0.5 * sum(abs(a / (SELECT sum(a) FROM c)::DOUBLE - b / (SELECT sum(b) FROM c)::DOUBLE)) AS drift FROM c")
+@query("mon_drift_tvd", "WITH c AS (SELECT event_type, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY ALL) SELECT 'event_type' AS field, 0.5 * sum(abs(a / (SELECT sum(a) FROM c)::DOUBLE - b / (SELECT sum(b) FROM c)::DOUBLE)) AS drift, CASE WHEN drift > 0.001 THEN 'CATEGORICAL_DISTRIBUTION_DRIFT' ELSE 'NO_DISTRIBUTION_DRIFT' END AS reason FROM c")
 def mon_drift_tvd(s, d):
-    return monitoring.categorical_drift(*_halves(s, d), "event_type")
+    return monitoring.categorical_drift(*_halves(s, d), "event_type", 0.001)
 
 
 @query("mon_schema_diff", "WITH o AS (SELECT DISTINCT 'f' || (user_id % 40) AS field, CASE WHEN user_id % 40 % 3 = 0 THEN 'string' ELSE 'number' END AS type, user_id % 40 % 2 = 0 AS required FROM events WHERE user_id % 40 < 25), n AS (SELECT DISTINCT 'f' || (user_id % 40) AS field, CASE WHEN user_id % 40 % 5 = 0 THEN 'string' ELSE 'number' END AS type, user_id % 40 % 4 = 0 AS required FROM events WHERE user_id % 40 >= 10), b AS (SELECT coalesce(o.field, n.field) AS field, CASE WHEN o.type IS NULL AND n.required THEN 'ADDED_REQUIRED' WHEN o.type IS NULL THEN 'ADDED_OPTIONAL' WHEN n.type IS NULL THEN 'REMOVED' WHEN o.type <> n.type THEN 'TYPE_CHANGED' WHEN o.required <> n.required THEN 'REQUIREMENT_CHANGED' END AS change FROM o FULL JOIN n ON o.field = n.field) SELECT field, change, change <> 'ADDED_OPTIONAL' AS breaking, CASE change WHEN 'ADDED_OPTIONAL' THEN 'INFO' WHEN 'ADDED_REQUIRED' THEN 'WARNING' ELSE 'HIGH' END AS severity FROM b WHERE change IS NOT NULL")
@@ -507,11 +510,15 @@ def mon_schema_diff(s, d):
     return monitoring.schema_diff(fields(e.filter(u < 25), 3, 2), fields(e.filter(u >= 10), 5, 4))
 
 
-@query("mon_alerts", "WITH r AS (SELECT event_id, event_type AS component, 'value' AS check_name, CAST(user_id AS VARCHAR) AS subject, CASE WHEN value > 100 THEN 'CRITICAL' WHEN value > 50 THEN 'HIGH' WHEN value > 20 THEN 'WARNING' ELSE 'INFO' END AS severity, value > 50 AS triggered FROM events), i AS (SELECT *, 'ALERT-' || upper(substr(sha256(component || '|' || check_name || '|' || subject || '|' || severity || '||||'), 1, 16)) AS alert_id FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY event_id) AS k FROM i), s AS (SELECT *, CASE WHEN k > 1 THEN 'DUPLICATE_ALERT' WHEN component = 'signup' THEN 'COMPONENT_IN_MAINTENANCE' WHEN severity = 'INFO' THEN 'BELOW_MINIMUM_SEVERITY' END AS suppression_reason FROM k) SELECT event_id, alert_id, suppression_reason, CASE WHEN suppression_reason IS NOT NULL THEN 'SUPPRESSED' WHEN triggered THEN 'OPEN' ELSE 'NOT_TRIGGERED' END AS alert_status FROM s")
+@query("mon_alerts", """WITH r AS (SELECT event_id, event_type AS component, user_id AS scope_id, user_id % 7 AS sample_size, CASE WHEN value > 100 THEN 'DATA_VERY_STALE' WHEN value > 50 THEN 'VOLUME_DROP' ELSE 'DATA_FRESH' END AS reason_code, CASE WHEN value > 100 THEN 'FAILED' WHEN value > 50 THEN 'DEGRADED' ELSE 'HEALTHY' END AS status, CASE WHEN value > 20 THEN 'WARNING' ELSE 'INFO' END AS own FROM events),
+i AS (SELECT *, CASE WHEN reason_code = 'DATA_VERY_STALE' THEN 'HIGH' ELSE own END AS severity, substr(sha256('run|' || component || '|||' || scope_id || '||value|' || reason_code), 1, 16) AS alert_id FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY event_id) AS k FROM i),
+s AS (SELECT *, CASE WHEN k > 1 THEN 'DUPLICATE_ALERT_SUPPRESSED' WHEN sample_size < 2 THEN 'INSUFFICIENT_SAMPLE_SUPPRESSED' WHEN severity = 'INFO' THEN 'INFO_ALERT_SUPPRESSED' END AS suppression_reason FROM k)
+SELECT event_id, alert_id, severity, suppression_reason, CASE WHEN suppression_reason IS NOT NULL THEN 'SUPPRESSED' WHEN status IN ('DEGRADED', 'FAILED') THEN 'TRIGGERED' ELSE 'NOT_TRIGGERED' END AS alert_status FROM s""")
 def mon_alerts(s, d):
     v = F.col("value")
-    r = a.table(s, d, "events").select("event_id", F.col("event_type").alias("component"), F.lit("value").alias("check_name"), F.col("user_id").cast("string").alias("subject"), F.when(v > 100, "CRITICAL").when(v > 50, "HIGH").when(v > 20, "WARNING").otherwise("INFO").alias("severity"), (v > 50).alias("triggered"))
-    return monitoring.alerts(r, ["event_id"], suppressed_components=["signup"]).select("event_id", "alert_id", "suppression_reason", "alert_status")
+    r = a.table(s, d, "events").select("event_id", F.lit("run").alias("monitoring_run_id"), F.col("event_type").alias("component"), F.col("user_id").alias("scope_id"), F.lit("value").alias("metric"), (F.col("user_id") % 7).alias("sample_size"),
+                                       F.when(v > 100, "DATA_VERY_STALE").when(v > 50, "VOLUME_DROP").otherwise("DATA_FRESH").alias("reason_code"), F.when(v > 100, "FAILED").when(v > 50, "DEGRADED").otherwise("HEALTHY").alias("status"), F.when(v > 20, "WARNING").otherwise("INFO").alias("severity"))
+    return monitoring.alerts(r, ["event_id"]).select("event_id", "alert_id", "severity", "suppression_reason", "alert_status")
 
 
 CHUNKS = "cz AS (SELECT doc_id, coalesce(text, '') AS t, greatest(1, CAST(ceil((length(coalesce(text, '')) - 100) / 700.0::DOUBLE) AS BIGINT)) AS n FROM documents), cy AS (SELECT doc_id, i, trim(substr(t, i * 700 + 1, 800), ' ') AS chunk FROM (SELECT *, unnest(range(0, n)) AS i FROM cz)), ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS chunk_index, chunk FROM cy WHERE chunk <> '')"

@@ -20,7 +20,7 @@ class ManifestError(ValueError):
 def _once(pairs: list[tuple[str, object]]) -> dict:
     out = dict(pairs)
     if len(out) != len(pairs):
-        raise ManifestError("MANIFEST_DUPLICATE_KEY")
+        raise ManifestError("MANIFEST_DUPLICATE_ENTRY")
     return out
 
 
@@ -38,12 +38,23 @@ def load(path: str) -> dict:
     return got
 
 
+def entries(manifest: dict, expected: list[str]) -> list[tuple[str, str]]:
+    """(dataset or name, code) for entries of a dataset or name that is given twice, of a dataset that isn't expected, and for
+    expected datasets without an entry."""
+    found = []
+    for part in ("dataset", "name"):
+        values = [f[part] for f in manifest["files"]]
+        found += [(v, "MANIFEST_DUPLICATE_ENTRY") for v in sorted(set(values)) if values.count(v) > 1]
+    given = {f["dataset"] for f in manifest["files"]}
+    return found + [(d, "MANIFEST_DATASET_UNEXPECTED") for d in sorted(given - set(expected))] + [(d, "MANIFEST_DATASET_MISSING") for d in sorted(set(expected) - given)]
+
+
 def verify(spark: SparkSession, folder: str, manifest: dict) -> DataFrame:
     """(name, code) for files that are missing, unexpected, or of another size or checksum."""
     found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("got_size"), F.sha2("content", 256).alias("got_sha"))
     want = spark.createDataFrame([(f["name"], f["size"], f["sha256"]) for f in manifest["files"]], "name string, size long, sha string")
     both = want.join(found.filter(F.col("name") != "manifest.json"), "name", "full_outer")
-    code = F.when(F.col("got_size").isNull(), "MANIFEST_FILE_MISSING").when(F.col("size").isNull(), "UNEXPECTED_FILE").when(F.col("size") != F.col("got_size"), "MANIFEST_SIZE_MISMATCH").when(F.col("sha") != F.col("got_sha"), "MANIFEST_CHECKSUM_MISMATCH")
+    code = F.when(F.col("got_size").isNull(), "FILE_MISSING").when(F.col("size").isNull(), "FILE_UNEXPECTED").when(F.col("size") != F.col("got_size"), "MANIFEST_SIZE_MISMATCH").when(F.col("sha") != F.col("got_sha"), "MANIFEST_CHECKSUM_MISMATCH")
     return both.select("name", code.alias("code")).filter("code is not null")
 
 

@@ -19,7 +19,7 @@ class HeaderError(ValueError):
 def read_csv(spark: SparkSession, path: str, contract: dict) -> DataFrame:
     """Text columns in contract order with _row (a line number within a file part, unique and increasing), _file and _issue.
 
-    The header has to list the contract's fields in order (HeaderError otherwise). Short and long lines are MALFORMED_RECORD.
+    The header has to list the contract's fields in order (HeaderError otherwise). Short and long lines are INCONSISTENT_CSV_ROW.
     """
     names = fields(contract)
     head = spark.read.option("header", True).csv(path).columns
@@ -27,7 +27,7 @@ def read_csv(spark: SparkSession, path: str, contract: dict) -> DataFrame:
         raise HeaderError(f"expected {names}, found {head}")
     shape = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_corrupt", T.StringType())])
     rows = spark.read.schema(shape).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", False).csv(path)
-    return rows.select(*names, F.monotonically_increasing_id().alias("_row"), F.col("_metadata.file_path").alias("_file"), F.when(F.col("_corrupt").isNotNull(), "MALFORMED_RECORD").alias("_issue"))
+    return rows.select(*names, F.monotonically_increasing_id().alias("_row"), F.col("_metadata.file_path").alias("_file"), F.when(F.col("_corrupt").isNotNull(), "INCONSISTENT_CSV_ROW").alias("_issue"))
 
 
 def read_jsonl(spark: SparkSession, path: str, contract: dict) -> DataFrame:

@@ -173,8 +173,8 @@ def test_typed_projection(spark):
     raw = spark.createDataFrame([("1", "50", "1_000", "YES", "2024-01-01T00:00:00Z", "a", "2.0.0", None, 0), ("2", "150", "1.0", "t", "x", "c", "1.0.0", "z", 1), (" ", "nan", None, None, "2024-13-01", None, "2.0.0", None, 2)], "id string, humidity_pct string, n string, flag string, at string, kind string, schema_version string, other string, _row int")
     got = {r._row: r for r in validation.typed(raw, CONTRACT).collect()}
     assert (got[0].n, got[0].flag, got[0].issues) == (1000, True, [])
-    assert {(i.field, i.code) for i in got[1].issues} == {("humidity_pct", "VALUE_OUT_OF_RANGE"), ("n", "INVALID_TYPE"), ("flag", "INVALID_TYPE"), ("at", "INVALID_TIMESTAMP"), ("kind", "VALUE_NOT_ALLOWED"), ("schema_version", "SCHEMA_VERSION_MISMATCH"), ("other", "UNEXPECTED_FIELD")}
-    assert {(i.field, i.code) for i in got[2].issues} == {("id", "REQUIRED_FIELD_MISSING"), ("humidity_pct", "INVALID_TYPE"), ("at", "INVALID_TIMESTAMP")}
+    assert {(i.field, i.code) for i in got[1].issues} == {("humidity_pct", "VALUE_OUT_OF_RANGE"), ("n", "INVALID_DATA_TYPE"), ("flag", "INVALID_DATA_TYPE"), ("at", "INVALID_TIMESTAMP"), ("kind", "INVALID_CATEGORY"), ("schema_version", "SCHEMA_VERSION_MISMATCH"), ("other", "UNEXPECTED_FIELD")}
+    assert {(i.field, i.code) for i in got[2].issues} == {("id", "REQUIRED_FIELD_MISSING"), ("humidity_pct", "INVALID_DATA_TYPE"), ("at", "INVALID_TIMESTAMP")}
     good, bad = validation.split(validation.typed(raw, CONTRACT))
     assert (good.count(), bad.count()) == (1, 2)
 
@@ -182,6 +182,8 @@ def test_typed_projection(spark):
 def test_duplicate_multiplicity(spark):
     d = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4)], "k string, _row int")
     assert {r._row: r.n_duplicate_issues for r in validation.duplicate_issues(d, ["k"], ["_row"]).collect()} == {1: 2, 2: 1, 3: 1, 4: 0}
+    same = spark.createDataFrame([("a", 1), ("a", 1), ("a", 1), (None, 2), (None, 2)], "k string, _row int")
+    assert sorted(r.n_duplicate_issues for r in validation.duplicate_issues(same, ["k"], ["_row"]).collect()) == [0, 0, 1, 1, 2]
 
 
 def test_outage_chronology(spark):
@@ -196,6 +198,22 @@ def test_freshness_ladder(spark):
     f = spark.createDataFrame([("a", at - HOUR), ("b", at - 72 * HOUR), ("c", None)], "dataset string, ts timestamp_ntz")
     got = {r.dataset: r.reason for r in monitoring.expected_datasets(monitoring.freshness(f, "dataset", "ts", now), ["a", "d"]).collect()}
     assert got == {"a": "DATA_FRESH", "b": "DATA_VERY_STALE", "c": "EVENT_TIMESTAMP_MISSING", "d": "DATASET_EMPTY"}
+    got = {r.dataset: (r.status, r.severity) for r in monitoring.expected_datasets(monitoring.freshness(f, "dataset", "ts", now), ["a", "d"]).collect()}
+    assert got == {"a": ("HEALTHY", "INFO"), "b": ("FAILED", "HIGH"), "c": ("DEGRADED", "WARNING"), "d": ("NOT_AVAILABLE", "WARNING")}
+
+
+def test_drift_needs_a_sample(spark):
+    one, two = spark.createDataFrame([(1.0, "x")], "v double, k string"), spark.createDataFrame([(1.0, "x"), (5.0, "y")], "v double, k string")
+    few = monitoring.numeric_drift(one, two, ["v"], 0.5).first()
+    assert (few.drift, few.drifted, few.reason) == (None, False, "INSUFFICIENT_SAMPLE_FOR_DRIFT")
+    assert monitoring.categorical_drift(one, two, "k").first().reason == "INSUFFICIENT_SAMPLE_FOR_DRIFT"
+    assert monitoring.numeric_drift(two, two, ["v"], 0.5).first().reason == "NO_DISTRIBUTION_DRIFT"
+
+
+def test_planned_outages_are_a_reason(spark):
+    k = spark.createDataFrame([(5, 0.0, 0.0, 0.0, 1.0, 3, 0, 0, 0, 0, 1, 4)], "population int, saifi double, saidi_minutes double, mean_duration double, asai double, unplanned_count int, severe_count int, equipment_count int, customer_interruptions int, prolonged_count int, planned_count int, outage_count int")
+    assert reliability.reasons(k).first().reason_codes == ["REPEATED_UNPLANNED_OUTAGES", "PLANNED_OUTAGE_CONCENTRATION", "STRONG_SERVICE_AVAILABILITY"]
+    assert reliability.reasons(k.withColumn("completeness", F.lit(0.4))).first().reason_codes[0] == "LOW_DATA_COMPLETENESS"
 
 
 def test_quality_limits(spark):
@@ -232,6 +250,8 @@ def test_chunks_and_sections(spark):
 
 
 def test_alert_suppression(spark):
-    r = spark.createDataFrame([(1, "c", "x", "HIGH", True), (2, "c", "x", "HIGH", True), (3, "c", "x", "INFO", False), (4, "d", "x", "HIGH", True)], "i int, component string, check_name string, severity string, triggered boolean")
-    got = {x.i: (x.alert_status, x.suppression_reason) for x in monitoring.alerts(r, ["i"], suppressed_components=["d"]).collect()}
-    assert got == {1: ("OPEN", None), 2: ("SUPPRESSED", "DUPLICATE_ALERT"), 3: ("SUPPRESSED", "BELOW_MINIMUM_SEVERITY"), 4: ("SUPPRESSED", "COMPONENT_IN_MAINTENANCE")}
+    r = spark.createDataFrame([(1, "c", "HIGH", "FAILED", "x", 9), (2, "c", "HIGH", "FAILED", "x", 9), (3, "c", "INFO", "HEALTHY", "y", 9), (4, "d", "HIGH", "DEGRADED", "x", 1), (5, "d", "INFO", "FAILED", "COMPONENT_RUN_FAILED", None), (6, "e", "WARNING", "HEALTHY", "x", 9)],
+                              "i int, component string, severity string, status string, reason_code string, sample_size int")
+    got = {x.i: (x.alert_status, x.suppression_reason, x.severity) for x in monitoring.alerts(r, ["i"]).collect()}
+    assert got == {1: ("TRIGGERED", None, "HIGH"), 2: ("SUPPRESSED", "DUPLICATE_ALERT_SUPPRESSED", "HIGH"), 3: ("SUPPRESSED", "INFO_ALERT_SUPPRESSED", "INFO"), 4: ("SUPPRESSED", "INSUFFICIENT_SAMPLE_SUPPRESSED", "HIGH"), 5: ("TRIGGERED", None, "CRITICAL"), 6: ("NOT_TRIGGERED", None, "WARNING")}
+    assert {x.i for x in monitoring.alerts(r, ["i"], suppress=()).filter("alert_status = 'SUPPRESSED'").collect()} == set()

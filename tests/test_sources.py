@@ -25,9 +25,9 @@ def test_csv(spark, tmp_path):
     f = tmp_path / "d.csv"
     f.write_text("id,v,schema_version\na,1.5,1\nb,x,1\nc,2\n")
     got = readers.read(spark, str(f), contracts.checked(dict(CONTRACT)))
-    assert {r.id: r._issue for r in got.collect()} == {"a": None, "b": None, "c": "MALFORMED_RECORD"}
+    assert {r.id: r._issue for r in got.collect()} == {"a": None, "b": None, "c": "INCONSISTENT_CSV_ROW"}
     typed = validation.typed(got.drop("_file", "_issue"), CONTRACT)
-    assert {r.id: [i.code for i in r.issues] for r in typed.collect()}["b"] == ["INVALID_TYPE"]
+    assert {r.id: [i.code for i in r.issues] for r in typed.collect()}["b"] == ["INVALID_DATA_TYPE"]
     f.write_text("v,id,schema_version\n1,a,1\n")
     with pytest.raises(readers.HeaderError):
         readers.read_csv(spark, str(f), CONTRACT)
@@ -49,13 +49,15 @@ def test_manifest(spark, tmp_path):
     assert manifest.verify(spark, str(tmp_path), loaded).count() == 0
     (tmp_path / "a.csv").write_text("y")
     assert [r.code for r in manifest.verify(spark, str(tmp_path), loaded).collect()] == ["MANIFEST_CHECKSUM_MISMATCH"]
-    for text, code in (("{", "MANIFEST_MALFORMED"), ('{"files": [], "files": []}', "MANIFEST_DUPLICATE_KEY")):
+    for text, code in (("{", "MANIFEST_MALFORMED"), ('{"files": [], "files": []}', "MANIFEST_DUPLICATE_ENTRY")):
         (tmp_path / "manifest.json").write_text(text)
         with pytest.raises(manifest.ManifestError) as e:
             manifest.load(str(tmp_path / "manifest.json"))
         assert e.value.code == code
     with pytest.raises(manifest.ManifestError):
         manifest.load(str(tmp_path / "no.json"))
+    twice = {"files": [{"dataset": "a", "name": "a.csv"}, {"dataset": "a", "name": "z.csv"}, {"dataset": "q", "name": "q.csv"}]}
+    assert manifest.entries(twice, ["a", "b"]) == [("a", "MANIFEST_DUPLICATE_ENTRY"), ("q", "MANIFEST_DATASET_UNEXPECTED"), ("b", "MANIFEST_DATASET_MISSING")]
     found, strange = manifest.discover(str(tmp_path), {"a": {"format": "csv"}})
     assert set(found) == {"a"} and strange == []
 
