@@ -57,14 +57,24 @@ def with_period(rows: DataFrame, start: int, end: int, frequency: str = "full",
     return rows.filter((F.col(at) >= start) & (F.col(at) < end)).select("*", number.alias("period"), first.alias("period_start"), (F.least(first + step, F.lit(end)) - first).alias("period_minutes"))
 
 
-def merged_minutes(outages: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, merged_minutes, overlap_count): the length of the union of intervals; touching intervals don't overlap."""
+def _islands(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start_min, end_min, n): overlapping spans of one key as one, with their counts added up."""
     order = Window.partitionBy(*keys).orderBy("start_min", "end_min")
     reach = F.max("end_min").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = outages.select(*keys, "start_min", "end_min", reach.alias("_r")).withColumn("_new", (F.col("_r").isNull() | (F.col("start_min") >= F.col("_r"))).cast("long"))
-    islands = marked.withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy(*keys, "_i").agg((F.max("end_min") - F.min("start_min")).alias("_m"), F.count("*").alias("_n"))
-    return spans.groupBy(*keys).agg(F.sum("_m").alias("merged_minutes"), (F.sum("_n") - F.count("*")).alias("overlap_count"))
+    marked = spans.select(*keys, "start_min", "end_min", "n", reach.alias("_r")).withColumn("_new", (F.col("_r").isNull() | (F.col("start_min") >= F.col("_r"))).cast("long"))
+    numbered = marked.withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_i").agg(F.min("start_min").alias("start_min"), F.max("end_min").alias("end_min"), F.sum("n").alias("n")).drop("_i")
+
+
+def merged_minutes(outages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, merged_minutes, overlap_count): the length of the union of intervals; touching intervals don't overlap.
+
+    Intervals are merged by key and day of their start first, and then by key, so a key with most outages is many tasks' work and
+    its last task sees islands only.
+    """
+    days = outages.select(*keys, "start_min", "end_min", F.lit(1).cast("long").alias("n"), F.floor(F.col("start_min") / 1440).alias("_day"))
+    spans = _islands(_islands(days, [*keys, "_day"]), keys)
+    return spans.groupBy(*keys).agg(F.sum(F.col("end_min") - F.col("start_min")).alias("merged_minutes"), (F.sum("n") - F.count("*")).alias("overlap_count"))
 
 
 def kpis(outages: DataFrame, keys: list[str], pop: DataFrame, period_minutes: int | str, sustained: int = SUSTAINED, target: int = TARGET, overlap: bool = True) -> DataFrame:

@@ -80,7 +80,7 @@ def assets(net: DataFrame, today: str, seed: int = 42) -> DataFrame:
     day = F.lit(today).cast("date")
     return rows.select(short_id("AST", "substation_id", F.coalesce("feeder_id", F.lit("")), "asset_type").alias("asset_id"), "asset_type", F.concat_ws(" ", "asset_type", "substation_id").alias("asset_name"), "grid_region", "substation_id", "feeder_id", pick(u("maker"), ["Northwind", "Volta", "Amperia"]).alias("manufacturer"), F.format_string("M%02d", F.floor(u("model") * 20)).alias("model"),
                        F.date_sub(day, (F.floor(u("age") * 16000) + 365).cast("int")).alias("commissioned_date"), (F.floor(u("life") * 20) + 25).cast("long").alias("expected_life_years"), F.round(5 + 45 * u("cap"), 2).alias("rated_capacity"), F.lit("MVA").alias("capacity_unit"), pick(u("tier"), ["tier_1", "tier_2", "tier_3"]).alias("criticality_tier"),
-                       F.when(u("status") < 0.05, "maintenance").otherwise("active").alias("operational_status"), F.date_sub(day, F.floor(u("insp") * 300).cast("int")).alias("last_inspection_date"), F.date_add(day, (F.floor(u("due") * 400) - 60).cast("int")).alias("next_inspection_due"), F.format_string("LOC-%04d", F.floor(u("loc") * 10000)).alias("synthetic_location_code"), F.lit("2.0.0").alias("schema_version"))
+                       F.when(u("status") < 0.05, "maintenance").otherwise("active").alias("operational_status"), F.date_sub(day, F.floor(u("insp") * 300).cast("int")).alias("last_inspection_date"), F.greatest(F.date_add(day, (F.floor(u("due") * 400) - 60).cast("int")), F.date_sub(day, F.floor(u("insp") * 300).cast("int"))).alias("next_inspection_due"), F.format_string("LOC-%04d", F.floor(u("loc") * 10000)).alias("synthetic_location_code"), F.lit("2.0.0").alias("schema_version"))
 
 
 def maintenance(asset_rows: DataFrame, start: str, seed: int = 42, most: int = 3) -> DataFrame:
