@@ -44,12 +44,16 @@ def codes(rules: Sequence[tuple[Column, str]], keep: int | None = None, default:
     return F.slice(found, 1, keep) if keep else found
 
 
+#: What stands for a missing part of a key, and the key of the unknown member.
+UNKNOWN, UNKNOWN_KEY = "UNKNOWN", "SK_UNKNOWN"
+
+
 def surrogate_key(prefix: str, *parts: str | Column) -> Column:
-    """First 16 hex digits (upper case) of the SHA-256 of the parts joined by `|`; a blank key is <prefix>_UNKNOWN."""
+    """<prefix>_ and the first 16 hex digits (upper case) of the SHA-256 of the parts joined by `|`. Null and empty parts count as
+    UNKNOWN; a key of one such part is UNKNOWN_KEY."""
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    joined = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
-    blank = F.regexp_replace(joined, r"\|", "") == ""
-    return F.when(blank, F.lit(f"{prefix}_UNKNOWN")).otherwise(F.concat(F.lit(prefix + "_"), F.upper(F.substring(F.sha2(joined, 256), 1, 16))))
+    joined = F.concat_ws("|", *[F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(UNKNOWN)) for c in cols])
+    return F.when(joined == UNKNOWN, F.lit(UNKNOWN_KEY)).otherwise(F.concat(F.lit(prefix + "_"), F.upper(F.substring(F.sha2(joined, 256), 1, 16))))
 
 
 def short_id(prefix: str, *parts: str | Column) -> Column:

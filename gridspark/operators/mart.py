@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import known, ratio, surrogate_key
+from ..functions.scalar import UNKNOWN, UNKNOWN_KEY, known, ladder, ratio, surrogate_key
 
 
 def dimension(members: list[DataFrame], prefix: str, natural: list[str], key: str, attributes: dict[str, Column] | None = None) -> DataFrame:
@@ -18,35 +18,36 @@ def dimension(members: list[DataFrame], prefix: str, natural: list[str], key: st
         rows = one if rows is None else rows.unionByName(one)
     named = rows.filter(F.concat_ws("", *natural) != "")
     distinct = named.groupBy(*natural).agg(F.max(F.struct(*extra)).alias("_a")).select(*natural, *[F.col(f"_a.{n}").alias(n) for n in extra]) if extra else named.select(*natural).distinct()
-    unknown = rows.sparkSession.range(1).select(*[F.lit("UNKNOWN").alias(n) for n in natural], *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in extra])
+    unknown = rows.sparkSession.range(1).select(*[F.lit(UNKNOWN).alias(n) for n in natural], *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in extra])
     keyed = distinct.withColumn(key, surrogate_key(prefix, *natural))
-    return keyed.unionByName(unknown.withColumn(key, F.lit(f"{prefix}_UNKNOWN")))
+    return keyed.unionByName(unknown.withColumn(key, F.lit(UNKNOWN_KEY)))
 
 
 def date_dimension(spark: SparkSession, start: str, end: str) -> DataFrame:
     """A row per day from start to end, both included."""
     d = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"))
-    return d.select(F.date_format("date", "yyyyMMdd").cast("int").alias("date_key"), "date", F.year("date").alias("year"), F.quarter("date").alias("quarter"), F.month("date").alias("month"), F.date_format("date", "MMMM").alias("month_name"), F.weekofyear("date").alias("iso_week"),
-                    F.dayofmonth("date").alias("day"), (F.weekday("date") + 1).alias("iso_weekday"), F.date_format("date", "EEEE").alias("day_name"), (F.weekday("date") >= 5).alias("is_weekend"))
+    return d.select(date_key("date").alias("date_key"), "date", F.dayofmonth("date").alias("day"), F.date_format("date", "EEEE").alias("day_name"), (F.weekday("date") + 1).alias("day_of_week"), F.weekofyear("date").alias("week_number"),
+                    F.month("date").alias("month"), F.date_format("date", "MMMM").alias("month_name"), F.quarter("date").alias("quarter"), F.year("date").alias("year"), (F.weekday("date") >= 5).alias("is_weekend"))
 
 
-DAYPARTS = [(6, "night"), (12, "morning"), (18, "afternoon"), (24, "evening")]
+#: The last hour of each part of the day.
+DAYPARTS = [(5, "overnight"), (11, "morning"), (17, "afternoon"), (23, "evening")]
 
 
 def time_dimension(spark: SparkSession) -> DataFrame:
     """24 rows, one per hour."""
     h = F.col("id").cast("int")
-    part = F.when(h < 6, "night").when(h < 12, "morning").when(h < 18, "afternoon").otherwise("evening")
-    return spark.range(24).select(F.format_string("%02d00", h).alias("time_key"), h.alias("hour"), part.alias("daypart"))
+    return spark.range(24).select(F.format_string("%02d00", h).alias("time_key"), F.format_string("%02d:00", h).alias("time"), h.alias("hour"), F.lit(0).alias("minute"), F.format_string("%02d:00-%02d:59", h, h).alias("interval_label"), ladder(h, DAYPARTS, None).alias("daypart"))
 
 
 def date_key(ts: str | Column) -> Column:
-    return F.date_format(F.col(ts) if isinstance(ts, str) else ts, "yyyyMMdd").cast("int")
+    """yyyyMMdd; without a time the unknown member's key."""
+    return F.coalesce(F.date_format(F.col(ts) if isinstance(ts, str) else ts, "yyyyMMdd"), F.lit(UNKNOWN_KEY))
 
 
 def time_key(ts: str | Column) -> Column:
-    """HH00: facts join the hour."""
-    return F.concat(F.date_format(F.col(ts) if isinstance(ts, str) else ts, "HH"), F.lit("00"))
+    """HH00, as facts join the hour; without a time the unknown member's key."""
+    return F.coalesce(F.concat(F.date_format(F.col(ts) if isinstance(ts, str) else ts, "HH"), F.lit("00")), F.lit(UNKNOWN_KEY))
 
 
 def fact(rows: DataFrame, prefix: str, grain: list[str], key: str, dims: dict[str, tuple[str, list[str]]], measures: list[str]) -> DataFrame:
@@ -71,7 +72,7 @@ def integrity(table: DataFrame, key: str, critical: list[str], name: str) -> Dat
     total = nulls[0]
     for n in nulls[1:]:
         total = total + n
-    return table.agg(F.count("*").alias("rows"), (F.count("*") - F.count_distinct(key)).alias("duplicate_keys"), F.sum(F.col(key).endswith("_UNKNOWN").cast("long")).alias("unknown_members"), F.sum(total).alias("null_critical")).select(F.lit(name).alias("table"), "*")
+    return table.agg(F.count("*").alias("rows"), (F.count("*") - F.count_distinct(key)).alias("duplicate_keys"), F.sum((F.col(key).cast("string") == UNKNOWN_KEY).cast("long")).alias("unknown_members"), F.sum(total).alias("null_critical")).select(F.lit(name).alias("table"), "*")
 
 
 def completeness(table: DataFrame, columns: list[str], name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import star_queries
 from .functions.scalar import calendar
 from .operators import health, mart, metrics, models, monitoring, reliability, retrieval, risk, series, splits, validation
 from .plans import adapters as a
@@ -580,7 +581,7 @@ def ret_sections(s, d):
     return retrieval.sections(a.table(s, d, "pages"), "page_id", "html")
 
 
-@query("mart_dims", "WITH m AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS supplier FROM supplier UNION SELECT DISTINCT CAST(l_suppkey AS VARCHAR) FROM lineitem) SELECT supplier, 'SUP_' || upper(substr(sha256(supplier), 1, 16)) AS supplier_key, s_name AS name FROM m LEFT JOIN supplier ON CAST(s_suppkey AS VARCHAR) = supplier UNION ALL SELECT 'UNKNOWN', 'SUP_UNKNOWN', NULL")
+@query("mart_dims", "WITH m AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS supplier FROM supplier UNION SELECT DISTINCT CAST(l_suppkey AS VARCHAR) FROM lineitem) SELECT supplier, 'SUP_' || upper(substr(sha256(supplier), 1, 16)) AS supplier_key, s_name AS name FROM m LEFT JOIN supplier ON CAST(s_suppkey AS VARCHAR) = supplier UNION ALL SELECT 'UNKNOWN', 'SK_UNKNOWN', NULL")
 def mart_dims(s, d):
     sup = a.table(s, d, "supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_name").alias("name"))
     used = a.table(s, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.lit(None).cast("string").alias("name")).distinct()
@@ -619,11 +620,15 @@ def mart_measures(s, d):
     return mart.measures(_kpis(s, d), ["level"])
 
 
-@query("mart_dim_date", "SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, CAST(d AS DATE) AS date, CAST(year(d) AS INTEGER) AS year, CAST(quarter(d) AS INTEGER) AS quarter, CAST(month(d) AS INTEGER) AS month, monthname(d) AS month_name, CAST(weekofyear(d) AS INTEGER) AS iso_week, CAST(day(d) AS INTEGER) AS day, CAST(isodow(d) AS INTEGER) AS iso_weekday, dayname(d) AS day_name, isodow(d) >= 6 AS is_weekend FROM generate_series(DATE '2023-12-25', DATE '2025-01-05', INTERVAL 1 DAY) t(d)")
+@query("mart_dim_date", "SELECT strftime(d, '%Y%m%d') AS date_key, CAST(d AS DATE) AS date, CAST(day(d) AS INTEGER) AS day, dayname(d) AS day_name, CAST(isodow(d) AS INTEGER) AS day_of_week, CAST(weekofyear(d) AS INTEGER) AS week_number, CAST(month(d) AS INTEGER) AS month, monthname(d) AS month_name, CAST(quarter(d) AS INTEGER) AS quarter, CAST(year(d) AS INTEGER) AS year, isodow(d) >= 6 AS is_weekend FROM generate_series(DATE '2023-12-25', DATE '2025-01-05', INTERVAL 1 DAY) t(d)")
 def mart_dim_date(s, d):
     return mart.date_dimension(s, "2023-12-25", "2025-01-05")
 
 
-@query("mart_dim_time", "SELECT printf('%02d00', h) AS time_key, CAST(h AS INTEGER) AS hour, CASE WHEN h < 6 THEN 'night' WHEN h < 12 THEN 'morning' WHEN h < 18 THEN 'afternoon' ELSE 'evening' END AS daypart FROM range(24) t(h)")
+@query("mart_dim_time", "SELECT printf('%02d00', h) AS time_key, printf('%02d:00', h) AS time, CAST(h AS INTEGER) AS hour, CAST(0 AS INTEGER) AS minute, printf('%02d:00-%02d:59', h, h) AS interval_label, CASE WHEN h < 6 THEN 'overnight' WHEN h < 12 THEN 'morning' WHEN h < 18 THEN 'afternoon' ELSE 'evening' END AS daypart FROM range(24) t(h)")
 def mart_dim_time(s, d):
     return mart.time_dimension(s)
+
+
+QUERIES |= star_queries.QUERIES
+ORACLES |= star_queries.ORACLES
