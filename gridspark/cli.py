@@ -10,10 +10,13 @@ from __future__ import annotations
 import argparse
 import sys
 
-from .pipelines import RUNS, ConfigError
+from . import pipelines, runs
+from .pipelines import ConfigError
 from .queries import QUERIES
 from .sources import contracts, readers
 
+RUNS = pipelines.RUNS | runs.RUNS
+
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="gridspark")
