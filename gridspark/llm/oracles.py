@@ -69,3 +69,32 @@ lim AS (SELECT coalesce(CASE WHEN a.sd + b.sd > 0 THEN (a.mean * b.sd + b.mean *
 SELECT page_id, host, path, rule, coalesce(x.how, CASE WHEN coalesce(z.score, 0) >= (SELECT cut FROM lim) THEN 'allow' ELSE 'block' END) AS verdict
 FROM x LEFT JOIN z ON z.url = x.url AND z.how IS NULL
 """
+
+
+def _clustering(k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """Plain clustering, round by round: all distances, the nearest, floors of the means."""
+    steps = [f"""
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * x) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, v FROM kept),
+x AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, unnest(v) AS x FROM r),
+f AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM r
+  ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v LIMIT {k}),
+c0 AS MATERIALIZED (SELECT c, v FROM f)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (SELECT r, min(d) AS distance, arg_min(c, d * {k} + c) AS c FROM (SELECT r.r, c{n}.c,
+  CAST(list_sum(list_transform(list_zip(r.v, c{n}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM r, c{n}) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM x JOIN a{n} ON a{n}.r = x.r GROUP BY c, i),
+w{n} AS (SELECT c, list(CAST((s - (s % n + n) % n) / n AS BIGINT) ORDER BY i) AS v FROM m{n} GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(w{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN w{n} ON w{n}.c = c{n}.c)""")
+    return ",".join(steps) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN r ON r.r = a.r JOIN c{rounds} c ON c.c = a.c
+"""
+
+
+CLUSTERING = _clustering()

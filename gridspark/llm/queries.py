@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard, language, licenses, media, sharding, substrings, tokencount, urls
+from . import bpe, clustering, decontamination, jaccard, language, licenses, media, sharding, substrings, tokencount, urls
 from .common import table
-from .oracles import DECONTAMINATION, JACCARD, SUBSTRINGS, URLS
+from .oracles import CLUSTERING, DECONTAMINATION, JACCARD, SUBSTRINGS, URLS
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,11 +63,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_decontamination, op2_suffix_dedup, op3_bpe, op4_tiff, op5_licenses, op6_language, op7_token_counts, op8_shards, op9_urls, op10_jaccard, pipeline)}
+    op1_decontamination, op2_suffix_dedup, op3_bpe, op4_tiff, op5_licenses, op6_language, op7_token_counts, op8_shards, op9_urls, op10_jaccard, op11_yinyang,
+    pipeline)}
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op2_suffix_dedup": SUBSTRINGS,
     "op9_urls": URLS,
     "op10_jaccard": JACCARD,
+    "op11_yinyang": CLUSTERING,
 }
