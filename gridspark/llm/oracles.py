@@ -98,3 +98,40 @@ FROM a{rounds} a JOIN r ON r.r = a.r JOIN c{rounds} c ON c.c = a.c
 
 
 CLUSTERING = _clustering()
+
+
+def _crc_table() -> list[int]:
+    """CRC-32's table by its rule."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ 0xEDB88320 * (c & 1) for c in table]
+    return table
+
+
+_CRC = (f"xor(list_reduce(list_transform(regexp_extract_all(hex(encode(g)), '..'), lambda x: CAST('0x' || x AS BIGINT)), "
+        f"lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)")
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+def _grams(words: str) -> str:
+    return f"SELECT r, unnest(flatten(list_transform([1, 2, 3], lambda n: list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))))) AS g FROM {words}"
+
+
+RESAMPLING = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS MATERIALIZED (SELECT row_number() OVER () AS r, {_WORDS} AS w FROM benchmark),
+df AS MATERIALIZED (SELECT r, g, count(*) AS n FROM ({_grams("d")}) GROUP BY ALL),
+bf AS MATERIALIZED (SELECT g, count(*) AS n FROM ({_grams("b")}) GROUP BY ALL),
+crc AS MATERIALIZED (SELECT g, {_CRC} % 10000 AS bucket FROM (SELECT g FROM df UNION SELECT g FROM bf)),
+dn AS (SELECT bucket, sum(n) AS s FROM df JOIN crc ON crc.g = df.g GROUP BY bucket),
+bn AS (SELECT bucket, sum(n) AS t FROM bf JOIN crc ON crc.g = bf.g GROUP BY bucket),
+n AS (SELECT coalesce((SELECT sum(n) FROM df), 0)::DOUBLE AS s, coalesce((SELECT sum(n) FROM bf), 0)::DOUBLE AS t),
+gain AS (SELECT k.bucket, floor(1000 * ln((coalesce(bn.t, 0) + 1)::DOUBLE * (n.s + 10000) / ((coalesce(dn.s, 0) + 1)::DOUBLE * (n.t + 10000))))::BIGINT AS gain
+  FROM range(0, 10000) AS k(bucket) LEFT JOIN dn ON dn.bucket = k.bucket LEFT JOIN bn ON bn.bucket = k.bucket, n),
+w AS (SELECT r, sum(n) AS n, sum(n * gain) AS weight FROM df JOIN crc ON crc.g = df.g JOIN gain ON gain.bucket = crc.bucket GROUP BY r),
+x AS (SELECT d.r, doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE AS h FROM d LEFT JOIN w ON w.r = d.r),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY words >= 20) AS m FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= 5 * m // 100 THEN k END AS rank FROM z
+"""
