@@ -135,3 +135,38 @@ y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::
 z AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY words >= 20) AS m FROM y)
 SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= 5 * m // 100 THEN k END AS rank FROM z
 """
+
+
+def _secrets() -> str:
+    """Matches by what lies between them, then ownership by distinct counts."""
+    kinds = [  # name, pattern, group of the secret, what else holds of the secret
+        ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, "len(s) >= 8"),
+        ("access", "AKIA[A-Z0-9]+", 0, "len(s) >= 16"),
+        ("hex", "[0-9a-f]+", 0, "len(s) >= 32"),
+        ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, "len(s) >= 20"),
+        ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*-----END [A-Z ]*PRIVATE KEY-----", 0, "len(s) >= 80"),
+        ("vendor", "gh[opusr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}", 0, "len(s) >= 16"),
+        ("random", "[A-Za-z0-9+/_-]{20,}", 0, "len(list_distinct(regexp_extract_all(s, '.'))) >= 12 AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[a-z]') AND regexp_matches(s, '[0-9]')"),
+    ]
+    found = " UNION ALL ".join(f"SELECT r, {k} AS k, start, stop, s FROM (SELECT r, p + 1 AS start, p + 1 + length(m) AS stop, regexp_extract(m, '{pattern}', {group}) AS s "
+                               f"FROM (SELECT r, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) - 1)) AS p, unnest(ms) AS m "
+                               f"FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM d))) WHERE {also}" for k, (_, pattern, group, also) in enumerate(kinds))
+    names = str([n for n, *_ in kinds])
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source AS owner, concat_ws('/', source, doc_id // 500) AS repo FROM documents),
+m AS MATERIALIZED ({found}),
+c AS MATERIALIZED (SELECT * FROM m WHERE k < 3 OR NOT EXISTS (SELECT 1 FROM m e WHERE e.r = m.r AND e.k < m.k AND e.start < m.stop AND e.stop > m.start)),
+o AS (SELECT s, count(DISTINCT coalesce('.' || owner, '')) AS owners, count(DISTINCT repo) AS repos,
+  len(list_distinct(regexp_extract_all(s, '.'))) >= 8 AND NOT regexp_matches(lower(s), 'example|sample|dummy|placeholder|changeme|your|xxxx|1234567|abcdef') AS varied FROM c JOIN d ON d.r = c.r GROUP BY s),
+v AS (SELECT c.*, CASE WHEN owners >= 3 OR repos >= 10 THEN 'copied' WHEN owners = 1 AND varied THEN 'live' ELSE 'unclear' END AS verdict FROM c JOIN o ON o.s = c.s),
+t AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(({names})[k + 1] || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3) AS base,
+  string_agg(({names})[k + 1] || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3 OR verdict = 'live') AS spans,
+  count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'copied') AS n_copied, count(*) FILTER (verdict = 'unclear') AS n_unclear FROM v GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_unclear, 0) AS n_unclear
+FROM d LEFT JOIN t ON t.r = d.r
+"""
+
+
+SECRETS = _secrets()

@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, clustering, decontamination, jaccard, language, licenses, media, resampling, sharding, substrings, tokencount, urls
+from . import bpe, clustering, decontamination, jaccard, language, licenses, media, resampling, secretscan, sharding, substrings, tokencount, urls
 from .common import table
-from .oracles import CLUSTERING, DECONTAMINATION, JACCARD, RESAMPLING, SUBSTRINGS, URLS
+from .oracles import CLUSTERING, DECONTAMINATION, JACCARD, RESAMPLING, SECRETS, SUBSTRINGS, URLS
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.by_source(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_decontamination, op2_suffix_dedup, op3_bpe, op4_tiff, op5_licenses, op6_language, op7_token_counts, op8_shards, op9_urls, op10_jaccard, op11_yinyang, op13_resampling,
+    op1_decontamination, op2_suffix_dedup, op3_bpe, op4_tiff, op5_licenses, op6_language, op7_token_counts, op8_shards, op9_urls, op10_jaccard, op11_yinyang, op12_secrets, op13_resampling,
     pipeline)}
 
 ORACLES: dict[str, str] = {
@@ -76,5 +80,6 @@ ORACLES: dict[str, str] = {
     "op9_urls": URLS,
     "op10_jaccard": JACCARD,
     "op11_yinyang": CLUSTERING,
+    "op12_secrets": SECRETS,
     "op13_resampling": RESAMPLING,
 }

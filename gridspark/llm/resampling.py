@@ -19,7 +19,6 @@ the target are 0. Extra columns aren't read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from zlib import crc32
 
