@@ -10,12 +10,12 @@ from __future__ import annotations
 import argparse
 import sys
 
-from . import pipelines, runs
+from . import monitoring_run, pipelines, runs
 from .pipelines import ConfigError
 from .queries import QUERIES
 from .sources import contracts, readers
 
-RUNS = pipelines.RUNS | runs.RUNS
+RUNS = pipelines.RUNS | runs.RUNS | {"monitoring": monitoring_run.run_monitoring}
 
 
 def main(args: list[str] | None = None) -> int:
@@ -69,7 +69,8 @@ def _run(given: argparse.Namespace) -> int:
         print("--config is needed", file=sys.stderr)
         return 2
     try:
-        done = RUNS[given.query](build("gridspark", given.master), given.config, given.run_id)
+        spark = build("gridspark", given.master)
+        done = RUNS[given.query](spark, given.config, given.run_id)
     except (ConfigError, contracts.ContractError) as e:
         print(e, file=sys.stderr)
         return 2

@@ -15,12 +15,14 @@ BANDS = [(35.0, "CRITICAL"), (55.0, "DEGRADED"), (75.0, "WATCH")]
 MISSING = {"neutral": 50.0, "penalize": 40.0}
 
 
-def population(assets: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """Assets of the given types; raises ValueError for repeated ids or lives that aren't positive."""
+def population(assets: DataFrame, types: list[str] | None = None, now_day: int | None = None) -> DataFrame:
+    """Assets of the given types; raises ValueError for repeated ids, lives that aren't positive and commissioning after now_day."""
     kept = assets.filter(F.col("asset_type").isin(types)) if types else assets
-    n, ids, bad = kept.agg(F.count("*"), F.count_distinct("asset_id"), F.coalesce(F.sum((F.col("expected_life_years") <= 0).cast("int")), F.lit(0))).collect()[0]
-    if n != ids or bad:
-        raise ValueError(f"{n - ids} repeated ids, {bad} lives that aren't positive")
+    count = lambda x: F.coalesce(F.sum(x.cast("int")), F.lit(0))
+    early = F.col("commissioned_day") > now_day if now_day is not None else F.lit(False)
+    n, ids, bad, ahead = kept.agg(F.count("*"), F.count_distinct("asset_id"), count(F.col("expected_life_years") <= 0), count(early)).collect()[0]
+    if n != ids or bad or ahead:
+        raise ValueError(f"{n - ids} repeated ids, {bad} lives that aren't positive, {ahead} commissioned in the future")
     return kept
 
 
@@ -142,14 +144,25 @@ def reasons(f: DataFrame, now_day: int, keep: int = 5) -> DataFrame:
     return f.withColumn("reason_codes", codes(rules, keep))
 
 
+#: Maintenance priorities, the most urgent first.
+PRIORITIES = ("P1_IMMEDIATE_REVIEW", "P2_HIGH", "P3_MEDIUM", "P4_ROUTINE")
+DATA_REVIEW = "DATA_REVIEW_REQUIRED"
+
+
 def priority(f: DataFrame) -> DataFrame:
-    """Maintenance priority from band, criticality (3 is highest) and what presses."""
+    """Adds maintenance_priority, by band, criticality (3 is highest) and what presses, and priority_reasons, what it is for."""
     c = F.col
-    b = c("health_band")
-    pressing = (c("inspection_overdue_days") > 0) | (c("deferred_count") > 0) | (c("direct_unplanned_count") > 0) | c("operational_status").isin("maintenance", "retired")
-    rule = (F.when(b == "INSUFFICIENT_DATA", "DATA_REVIEW_REQUIRED").when((b == "CRITICAL") & (c("criticality") >= 3), "P1").when(b == "CRITICAL", "P2").when((b == "DEGRADED") & (c("criticality") >= 3), "P2")
-            .when(pressing & ((b == "WATCH") | (c("criticality") >= 2)), "P2").when(b.isin("DEGRADED", "WATCH") | pressing, "P3").otherwise("P4"))
-    return f.withColumn("maintenance_priority", rule)
+    b, high = c("health_band"), c("criticality") >= 3
+    first, second, third, last = map(F.lit, PRIORITIES)
+    presses = [(c("inspection_overdue_days") > 0, "INSPECTION_OVERDUE"), (c("deferred_count") > 0, "MAINTENANCE_DEFERRED"), (c("direct_unplanned_count") > 0, "RECENT_DIRECT_UNPLANNED_OUTAGE"),
+               (c("operational_status") == "maintenance", "STATUS_MAINTENANCE"), (c("operational_status") == "retired", "STATUS_RETIRED")]
+    told = F.array_compact(F.array(*[F.when(x, F.lit(r)) for x, r in presses]))
+    some, weak = F.size(told) > 0, b.isin("DEGRADED", "WATCH")
+    rule = (F.when(b == "INSUFFICIENT_DATA", DATA_REVIEW).when((b == "CRITICAL") & high, first).when(b == "CRITICAL", second).when((b == "DEGRADED") & high, second)
+            .when(some & ((b == "WATCH") | (c("criticality") >= 2)), second).when(weak | some, third).otherwise(last))
+    why = (F.when(b == "INSUFFICIENT_DATA", F.array(F.lit("INSUFFICIENT_DATA"))).when((b == "CRITICAL") & high, F.array(F.lit("CRITICAL_HEALTH_HIGH_CRITICALITY"))).when(b == "CRITICAL", F.array(F.lit("CRITICAL_HEALTH")))
+           .when((b == "DEGRADED") & high, F.array(F.lit("DEGRADED_HEALTH_HIGH_CRITICALITY"))).when(some, told).when(weak, F.array(b)).otherwise(F.array(F.lit("ROUTINE_REVIEW"))))
+    return f.withColumns({"maintenance_priority": rule, "priority_reasons": why})
 
 
 def fleet(f: DataFrame, by: list[str]) -> DataFrame:

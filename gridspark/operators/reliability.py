@@ -78,7 +78,8 @@ def merged_minutes(outages: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def kpis(outages: DataFrame, keys: list[str], pop: DataFrame, period_minutes: int | str, sustained: int = SUSTAINED, target: int = TARGET, overlap: bool = True) -> DataFrame:
-    """KPIs per key, for every entity of the population table (keys without the period must be its columns).
+    """KPIs per key, for every row of the population table: an entity, or an entity and period if it has that column. Keys without the
+    period must be its columns; period_minutes is a number or a column, of the population table if that has it.
 
     Frequency and duration indices count sustained outages; outage_count and load count all.
     """
@@ -91,14 +92,14 @@ def kpis(outages: DataFrame, keys: list[str], pop: DataFrame, period_minutes: in
         of(s & (F.col("duration_minutes") >= target), one).alias("prolonged_count"), of(s & (F.col("duration_minutes") <= target), one).alias("restored_in_target"),
         of(s, F.col("customers")).alias("customer_interruptions"), of(s, F.col("customers") * F.col("duration_minutes")).alias("customer_minutes"),
         F.avg(F.when(s, F.col("duration_minutes"))).alias("mean_duration"), F.median(F.when(s, F.col("duration_minutes"))).alias("median_duration"), F.max(F.when(s, F.col("duration_minutes"))).alias("max_duration"),
-        F.sum("load_mw").alias("load_lost"), *([F.max(period_minutes).alias("_period")] if isinstance(period_minutes, str) else []))
+        F.sum("load_mw").alias("load_lost"), *([F.max(period_minutes).alias("_period")] if isinstance(period_minutes, str) and period_minutes not in pop.columns else []))
     if overlap:
         agg = agg.join(merged_minutes(outages.filter(s), keys), keys, "left")
     pop_keys = [k for k in keys if k in pop.columns]
     out = pop.join(agg, pop_keys, "left")
     counts = ["outage_count", "sustained_count", "unplanned_count", "planned_count", "severe_count", "equipment_count", "prolonged_count", "restored_in_target", "customer_interruptions", "customer_minutes"]
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in counts} | {"load_lost": F.coalesce("load_lost", F.lit(0.0))})
-    period = F.lit(period_minutes) if isinstance(period_minutes, int) else F.col("_period")
+    period = F.lit(period_minutes) if isinstance(period_minutes, int) else F.col(period_minutes if period_minutes in pop.columns else "_period")
     merged = F.coalesce("merged_minutes", F.lit(0)) if overlap else F.lit(0)
     if overlap:
         out = out.withColumns({"merged_minutes": F.coalesce("merged_minutes", F.lit(0).cast("long")), "overlap_count": F.coalesce("overlap_count", F.lit(0).cast("long"))})

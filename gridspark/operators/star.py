@@ -35,16 +35,24 @@ SOURCES: dict[str, tuple[str, ...]] = {
 SCHEMA_VERSIONS = {"forecasting": "4.0.0", "asset_health": "5.0.0", "outage_prediction": "6.0.0", "reliability": "7.0.0", "monitoring": "8.0.0", "genai": "9.0.0"}
 
 
+#: Columns of SOURCES that are numbers: text in them is read as one, and they are doubles where a source or column is absent.
+NUMBERS = frozenset((
+    "predicted_value", "prediction_lower", "prediction_upper", "actual_value", "health_score", "data_completeness_ratio", "age_component_score", "inspection_component_score",
+    "maintenance_component_score", "telemetry_stress_component_score", "alarm_component_score", "outage_component_score", "risk_score", "population_denominator", "outage_count",
+    "planned_outage_count", "unplanned_outage_count", "customer_interruptions", "customer_interruption_minutes", "saifi", "saidi_minutes", "caidi_minutes", "asai", "asui",
+    "reliability_score", "reason_rank", "retrieval_score", "grounding_coverage", "citation_coverage", "response_confidence"))
+
+
 def sources(spark: SparkSession, given: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Every source with all its columns and none besides."""
     out = {}
     for name, columns in SOURCES.items():
         df = given.get(name)
         if df is None:
-            df = spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+            df = spark.createDataFrame([], ", ".join(f"{c} {'double' if c in NUMBERS else 'string'}" for c in columns))
         types = dict(df.dtypes)
-        iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") if types[c].startswith("timestamp") else F.col(c).cast("string") if types[c] == "date" else F.col(c)
-        out[name] = df.select(*[(iso(c) if c in types else F.lit(None).cast("string")).alias(c) for c in columns])
+        iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") if types[c].startswith("timestamp") else F.col(c).cast("string") if types[c] == "date" else F.col(c).try_cast("double") if c in NUMBERS and types[c] == "string" else F.col(c)
+        out[name] = df.select(*[(iso(c) if c in types else F.lit(None).cast("double" if c in NUMBERS else "string")).alias(c) for c in columns])
     return out
 
 
@@ -262,8 +270,8 @@ KPIS: dict[str, tuple[str, ...]] = {
     "KPI_FORECAST_WAPE": ("Forecast WAPE", "fact_demand_forecast", "non-additive", "percent", "lower_is_better", "data_and_model_governance", _of(f"abs({_ERROR})", "actual_value")),
     "KPI_HIGH_RISK_FEEDERS": ("High-Risk Feeders", "fact_outage_risk", "additive", "count", "lower_is_better", "grid_operations", MEASURES["High Outage Risk Count"][1]),
     "KPI_CRITICAL_ASSETS": ("Critical Asset Count", "fact_asset_health", "semi-additive", "count", "lower_is_better", "asset_management", MEASURES["Critical Asset Count"][1]),
-    "KPI_P1_MAINT": ("P1 Maintenance Review Count", "fact_maintenance_priority", "additive", "count", "lower_is_better", "asset_management", "count_if(priority = 'P1')"),
-    "KPI_P2_MAINT": ("P2 Maintenance Review Count", "fact_maintenance_priority", "additive", "count", "lower_is_better", "asset_management", "count_if(priority = 'P2')"),
+    "KPI_P1_MAINT": ("P1 Maintenance Review Count", "fact_maintenance_priority", "additive", "count", "lower_is_better", "asset_management", "count_if(priority = 'P1_IMMEDIATE_REVIEW')"),
+    "KPI_P2_MAINT": ("P2 Maintenance Review Count", "fact_maintenance_priority", "additive", "count", "lower_is_better", "asset_management", "count_if(priority = 'P2_HIGH')"),
     "KPI_SAIFI": ("SAIFI", "fact_reliability_kpi", "non-additive", "interruptions/customer", "lower_is_better", "reliability_engineering", MEASURES["System SAIFI"][1]),
     "KPI_SAIDI": ("SAIDI", "fact_reliability_kpi", "non-additive", "minutes/customer", "lower_is_better", "reliability_engineering", MEASURES["System SAIDI"][1]),
     "KPI_CAIDI": ("CAIDI", "fact_reliability_kpi", "non-additive", "minutes/interruption", "lower_is_better", "reliability_engineering", MEASURES["System CAIDI"][1]),

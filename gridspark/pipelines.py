@@ -1,4 +1,4 @@
-"""Runs over files: ingestion of raw datasets by contract, reliability of what was ingested, and monitoring of both.
+"""Runs over files: ingestion of raw datasets by contract, and reliability of what was ingested.
 
 Each run takes a dict of settings (or a YAML file's path), writes its tables as Parquet, its figures as one small JSON file, and
 returns a Run. Statuses are fixed values: PASSED, PASSED_WITH_WARNINGS, FAILED_MANIFEST, FAILED_QUALITY_THRESHOLD, COMPLETED.
@@ -7,8 +7,6 @@ returns a Run. Statuses are fixed values: PASSED, PASSED_WITH_WARNINGS, FAILED_M
 from __future__ import annotations
 
 import datetime as dt
-import json
-import pathlib
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
@@ -16,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import epoch_minutes
-from .operators import monitoring, reliability, validation
-from .sources import contracts, manifest, readers, sinks
+from .operators import reliability, validation
+from .sources import contracts, files, manifest, readers, sinks
 
 
 class ConfigError(ValueError):
@@ -42,7 +40,10 @@ def settings(given: dict | str, needed: tuple[str, ...], defaults: dict) -> dict
     if isinstance(given, str):
         import yaml
 
-        given = yaml.safe_load(pathlib.Path(given).read_text(encoding="utf-8"))
+        text = files.read_text(SparkSession.active(), given)
+        if text is None:
+            raise ConfigError(f"{given}: no such file")
+        given = yaml.safe_load(text)
     if not isinstance(given, dict):
         raise ConfigError("settings have to be a mapping")
     if unknown := set(given) - set(needed) - set(defaults):
@@ -60,12 +61,27 @@ def run_name(given: str | None) -> str:
     return given or dt.datetime.now(dt.UTC).strftime("%Y%m%dT%H%M%SZ")
 
 
-def _finished(run: Run, root: str, figures: dict) -> Run:
+def finished(run: Run, root: str, figures: dict) -> Run:
+    """Writes the run's file and returns the run."""
     run.paths["metrics"] = f"{root}/{run.component}_{run.run_id}.json"
-    sinks.write_manifest({**asdict(run), **figures, "paths": {k: v for k, v in run.paths.items() if k != "metrics"}}, run.paths["metrics"])
+    now = dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    sinks.write_manifest({**asdict(run), "finished_at": now, **figures, "paths": {k: v for k, v in run.paths.items() if k != "metrics"}}, run.paths["metrics"])
     return run
 
 
+def load_contracts(spark: SparkSession, given: dict | str) -> dict[str, dict]:
+    """Contracts by dataset, from a mapping or a folder of YAML files on any file system."""
+    if isinstance(given, dict):
+        return {d: contracts.checked(c) for d, c in given.items()}
+    found = files.listed(spark, given, "*.y*ml")
+    if found is None:
+        raise ConfigError(f"{given}: no such folder")
+    import yaml
+
+    rows = spark.read.option("pathGlobFilter", "*.y*ml").text(given, wholetext=True).collect()  # as many as datasets
+    return {k["dataset"]: k for k in (contracts.checked(yaml.safe_load(r[0])) for r in rows)}
+
+
 def _issue(code, field_name, severity: str):
     text = lambda v: v.cast("string") if hasattr(v, "cast") else F.lit(v).cast("string")
     return F.struct(text(code).alias("code"), F.lit(severity).alias("severity"), text(field_name).alias("field"), text(None).alias("observed"), text(None).alias("expected"))
@@ -96,22 +112,22 @@ def run_ingestion(spark: SparkSession, config: dict | str, run_id: str | None =
     others whole to quarantine_root. Datasets are as many as contracts; rows never reach the driver, only counts.
     """
     c = settings(config, ("source_root", "interim_root", "quarantine_root", "report_root", "contracts"), {k: v for k, v in INGESTION.items() if k != "contracts"})
-    kinds = c["contracts"] if isinstance(c["contracts"], dict) else {k["dataset"]: k for k in (contracts.load(str(p)) for p in sorted(pathlib.Path(c["contracts"]).glob("*.y*ml")))}
+    kinds = load_contracts(spark, c["contracts"])
     run = Run("ingestion", run_name(run_id), "PASSED")
     listed: dict = {"files": []}
     try:
-        listed = manifest.load(f"{c['source_root']}/{c['manifest']}")
+        listed = manifest.load(spark, f"{c['source_root']}/{c['manifest']}")
         run.found += manifest.entries(listed, sorted(kinds))
         run.found += [(r["name"], r["code"]) for r in manifest.verify(spark, c["source_root"], listed).collect()]  # one row a file
     except manifest.ManifestError as e:
         if c["require_manifest"] or e.code != "MANIFEST_MISSING":
             run.found.append((c["manifest"], e.code))
-    sources, strange = manifest.discover(c["source_root"], kinds)
-    run.found += [(n, "FILE_UNEXPECTED") for n in strange] + [(d, "FILE_MISSING") for d in sorted(set(kinds) - set(sources))]
+    sources, strange = manifest.discover(spark, c["source_root"], kinds)
+    run.found += strange + [(d, "FILE_MISSING") for d in sorted(set(kinds) - set(sources) - {n for n, code in strange if code == "UNSUPPORTED_FORMAT"})]
     run.found = sorted(set(run.found))
     if run.found and c["fail_on_contract_error"]:
         run.status = "FAILED_MANIFEST"
-        return _finished(run, c["report_root"], {})
+        return finished(run, c["report_root"], {})
 
     at = {d: f"{c['interim_root']}/_judged/{run.run_id}/{d}" for d in sources}
     for d, path in sources.items():
@@ -134,7 +150,7 @@ def run_ingestion(spark: SparkSession, config: dict | str, run_id: str | None =
             run.found.append((d, "MANIFEST_COUNT_MISMATCH"))
     if run.found and c["fail_on_contract_error"]:
         run.status = "FAILED_MANIFEST"
-        return _finished(run, c["report_root"], {})
+        return finished(run, c["report_root"], {})
     for d, rows in of.items():
         valid, bad = validation.split(rows)
         sinks.write_parquet(valid.drop("issues", "_row", "_file"), f"{c['interim_root']}/{d}")
@@ -146,7 +162,7 @@ def run_ingestion(spark: SparkSession, config: dict | str, run_id: str | None =
     elif run.found or whole.get("with_warnings") or whole.get("invalid"):
         run.status = "PASSED_WITH_WARNINGS"
     codes = everything.select("dataset", F.explode("issues").alias("i")).groupBy("dataset", "i.code", "i.severity").agg(F.count("*").alias("n"))
-    return _finished(run, c["report_root"], {"issues": [r.asDict() for r in codes.orderBy("dataset", "code", "severity").collect()]})
+    return finished(run, c["report_root"], {"issues": [r.asDict() for r in codes.orderBy("dataset", "code", "severity").collect()]})
 
 
 LEVELS = {"grid_region": "grid_region", "substation": "substation_id", "feeder": "feeder_id"}
@@ -156,63 +172,51 @@ RELIABILITY = {"frequency": "full", "sustained_minutes": 5, "restoration_target_
 def run_reliability(spark: SparkSession, config: dict | str, run_id: str | None = None) -> Run:
     """KPIs, score, band and reasons per entity of each level and period, and the system's summary, from ingested outages and meters.
 
-    config: interim_root, output_root, start and end of the analysis (timestamps), and RELIABILITY's other settings.
+    config: interim_root, output_root, start and end of the analysis (timestamps), and RELIABILITY's other settings. Every entity has a row
+    in every period. `kpis` has all that was worked out, `reliability` and `reliability_reasons` have the columns of star.SOURCES.
     """
     c = settings(config, ("interim_root", "output_root", "start", "end"), RELIABILITY)
+    if c["frequency"] not in ("full", *reliability.PERIODS):
+        raise ConfigError(f"frequency: {c['frequency']}")
     minutes = lambda t: int(dt.datetime.fromisoformat(str(t)).replace(tzinfo=dt.UTC).timestamp()) // 60
     start, end = minutes(c["start"]), minutes(c["end"])
     if end <= start:
         raise ConfigError("the end isn't after the start")
+    run = Run("reliability", run_name(run_id), "COMPLETED", paths={n: f"{c['output_root']}/{n}" for n in ("kpis", "reliability", "reliability_reasons")})
     meters = spark.read.parquet(f"{c['interim_root']}/smart_meter_events").select(*LEVELS.values(), "meter_id").distinct()
-    o = spark.read.parquet(f"{c['interim_root']}/outage_history").withColumns({"start_min": epoch_minutes("outage_start"), "planned": F.col("planned_flag"), "cause": F.col("cause_category"), "severe": F.col("severe_weather_related"), "customers": F.col("customers_interrupted"), "load_mw": F.col("estimated_load_lost_mw")})
+    o = spark.read.parquet(f"{c['interim_root']}/outage_history").withColumns({
+        "start_min": epoch_minutes("outage_start"), "planned": F.coalesce("planned_flag", F.lit(False)), "cause": F.col("cause_category"), "severe": F.coalesce("severe_weather_related", F.lit(False)),
+        "customers": F.col("customers_interrupted"), "load_mw": F.col("estimated_load_lost_mw")})
     o = reliability.with_period(o.withColumn("end_min", F.col("start_min") + F.col("duration_minutes")), start, end, c["frequency"])
     levelled, members = reliability.by_level(o, LEVELS), reliability.by_level(meters, LEVELS)
-    pop = reliability.population(members, members, "meter_id")
-    keys = ["level", "entity_id", *(["period"] if c["frequency"] != "full" else [])]
-    k = reliability.kpis(levelled, keys, pop, end - start if c["frequency"] == "full" else "period_minutes", c["sustained_minutes"], c["restoration_target_minutes"])
+    step = end - start if c["frequency"] == "full" else reliability.PERIODS[c["frequency"]]
+    first = F.lit(start).cast("long") + F.col("period") * step
+    # As many periods as the analysis has, on each entity.
+    pop = reliability.population(members, members, "meter_id").withColumn("period", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((end - start - 1) // step).cast("long"))))
+    pop = pop.withColumns({"period_start": first, "period_minutes": F.least(first + step, F.lit(end)) - first})
+    k = reliability.kpis(levelled, ["level", "entity_id", "period"], pop, "period_minutes", c["sustained_minutes"], c["restoration_target_minutes"])
     k = reliability.reasons(reliability.score(k, c["minimum_population"]), c["minimum_population"], c["max_reason_codes"], c["minimum_data_completeness"])
-    run = Run("reliability", run_name(run_id), "COMPLETED", paths={"kpis": f"{c['output_root']}/reliability_kpis"})
-    sinks.write_parquet(k, run.paths["kpis"])
+    place = F.struct("grid_region", F.when(F.col("level") != "grid_region", F.col("substation_id")).alias("substation_id"), F.when(F.col("level") == "feeder", F.col("feeder_id")).alias("feeder_id"))
+    places = members.groupBy("level", "entity_id").agg(F.max(place).alias("_p")).select("level", "entity_id", "_p.*")
+    sinks.write_parquet(k.join(places, ["level", "entity_id"]), run.paths["kpis"])
     k = spark.read.parquet(run.paths["kpis"])
+    iso = lambda m: F.date_format(F.timestamp_seconds(m * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    known = F.when(F.col("population") >= c["minimum_population"], 1.0).otherwise(0.0)
+    told = k.select(
+        F.lit(run.run_id).alias("reliability_run_id"), F.col("level").alias("entity_type"), "entity_id", "grid_region", "substation_id", "feeder_id", iso(F.col("period_start")).alias("period_start"),
+        iso(F.col("period_start") + F.col("period_minutes")).alias("period_end"), F.col("population").alias("population_denominator"), "outage_count", F.col("planned_count").alias("planned_outage_count"),
+        F.col("unplanned_count").alias("unplanned_outage_count"), "customer_interruptions", F.col("customer_minutes").alias("customer_interruption_minutes"), "saifi", "saidi_minutes", "caidi_minutes", "asai", "asui",
+        "reliability_score", "reliability_band", known.alias("data_completeness_ratio"), F.get("reason_codes", F.lit(0)).alias("primary_reason_code"), "reason_codes")
+    sinks.write_parquet(told.drop("reason_codes"), run.paths["reliability"])
+    reasons = told.select("reliability_run_id", "entity_type", "entity_id", "period_start", F.posexplode("reason_codes").alias("_at", "reason_code"))
+    sinks.write_parquet(reasons.withColumn("reason_rank", F.col("_at") + 1).drop("_at"), run.paths["reliability_reasons"])
     bands = {r["reliability_band"]: r["n"] for r in k.groupBy("reliability_band").agg(F.count("*").alias("n")).collect()}
-    rows = k if "period_minutes" in k.columns else k.withColumns({"period": F.lit(0), "period_minutes": F.lit(end - start)})
-    system = reliability.system_summary(rows, "grid_region").first()
-    run.counts = {"results": {"n": sum(bands.values())}}
-    return _finished(run, c["output_root"], {"counts_by_reliability_band": bands, "system": system.asDict() if system else {}})
-
+    system = reliability.system_summary(k, "grid_region").first()
+    names = ("saifi", "saidi_minutes", "caidi_minutes", "asai")
+    whole = k.agg(F.count("*").alias("n"), F.count_if(F.col("population") > 0).alias("covered"), *[F.count_if(F.col(x).isNull()).alias(x) for x in names]).first()
+    run.counts = {"results": {"n": whole.n}}
+    figures = {"entities_assessed": whole.n, "population_coverage": whole.covered / whole.n if whole.n else None, "null_kpi_counts": {x: whole[x] for x in names}}
+    return finished(run, c["output_root"], {"counts_by_reliability_band": bands, "system": system.asDict() if system else {}, "assessment_start": str(c["start"]), "assessment_end": str(c["end"]), **figures})
 
-MONITORING = {"freshness_minutes": 1440, "minimum_records": 1, "maximum_records": 1_000_000, "invalid_limit": 0.05, "warning_limit": 0.2, "minimum_sample_size": 2, "run_files": []}
 
-
-def run_monitoring(spark: SparkSession, config: dict | str, run_id: str | None = None) -> Run:
-    """Freshness and volume of ingested datasets, quality and state of runs, and the alerts that follow.
-
-    config: interim_root, output_root, datasets, now (a timestamp), and MONITORING's other settings; run_files are the JSON files that
-    runs have left. A run file that is absent is NOT_AVAILABLE, a failed run FAILED.
-    """
-    c = settings(config, ("interim_root", "output_root", "datasets", "now"), MONITORING)
-    run = Run("monitoring", run_name(run_id), "COMPLETED", paths={"alerts": f"{c['output_root']}/alerts"})
-    times = [spark.read.parquet(f"{c['interim_root']}/{d}") for d in c["datasets"] if pathlib.Path(f"{c['interim_root']}/{d}").exists()]
-    names = [d for d in c["datasets"] if pathlib.Path(f"{c['interim_root']}/{d}").exists()]
-    stamped = reduce(DataFrame.unionByName, [t.select(F.lit(d).alias("dataset"), monitoring.event_time(t).alias("at")) for d, t in zip(names, times)], spark.createDataFrame([], "dataset string, at timestamp_ntz"))
-    fresh = monitoring.expected_datasets(monitoring.freshness(stamped, "dataset", "at", str(c["now"]), c["freshness_minutes"]), list(c["datasets"]))
-    columns = ["component", "scope_type", "scope_id", "monitor_type", "metric", "status", "severity", "reason_code", "sample_size"]
-    what = lambda rows, kind, metric: rows.select(F.lit("ingestion").alias("component"), F.lit("dataset").alias("scope_type"), F.col("dataset").alias("scope_id"), F.lit(kind).alias("monitor_type"), F.lit(metric).alias("metric"), "status", "severity", F.col("reason").alias("reason_code"), F.col("n").alias("sample_size"))
-    volume = monitoring.volume(fresh.select("dataset", "n").withColumn("baseline", F.lit(None).cast("long")), c["minimum_records"], c["maximum_records"])
-    outside = F.col("reason").isin("VOLUME_BELOW_MINIMUM", "VOLUME_ABOVE_MAXIMUM")
-    volume = volume.withColumns({"status": F.when(outside, "DEGRADED").otherwise("HEALTHY"), "severity": F.when(outside, "WARNING").otherwise("INFO")})
-    states = []
-    for name in c["run_files"]:
-        at = pathlib.Path(name)
-        told = json.loads(at.read_text(encoding="utf-8")) if at.exists() else {"component": at.stem, "status": None}
-        status = "NOT_AVAILABLE" if told["status"] is None else "FAILED" if told["status"].startswith("FAILED") else "HEALTHY"
-        states.append((told["component"], "run", told.get("run_id", ""), "pipeline_health", "run_status", status, *{"FAILED": ("CRITICAL", "COMPONENT_RUN_FAILED"), "HEALTHY": ("INFO", "COMPONENT_HEALTHY")}.get(status, ("WARNING", "COMPONENT_NOT_AVAILABLE")), told.get("counts", {}).get("ALL", {}).get("discovered")))
-    runs = spark.createDataFrame(states, "component string, scope_type string, scope_id string, monitor_type string, metric string, status string, severity string, reason_code string, sample_size long")
-    records = monitoring.combined(what(fresh, "freshness", "age_minutes"), what(volume, "volume", "records"), runs).select(F.lit(run.run_id).alias("monitoring_run_id"), *columns)
-    sinks.write_parquet(monitoring.alerts(records, columns, least_sample=c["minimum_sample_size"]), run.paths["alerts"])
-    found = spark.read.parquet(run.paths["alerts"])
-    run.counts = {r["alert_status"]: {"n": r["n"]} for r in found.groupBy("alert_status").agg(F.count("*").alias("n")).collect()}
-    return _finished(run, c["output_root"], {"components": [r.asDict() for r in monitoring.roll_up(found, ["component"]).orderBy("component").collect()]})
-
-
-RUNS = {"ingestion": run_ingestion, "reliability": run_reliability, "monitoring": run_monitoring}
+RUNS = {"ingestion": run_ingestion, "reliability": run_reliability}

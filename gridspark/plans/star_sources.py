@@ -19,7 +19,7 @@ VIEWS: dict[str, str] = {
   'load_mw' AS target_name, 'MW' AS target_unit, {_at("l_shipdate", "l_orderkey % 24")} AS forecast_timestamp, l_linenumber AS forecast_horizon_intervals, l_quantity AS predicted_value, l_quantity + l_linenumber - 3 AS actual_value, CASE WHEN l_linestatus = 'F' THEN 'test' ELSE 'train' END AS data_split FROM {{lineitem}}""",
     "health": """SELECT 'ah-1' AS asset_health_run_id, concat('A', p_partkey + CASE WHEN p_partkey % 50 = 0 THEN 10000000 ELSE 0 END) AS asset_id, concat('GRID-', p_partkey % 4) AS grid_region, '2024-03-01T06:00:00Z' AS assessment_timestamp, CAST(p_size * 2 AS DOUBLE) AS health_score, CASE WHEN p_size < 15 THEN 'CRITICAL' ELSE 'HEALTHY' END AS health_band,
   CASE WHEN p_partkey % 3 = 0 THEN 'AGE_BEYOND_EXPECTED_LIFE||INSUFFICIENT_TELEMETRY' WHEN p_partkey % 3 = 1 THEN 'RECENT_DIRECT_UNPLANNED_OUTAGE' END AS reason_codes, CASE WHEN p_partkey % 3 = 0 THEN 'AGE_BEYOND_EXPECTED_LIFE' WHEN p_partkey % 3 = 1 THEN 'RECENT_DIRECT_UNPLANNED_OUTAGE' END AS primary_reason_code FROM {part}""",
-    "priorities": "SELECT 'ah-1' AS asset_health_run_id, concat('A', p_partkey) AS asset_id, concat('P', p_partkey % 4 + 1) AS priority, CASE WHEN p_size < 15 THEN 'CRITICAL' ELSE 'HEALTHY' END AS health_band, concat('tier_', p_partkey % 3 + 1) AS criticality_tier FROM {part}",
+    "priorities": "SELECT 'ah-1' AS asset_health_run_id, concat('A', p_partkey) AS asset_id, CASE p_partkey % 4 WHEN 0 THEN 'P1_IMMEDIATE_REVIEW' WHEN 1 THEN 'P2_HIGH' WHEN 2 THEN 'P3_MEDIUM' ELSE 'P4_ROUTINE' END AS priority, CASE WHEN p_size < 15 THEN 'CRITICAL' ELSE 'HEALTHY' END AS health_band, concat('tier_', p_partkey % 3 + 1) AS criticality_tier FROM {part}",
     "outage_risk": f"""SELECT 'op-1' AS outage_prediction_run_id, 'feeder' AS entity_type, concat('F', user_id) AS entity_id, concat('GRID-', user_id % 6) AS grid_region, concat('S', user_id % 25) AS substation_id, concat('F', user_id) AS feeder_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'logistic' END AS model_name, {_at("ts", "event_id % 24")} AS observation_timestamp,
   CAST(event_id % 100 AS DOUBLE) / 100 AS risk_score, CASE event_id % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_band, CASE WHEN event_id % 7 = 0 THEN 'SEVERE_WEATHER_QUALITY' END AS primary_reason_code FROM {{events}}""",
     "reliability": f"""SELECT 'rl-1' AS reliability_run_id, CASE WHEN o_custkey % 9 = 0 THEN '' ELSE 'feeder' END AS entity_type, CASE WHEN o_custkey % 11 = 0 THEN '' ELSE concat('F', o_custkey) END AS entity_id, concat('GRID-', o_custkey % 4) AS grid_region, concat('S', o_custkey % 25) AS substation_id, concat('F', o_custkey) AS feeder_id, {_DAY.format("o_orderdate")} AS period_start,

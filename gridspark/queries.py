@@ -421,9 +421,15 @@ def health_scores(s, d):
     return _health(s, d).select("asset_id", *[f"{n}_score" for n in health.WEIGHTS], "health_score", "health_band")
 
 
-@query("health_priority", HEALTH + " SELECT asset_id, CASE WHEN band = 'CRITICAL' AND criticality >= 3 THEN 'P1' WHEN band = 'CRITICAL' THEN 'P2' WHEN band = 'DEGRADED' AND criticality >= 3 THEN 'P2' WHEN pressing AND (band = 'WATCH' OR criticality >= 2) THEN 'P2' WHEN band IN ('DEGRADED', 'WATCH') OR pressing THEN 'P3' ELSE 'P4' END AS maintenance_priority FROM h3")
+@query("health_priority", HEALTH + """ SELECT asset_id,
+  CASE WHEN band = 'CRITICAL' AND criticality >= 3 THEN 'P1_IMMEDIATE_REVIEW' WHEN band = 'CRITICAL' THEN 'P2_HIGH' WHEN band = 'DEGRADED' AND criticality >= 3 THEN 'P2_HIGH'
+    WHEN pressing AND (band = 'WATCH' OR criticality >= 2) THEN 'P2_HIGH' WHEN band IN ('DEGRADED', 'WATCH') OR pressing THEN 'P3_MEDIUM' ELSE 'P4_ROUTINE' END AS maintenance_priority,
+  CASE WHEN band = 'CRITICAL' AND criticality >= 3 THEN 'CRITICAL_HEALTH_HIGH_CRITICALITY' WHEN band = 'CRITICAL' THEN 'CRITICAL_HEALTH' WHEN band = 'DEGRADED' AND criticality >= 3 THEN 'DEGRADED_HEALTH_HIGH_CRITICALITY'
+    WHEN pressing THEN concat_ws('|', CASE WHEN od > 0 THEN 'INSPECTION_OVERDUE' END, CASE WHEN dc > 0 THEN 'MAINTENANCE_DEFERRED' END, CASE WHEN duc > 0 THEN 'RECENT_DIRECT_UNPLANNED_OUTAGE' END,
+      CASE operational_status WHEN 'maintenance' THEN 'STATUS_MAINTENANCE' WHEN 'retired' THEN 'STATUS_RETIRED' END)
+    WHEN band IN ('DEGRADED', 'WATCH') THEN band ELSE 'ROUTINE_REVIEW' END AS priority_reasons FROM h3""")
 def health_priority(s, d):
-    return health.priority(_health(s, d)).select("asset_id", "maintenance_priority")
+    return health.priority(_health(s, d)).select("asset_id", "maintenance_priority", F.concat_ws("|", "priority_reasons").alias("priority_reasons"))
 
 
 @query("health_fleet", HEALTH + " SELECT asset_type, count(*) AS assets, avg(score) AS mean_score, median(score) AS median_score, min(score) AS min_score, max(score) AS max_score FROM h3 GROUP BY ALL")

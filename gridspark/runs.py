@@ -8,17 +8,16 @@ columns of `operators.star.SOURCES`, so that reporting reads them as they are.
 from __future__ import annotations
 
 import datetime as dt
-import json
-import pathlib
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import epoch_minutes
 from .operators import health, metrics, models, risk, series, splits, star
-from .pipelines import ConfigError, Run, _finished, run_name, settings
-from .sources import generator, sinks
+from .pipelines import ConfigError, Run, finished, run_name, settings
+from .sources import discovery, generator, shared, sinks
 
 
 def _minutes(at: object) -> int:
@@ -28,9 +27,8 @@ def _minutes(at: object) -> int:
 
 def _read(spark: SparkSession, root: str, name: str, columns: str | None = None) -> DataFrame:
     """A dataset of an ingestion; an optional one (with columns given) may be absent, and is empty then."""
-    if columns is not None and not pathlib.Path(f"{root}/{name}").exists():
-        return spark.createDataFrame([], columns)
-    return spark.read.parquet(f"{root}/{name}")
+    found = shared.there(spark, f"{root}/{name}") if columns is not None else spark.read.parquet(f"{root}/{name}")
+    return spark.createDataFrame([], columns) if found is None else found
 
 
 def _day(at: str | Column) -> Column:
@@ -48,6 +46,11 @@ def _counts(rows: DataFrame, column: str) -> dict[str, int]:
     return {r[0]: r[1] for r in rows.groupBy(column).agg(F.count("*")).collect()}
 
 
+def _told(rows: DataFrame) -> list[dict]:
+    """Metrics by model and split as a run file has them; a row per model and split."""
+    return [r.asDict() for r in rows.withColumnRenamed("model", "model_name").orderBy("model_name", "split").collect()]
+
+
 MAINTENANCE = "asset_id string, maintenance_type string, maintenance_status string, scheduled_start timestamp, actual_start timestamp, completed_at timestamp, downtime_minutes long, maintenance_cost_gbp double, follow_up_required boolean"
 SUBSTATION = "substation_id string, feeder_id string, grid_region string, event_timestamp timestamp, load_mw double, utilisation_pct double, transformer_temperature_c double, alarm_code string, operational_status string, frequency_hz double, voltage_kv double"
 WEATHER = "weather_timestamp timestamp, grid_region string, temperature_c double, humidity_pct double, wind_speed_mps double, wind_gust_mps double, precipitation_mm double, pressure_hpa double, severe_weather_flag boolean"
@@ -72,10 +75,10 @@ def run_asset_health(spark: SparkSession, config: dict | str, run_id: str | None
     assets = inventory.select("asset_id", "asset_type", "grid_region", "substation_id", "feeder_id", "operational_status", "criticality_tier", "expected_life_years", tier.alias("criticality"), _day("commissioned_date").alias("commissioned_day"),
                               _day("last_inspection_date").alias("last_inspection_day"), _day("next_inspection_due").alias("next_due_day"))
     try:
-        assets = health.population(assets, c["included_asset_types"])
+        assets = health.population(assets, c["included_asset_types"], now // 1440)
     except ValueError as e:
         run.status, run.found = "FAILED_ASSET_HEALTH_INPUT", [("asset_inventory", str(e))]
-        return _finished(run, c["output_root"], {})
+        return finished(run, c["output_root"], {})
     logs = _read(spark, c["interim_root"], "maintenance_logs", MAINTENANCE)
     logs = logs.select("asset_id", _day(F.coalesce("completed_at", "actual_start", "scheduled_start")).alias("day"), "maintenance_type", "maintenance_status", "downtime_minutes", col("maintenance_cost_gbp").alias("cost"), F.coalesce("follow_up_required", F.lit(False)).alias("follow_up"))
     in_reach = (col("ts_min") <= now) & (col("ts_min") >= now - back)
@@ -87,15 +90,15 @@ def run_asset_health(spark: SparkSession, config: dict | str, run_id: str | None
     parts = {"age": "age_component_score", "inspection": "inspection_component_score", "maintenance": "maintenance_component_score", "telemetry": "telemetry_stress_component_score", "alarm": "alarm_component_score", "outage": "outage_component_score"}
     at = F.lit(str(c["now"]))
     scores = rows.select(F.lit(run.run_id).alias("asset_health_run_id"), "asset_id", "asset_type", "grid_region", "criticality_tier", at.alias("assessment_timestamp"), "health_score", "health_band", "maintenance_priority", col("completeness").alias("data_completeness_ratio"),
-                         *[col(f"{k}_score").alias(v) for k, v in parts.items()], F.get("reason_codes", F.lit(0)).alias("primary_reason_code"), F.concat_ws("|", "reason_codes").alias("reason_codes"), (col("inspection_overdue_days") > 0).alias("inspection_overdue"))
+                         *[col(f"{k}_score").alias(v) for k, v in parts.items()], F.get("reason_codes", F.lit(0)).alias("primary_reason_code"), F.concat_ws("|", "reason_codes").alias("reason_codes"), (col("inspection_overdue_days") > 0).alias("inspection_overdue"), "priority_reasons")
     run.paths = {n: f"{c['output_root']}/{n}" for n in ("health", "priorities")}
     sinks.write_parquet(scores, run.paths["health"])
     scores = spark.read.parquet(run.paths["health"])
-    sinks.write_parquet(scores.select("asset_health_run_id", "asset_id", col("maintenance_priority").alias("priority"), "health_band", "criticality_tier", col("primary_reason_code").alias("primary_reason"), col("maintenance_priority").isin("P1", "P2").alias("review_recommended")), run.paths["priorities"])
+    sinks.write_parquet(scores.select("asset_health_run_id", "asset_id", col("maintenance_priority").alias("priority"), "health_band", "criticality_tier", col("primary_reason_code").alias("primary_reason"), col("maintenance_priority").isin(*health.PRIORITIES[:2]).alias("review_recommended"), F.concat_ws("|", "priority_reasons").alias("priority_reasons")), run.paths["priorities"])
     whole = scores.agg(F.count("*").alias("assets_scored"), F.avg("health_score").alias("mean"), F.min("health_score").alias("minimum"), F.max("health_score").alias("maximum"), F.coalesce(F.count_if("inspection_overdue"), F.lit(0)).alias("overdue_inspection_count"), *[F.avg(v).alias(v) for v in parts.values()]).first().asDict()
     run.counts = {"counts_by_health_band": _counts(scores, "health_band"), "counts_by_priority": _counts(scores, "maintenance_priority"), "counts_by_asset_type": _counts(scores, "asset_type"),
                   "reason_code_counts": _counts(scores.select(F.explode(F.split("reason_codes", r"\|")).alias("r")).filter("r <> ''"), "r")}
-    return _finished(run, c["output_root"], {"fleet": whole, "assets_discovered": inventory.count()})
+    return finished(run, c["output_root"], {"fleet": whole, "assets_discovered": inventory.count(), "assets_scored": whole["assets_scored"], "insufficient_data_assets": run.counts["counts_by_health_band"].get("INSUFFICIENT_DATA", 0), "assessment_timestamp": str(c["now"])})
 
 
 FORECASTING = {"target_source": "smart_meter_events", "target_column": "active_energy_kwh", "aggregation_level": "grid_region", "timestamp_frequency_minutes": 60, "forecast_horizons": [1], "minimum_history_intervals": 6, "validation_intervals": 1, "test_intervals": 1, "backtest_folds": 1,
@@ -139,7 +142,7 @@ def run_forecasting(spark: SparkSession, config: dict | str, run_id: str | None
             raise ValueError(f"no rows for {absent}")
     except ValueError as e:
         run.status, run.found = "FAILED_FORECASTING_INPUT", [(c["target_source"], str(e))]
-        return _finished(run, c["output_root"], {"rows": parts})
+        return finished(run, c["output_root"], {"rows": parts})
     keep = {"entity_id", "forecast_ts", "ts", "grid_region", "imputed", "horizon", "actual", "split"}
     names = sorted(set(rows.columns) - keep)
     fits = {"persistence": lambda _: models.persistence, "moving_average": lambda _: models.moving_average(min(windows, default=2)), "seasonal_naive": lambda _: models.seasonal_naive(SEASON), "autoregressive_linear": lambda train: models.fit_ridge(train, names).forecast}
@@ -155,7 +158,7 @@ def run_forecasting(spark: SparkSession, config: dict | str, run_id: str | None
             run.found.append((name, str(e)))
     if not fitted:
         run.status = "FAILED_FORECASTING_MODELS"
-        return _finished(run, c["output_root"], {"rows": parts})
+        return finished(run, c["output_root"], {"rows": parts})
     tail = (1 - c["prediction_interval_level"]) / 2
     with_bounds = lambda all_rows, train: metrics.intervals(all_rows, metrics.nearest_rank(train.withColumn("residual", col("actual") - col("predicted")), ["model"], "residual", {"q_lo": tail, "q_hi": 1 - tail}), ["model"])
     predicted = models.scored(rows, fitted)
@@ -165,7 +168,7 @@ def run_forecasting(spark: SparkSession, config: dict | str, run_id: str | None
     best = overall.filter("value IS NOT NULL").agg(F.min(F.struct("value", "model")).alias("b")).select("b.*").first()
     if best.model is None:
         run.status = "FAILED_FORECASTING_MODELS"
-        return _finished(run, c["output_root"], {"rows": parts})
+        return finished(run, c["output_root"], {"rows": parts})
     folds = []
     for (cut,) in rows.filter("split <> 'train'").select("ts").distinct().orderBy(col("ts").desc()).limit(c["backtest_folds"]).collect()[::-1]:  # as many as folds
         past, now = rows.filter(col("forecast_ts") <= F.lit(cut)), rows.filter(col("ts") == F.lit(cut))
@@ -180,7 +183,8 @@ def run_forecasting(spark: SparkSession, config: dict | str, run_id: str | None
     sinks.write_parquet(metrics.forecast(again, ["model", "split", "entity_id", "horizon"]), run.paths["comparison"])
     base = overall.filter("model = 'persistence'").select("value").first()
     run.counts = {"rows": parts, "predictions": _counts(again, "model")}
-    return _finished(run, c["output_root"], {"selected_model": best.model, "selected_value": best.value, "baseline_value": base and base.value, "beats_baseline": bool(base and base.value is not None and best.value < base.value), "features": names})
+    return finished(run, c["output_root"], {"selected_model": best.model, "selected_value": best.value, "baseline_value": base and base.value, "beats_baseline": bool(base and base.value is not None and best.value < base.value), "features": names,
+                                                "output_records": sum(run.counts["predictions"].values()), "metrics": _told(metrics.overall(by_entity, ["model", "split"]))})
 
 
 OUTAGE = {"observation_frequency_minutes": 60, "prediction_horizon_intervals": 1, "feature_lookback_intervals": 2, "minimum_history_intervals": 1, "validation_intervals": 1, "test_intervals": 1, "selection_metric": "f1", "positive_class_weight": 3.0, "classification_threshold": 0.5,
@@ -197,6 +201,9 @@ def run_outage_prediction(spark: SparkSession, config: dict | str, run_id: str |
     c = settings(config, ("interim_root", "output_root"), OUTAGE)
     run, col, root = Run("outage_prediction", run_name(run_id), "COMPLETED", paths={n: f"{c['output_root']}/{n}" for n in ("panel", "outage_risk", "comparison")}), F.col, c["interim_root"]
     step, look, ahead = c["observation_frequency_minutes"], c["feature_lookback_intervals"], c["prediction_horizon_intervals"]
+    if look < 1:
+        raise ConfigError("feature_lookback_intervals is under 1")
+    # Observations of the tick itself are one interval; the joins take windows of a minute at least.
     reach = max(step * (look - 1), 1)
     told = _read(spark, root, "substation_events").withColumns({"entity_id": col("feeder_id"), "ts_min": epoch_minutes("event_timestamp")})
     places = told.groupBy("entity_id").agg(F.max(F.struct("grid_region", "substation_id")).alias("_p")).select("entity_id", "_p.*")
@@ -215,14 +222,14 @@ def run_outage_prediction(spark: SparkSession, config: dict | str, run_id: str |
     rows = risk.asset_features(rows, bridge, assets.select("asset_id", "expected_life_years", "criticality_tier", "operational_status", _day("commissioned_date").alias("commissioned_day"), _day("next_inspection_due").alias("due_day")))
     at = lambda m: F.timestamp_seconds(m * 60).cast("timestamp_ntz")
     rows = rows.withColumns({"ts": at(col("obs")), "end": at(col("label_end"))})
-    sinks.write_parquet(splits.purged(rows, c["validation_intervals"], c["test_intervals"], 0, step, "ts", "end"), run.paths["panel"])
+    sinks.write_parquet(splits.purged(rows, c["validation_intervals"], c["test_intervals"], ahead, step, "ts", "end"), run.paths["panel"])
     rows = spark.read.parquet(run.paths["panel"])
     classes = {(r["split"], r["label"]): r["n"] for r in rows.groupBy("split", "label").agg(F.count("*").alias("n")).collect()}
     n = lambda y: sum(v for (_, label), v in classes.items() if label == y)
     lacking = [s for s in ("train", "validation", "test") if not any(k[0] == s for k in classes)]
     if lacking or n(1) < c["minimum_positive_examples"] or n(0) < c["minimum_negative_examples"]:
         run.status, run.found = "FAILED_OUTAGE_INPUT", [("panel", f"{n(1)} positive and {n(0)} negative rows; none for {lacking}")]
-        return _finished(run, c["output_root"], {})
+        return finished(run, c["output_root"], {})
     apart = {"entity_id", "obs", "label", "outage_id", "label_end", "grid_region", "substation_id", "ts", "end", "split"}
     names = [x for x in sorted(rows.columns) if x not in apart]
     fits = {"prevalence": models.prevalence, "recent_outage_heuristic": lambda _: models.recent_outage, "operational_warning_heuristic": lambda _: models.operational_warning, "logistic_regression": lambda train: models.fit_logistic(train, names, positive_weight=c["positive_class_weight"]).probability}
@@ -236,7 +243,7 @@ def run_outage_prediction(spark: SparkSession, config: dict | str, run_id: str |
             run.found.append((name, str(e)))
     if not fitted:
         run.status = "FAILED_OUTAGE_MODELS"
-        return _finished(run, c["output_root"], {})
+        return finished(run, c["output_root"], {})
     cut = c["classification_threshold"]
     told = models.scored(risk.reasons(rows, c["max_reason_codes"]), fitted).withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
     told = told.withColumn("risk_band", risk.band("score", "completeness", c["minimum_data_completeness"]))
@@ -245,29 +252,64 @@ def run_outage_prediction(spark: SparkSession, config: dict | str, run_id: str |
     again = spark.read.parquet(run.paths["outage_risk"]).withColumnsRenamed({"model_name": "model", "data_split": "split", "actual_outage_flag": "label", "risk_score": "score"})
     found = metrics.confusion(again, ["model", "split"], threshold=cut).join(metrics.probabilistic(again, ["model", "split"]), ["model", "split"])
     sinks.write_parquet(found, run.paths["comparison"])
-    best = metrics.select_classifier(spark.read.parquet(run.paths["comparison"]).filter("split = 'validation'"), [], c["selection_metric"], list(fitted)).first()
+    compared = spark.read.parquet(run.paths["comparison"])
+    best = metrics.select_classifier(compared.filter("split = 'validation'"), [], c["selection_metric"], list(fitted)).first()
     chosen = again.filter(col("model") == best.model)
     run.counts = {"risk_band_counts": _counts(chosen, "risk_band"), "rows": _counts(rows, "split"), "reason_code_counts": _counts(chosen.select(F.explode(F.split("reason_codes", r"\|")).alias("r")), "r")}
-    return _finished(run, c["output_root"], {"selected_model": best.model, "selected_value": best.value, "positive": n(1), "negative": n(0), "features": names})
+    return finished(run, c["output_root"], {"selected_model": best.model, "selected_value": best.value, "positive": n(1), "negative": n(0), "features": names,
+                                                "output_records": sum(run.counts["risk_band_counts"].values()), "metrics": _told(compared.withColumnRenamed("brier", "brier_score").withColumn("positive_count", col("tp") + col("fn")))})
+
+
+REPORTING = {"sources": {}, "roots": [], "runs": [], "date_dimension_start": "2024-01-01", "date_dimension_end": "2027-12-31"}
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of any file system: CSV with a header and JSON lines by their ending, else Parquet; None where there is nothing."""
+    ending = path.rstrip("/").rpartition(".")[2]
+    if ending == "csv":
+        try:
+            return spark.read.option("header", True).csv(path)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+    return shared.there(spark, path, "json" if ending in ("json", "jsonl") else "parquet")
 
 
-REPORTING = {"sources": {}, "runs": [], "date_dimension_start": "2024-01-01", "date_dimension_end": "2027-12-31"}
+def found_sources(spark: SparkSession, roots: list[str]) -> dict[str, list[DataFrame]]:
+    """Tables below the roots that have the name of a source."""
+    out: dict[str, list[DataFrame]] = {}
+    for root in roots:  # a few folders, and as many names as there are sources
+        for name in star.SOURCES:
+            if name != "runs" and (df := shared.there(spark, f"{root}/{name}")) is not None:
+                out.setdefault(name, []).append(df)
+    return out
 
 
 def run_reporting(spark: SparkSession, config: dict | str, run_id: str | None = None) -> Run:
     """Writes the star schema over the tables that other runs left, with its checks, measures and KPIs.
 
-    config: output_root, sources ({name of a source: Parquet path}), runs (their JSON files), and the ends of the date dimension.
+    config: output_root, and what to report: roots (output folders of runs, in which tables are found by their source's name and runs by
+    their JSON files), sources ({name of a source: path or paths, Parquet, .csv or .jsonl}) and runs (JSON files or folders of them);
+    and the ends of the date dimension. A table that is named in sources and isn't there is an error; any other absent source is empty.
     Repeated keys or keys without their dimension end the run as FAILED_RELATIONSHIPS; the tables are there to look at.
     """
-    c = settings(config, ("output_root", "sources"), {k: v for k, v in REPORTING.items() if k != "sources"})
+    c = settings(config, ("output_root",), REPORTING)
     if unknown := set(c["sources"]) - set(star.SOURCES):
         raise ConfigError(f"sources: {sorted(unknown)}")
+    if not c["sources"] and not c["roots"]:
+        raise ConfigError("neither sources nor roots are given")
     run = Run("reporting", run_name(run_id), "COMPLETED")
-    given = {n: spark.read.parquet(p) for n, p in c["sources"].items()}
-    if c["runs"]:
-        told = [json.loads(pathlib.Path(p).read_text(encoding="utf-8")) for p in c["runs"]]
-        given["runs"] = spark.createDataFrame([(t["component"], t["run_id"], t["status"]) for t in told], "component_name string, source_run_id string, run_status string")
+    parts = found_sources(spark, c["roots"])
+    for name, paths in c["sources"].items():
+        for path in [paths] if isinstance(paths, str) else paths:
+            if (df := load(spark, path)) is None:
+                raise FileNotFoundError(path)
+            parts.setdefault(name, []).append(df)
+    given = {n: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs) for n, dfs in parts.items()}
+    if c["roots"] or c["runs"]:
+        told = discovery.as_source(discovery.component_runs(discovery.documents(spark, [*c["roots"], *c["runs"]])))
+        given["runs"] = shared.written(given["runs"].unionByName(told, allowMissingColumns=True) if "runs" in given else told)
     tables = star.build(spark, given, str(c["date_dimension_start"]), str(c["date_dimension_end"]))
     for name, df in tables.items():
         run.paths[name] = f"{c['output_root']}/{name}"
@@ -282,7 +324,8 @@ def run_reporting(spark: SparkSession, config: dict | str, run_id: str | None =
     run.counts = {r.table: {"rows": r.rows, "unknown_members": r.unknown_members, "null_critical": r.null_critical} for r in seen}
     if run.found:
         run.status = "FAILED_RELATIONSHIPS"
-    return _finished(run, c["output_root"], {"measures": {r["name"]: r["value"] for r in spark.read.parquet(run.paths["measures"]).collect()}, "kpis": {r.kpi_id: r.value for r in spark.read.parquet(run.paths["kpis"]).collect()}})
+    figures = {"measures": {r["name"]: r["value"] for r in spark.read.parquet(run.paths["measures"]).collect()}, "kpis": {r.kpi_id: r.value for r in spark.read.parquet(run.paths["kpis"]).collect()}}
+    return finished(run, c["output_root"], figures)
 
 
 GENERATION = {"regions": 5, "substations": 2, "feeders": 2, "meters": 8, "step_minutes": 60, "seed": 42}
@@ -308,7 +351,7 @@ def run_generation(spark: SparkSession, config: dict | str, run_id: str | None =
         run.paths[name] = f"{c['output_root']}/{name}"
         sinks.write_parquet(df, run.paths[name])
         run.counts[name] = {"records": spark.read.parquet(run.paths[name]).count()}
-    return _finished(run, c["output_root"], {"seed": c["seed"]})
+    return finished(run, c["output_root"], {"seed": c["seed"]})
 
 
 RUNS = {"asset_health": run_asset_health, "forecasting": run_forecasting, "outage_prediction": run_outage_prediction, "reporting": run_reporting, "data_generation": run_generation}

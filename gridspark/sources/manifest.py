@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import pathlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 
 class ManifestError(ValueError):
     """Its `code` says what is wrong."""
@@ -24,17 +25,20 @@ def _once(pairs: list[tuple[str, object]]) -> dict:
     return out
 
 
-def load(path: str) -> dict:
-    """The manifest {files: [{dataset, name, size, sha256, records}]}."""
-    at = pathlib.Path(path)
-    if not at.exists():
+def load(spark: SparkSession, path: str) -> dict:
+    """The manifest {files: [{dataset, name, size, sha256, records}]}; records may be absent."""
+    text = files.read_text(spark, path)
+    if text is None:
         raise ManifestError("MANIFEST_MISSING", path)
     try:
-        got = json.loads(at.read_text(encoding="utf-8"), object_pairs_hook=_once)
+        got = json.loads(text, object_pairs_hook=_once)
     except json.JSONDecodeError as e:
         raise ManifestError("MANIFEST_MALFORMED", str(e)) from None
     if not isinstance(got, dict) or not isinstance(got.get("files"), list):
         raise ManifestError("MANIFEST_MALFORMED", "no files")
+    for f in got["files"]:
+        if not isinstance(f, dict) or (absent := [k for k in ("dataset", "name", "size", "sha256") if not isinstance(f.get(k), int if k == "size" else str)]):
+            raise ManifestError("MANIFEST_MALFORMED", f"an entry without {absent}" if isinstance(f, dict) else "an entry that is no object")
     return got
 
 
@@ -58,20 +62,23 @@ def verify(spark: SparkSession, folder: str, manifest: dict) -> DataFrame:
     return both.select("name", code.alias("code")).filter("code is not null")
 
 
-def discover(folder: str, contracts: dict[str, dict]) -> tuple[dict[str, str], list[str]]:
-    """Paths of the datasets that a folder holds by contract name, and the names of what doesn't belong there. Symbolic links are
-    refused, as they may leave the folder."""
-    root, found, strange = pathlib.Path(folder), {}, []
-    expected = {f"{n}.{c['format']}": n for n, c in contracts.items()}
-    for p in sorted(root.iterdir()):
-        if p.is_symlink() or p.name not in expected and p.name != "manifest.json":
-            strange.append(p.name)
-        elif p.name in expected:
-            found[expected[p.name]] = str(p)
-    return found, strange
+def discover(spark: SparkSession, folder: str, contracts: dict[str, dict], formats: tuple[str, ...] = ("csv", "jsonl")) -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """Paths of the datasets that a folder holds by contract name, and (name, code) of what doesn't belong there or can't be read.
+
+    On this machine symbolic links are refused, as they may leave the folder; other file systems have none. One row a file.
+    """
+    root = files.local(folder)
+    links = {p.name for p in root.iterdir() if p.is_symlink()} if root is not None and root.is_dir() else set()
+    names = files.listed(spark, folder)
+    names = {r.name for r in names.select("name").collect()} if names is not None else set()
+    expected = {f"{n}.{c['format']}": n for n, c in contracts.items() if c["format"] in formats}
+    wrong = [(n, "UNSUPPORTED_FORMAT") for n, c in contracts.items() if c["format"] not in formats]
+    wrong += [(n, "FILE_UNEXPECTED") for n in sorted(links | names) if n in links or n not in expected and n != "manifest.json"]
+    return {expected[n]: f"{folder.rstrip('/')}/{n}" for n in sorted(names - links) if n in expected}, wrong
 
 
-def latest_run(folder: str) -> str | None:
-    """The lexically last run directory."""
-    runs = sorted(p.name for p in pathlib.Path(folder).glob("*") if p.is_dir())
-    return str(pathlib.Path(folder) / runs[-1]) if runs else None
+def latest_run(spark: SparkSession, root: str, name: str = "*.json") -> str | None:
+    """The lexically last folder below a root that holds a file of such a name."""
+    found = files.listed(spark, root, name, deep=True)
+    last = None if found is None else found.agg(F.max(F.struct("folder", "path")).alias("m")).first().m
+    return last and last.path.rpartition("/")[0]

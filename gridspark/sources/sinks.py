@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
-import pathlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import write_text
+
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
     """One JSON object per line, fields in the order of their names."""
@@ -33,16 +32,6 @@ def write_quarantine(rows: DataFrame, path: str, run_id: str, dataset: str) -> N
     out.write.mode("append").partitionBy("run_id", "dataset_name").json(path)
 
 
-def write_text(text: str, path: str) -> str:
-    """Writes a small text by rename; returns its SHA-256."""
-    at = pathlib.Path(path)
-    at.parent.mkdir(parents=True, exist_ok=True)
-    part = at.with_name(at.name + ".part")
-    part.write_text(text, encoding="utf-8")
-    os.replace(part, at)
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def write_manifest(content: dict, path: str) -> str:
     return write_text(json.dumps(content, sort_keys=True, indent=2, default=str) + "\n", path)
 

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark import cli, pipelines
+from gridspark import cli, monitoring_run, pipelines
 from gridspark.sources import generator
 
 NAMES = {"string": "string", "bigint": "integer", "double": "number", "boolean": "boolean", "timestamp": "timestamp", "date": "date"}
@@ -44,15 +44,21 @@ def test_ingestion_then_reliability_then_monitoring(spark, raw, tmp_path):
     assert done.counts["ALL"]["invalid"] == 0 and done.counts["outage_history"]["valid"] == 4, (json.loads(open(done.paths["metrics"]).read())["issues"], spark.read.json(config["quarantine_root"]).collect())
     assert spark.read.parquet(done.paths["smart_meter_events"]).count() == 72
     k = pipelines.run_reliability(spark, {"interim_root": config["interim_root"], "output_root": str(tmp_path / "out"), "start": "2026-01-01", "end": "2026-01-02"}, "r")
-    rows = spark.read.parquet(k.paths["kpis"]).collect()
-    assert k.counts["results"]["n"] == len(rows) == 2 + 2 + 4 and {r.population for r in rows} == {6, 3}
+    rows = spark.read.parquet(k.paths["reliability"]).collect()
+    assert k.counts["results"]["n"] == len(rows) == 2 + 2 + 4 and {r.population_denominator for r in rows} == {6, 3}
+    days = pipelines.run_reliability(spark, {"interim_root": config["interim_root"], "output_root": str(tmp_path / "days"), "start": "2026-01-01", "end": "2026-01-03 12:00:00", "frequency": "daily"}, "d")
+    daily = spark.read.parquet(days.paths["reliability"]).collect()
+    # Every entity in each of three days, the last one of twelve hours; all outages are on the first.
+    assert len(daily) == 3 * 8 and {(r.period_start, r.period_end) for r in daily} == {(f"2026-01-0{d}T00:00:00Z", e) for d, e in ((1, "2026-01-02T00:00:00Z"), (2, "2026-01-03T00:00:00Z"), (3, "2026-01-03T12:00:00Z"))}
+    assert {r.asai for r in daily if "01-01T" not in r.period_start} == {1.0} and {(r.entity_id, r.customer_interruptions) for r in daily if "01-01T" in r.period_start} == {(r.entity_id, r.customer_interruptions) for r in rows}
     told = json.loads(open(k.paths["metrics"]).read())
     assert sum(told["counts_by_reliability_band"].values()) == 8 and told["status"] == "COMPLETED"
-    m = pipelines.run_monitoring(spark, {"interim_root": config["interim_root"], "output_root": str(tmp_path / "mon"), "datasets": ["smart_meter_events", "outage_history", "weather_data"], "now": "2026-01-03 00:00:00", "run_files": [done.paths["metrics"], str(tmp_path / "none.json")]}, "m")
+    m = monitoring_run.run_monitoring(spark, {"interim_root": config["interim_root"], "output_root": str(tmp_path / "mon"), "datasets": ["smart_meter_events", "outage_history", "weather_data"], "now": "2026-01-03 00:00:00",
+                                              "run_roots": [config["report_root"], str(tmp_path / "none")], "required_components": ["none"]}, "m")
     got = {(r.scope_id, r.monitor_type): (r.reason_code, r.alert_status) for r in spark.read.parquet(m.paths["alerts"]).collect()}
-    assert got["smart_meter_events", "freshness"] == ("DATA_STALE", "TRIGGERED")
-    assert got["weather_data", "freshness"][0] == "DATASET_EMPTY" and got["weather_data", "volume"][0] == "VOLUME_BELOW_MINIMUM"
-    assert got["one", "pipeline_health"][0] == "COMPONENT_HEALTHY"
+    assert got["smart_meter_events", "data_freshness"] == ("DATA_STALE", "TRIGGERED")
+    assert got["weather_data", "data_freshness"][0] == "DATASET_EMPTY" and got["weather_data", "data_volume"][0] == "BELOW_MINIMUM_VOLUME"
+    assert got["one", "pipeline_health"][0] == "COMPONENT_HEALTHY" and got["not-available", "pipeline_health"] == ("COMPONENT_NOT_AVAILABLE|MISSING_REQUIRED_COMPONENT", "TRIGGERED")
 
 
 def test_ingestion_quarantines_and_refuses(spark, raw):
@@ -74,8 +80,9 @@ def test_ingestion_quarantines_and_refuses(spark, raw):
     assert pipelines.run_ingestion(spark, config | {"maximum_error_rate": 0.001}, "four").status == "FAILED_QUALITY_THRESHOLD"
     (source / "strange.txt").write_text("x")
     (source / "asset_inventory.jsonl").unlink()
-    found = {c for _, c in pipelines.run_ingestion(spark, config, "five").found}
-    assert {"FILE_UNEXPECTED", "FILE_MISSING"} <= found
+    odd = config | {"contracts": config["contracts"] | {"odd": config["contracts"]["outage_history"] | {"dataset": "odd", "format": "xml"}}}
+    found = {c for _, c in pipelines.run_ingestion(spark, odd, "five").found}
+    assert {"FILE_UNEXPECTED", "FILE_MISSING", "UNSUPPORTED_FORMAT"} <= found
 
 
 def test_settings_are_checked(spark, tmp_path):

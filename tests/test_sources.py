@@ -45,20 +45,20 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x")
     good = {"files": [{"dataset": "a", "name": "a.csv", "size": 1, "sha256": hashlib.sha256(b"x").hexdigest(), "records": 0}]}
     (tmp_path / "manifest.json").write_text(json.dumps(good))
-    loaded = manifest.load(str(tmp_path / "manifest.json"))
+    loaded = manifest.load(spark, str(tmp_path / "manifest.json"))
     assert manifest.verify(spark, str(tmp_path), loaded).count() == 0
     (tmp_path / "a.csv").write_text("y")
     assert [r.code for r in manifest.verify(spark, str(tmp_path), loaded).collect()] == ["MANIFEST_CHECKSUM_MISMATCH"]
     for text, code in (("{", "MANIFEST_MALFORMED"), ('{"files": [], "files": []}', "MANIFEST_DUPLICATE_ENTRY")):
         (tmp_path / "manifest.json").write_text(text)
         with pytest.raises(manifest.ManifestError) as e:
-            manifest.load(str(tmp_path / "manifest.json"))
+            manifest.load(spark, str(tmp_path / "manifest.json"))
         assert e.value.code == code
     with pytest.raises(manifest.ManifestError):
-        manifest.load(str(tmp_path / "no.json"))
+        manifest.load(spark, str(tmp_path / "no.json"))
     twice = {"files": [{"dataset": "a", "name": "a.csv"}, {"dataset": "a", "name": "z.csv"}, {"dataset": "q", "name": "q.csv"}]}
     assert manifest.entries(twice, ["a", "b"]) == [("a", "MANIFEST_DUPLICATE_ENTRY"), ("q", "MANIFEST_DATASET_UNEXPECTED"), ("b", "MANIFEST_DATASET_MISSING")]
-    found, strange = manifest.discover(str(tmp_path), {"a": {"format": "csv"}})
+    found, strange = manifest.discover(spark, str(tmp_path), {"a": {"format": "csv"}})
     assert set(found) == {"a"} and strange == []
 
 
