@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalar import epoch_minutes
 from .operators import reliability, validation
-from .sources import contracts, files, manifest, readers, sinks
+from .sources import contracts, files, manifest, readers, shared, sinks
 
 
 class ConfigError(ValueError):
@@ -88,10 +88,9 @@ def _issue(code, field_name, severity: str):
 
 
 def typed(spark: SparkSession, path: str, contract: dict) -> DataFrame:
-    """Typed rows of a source with the issues of their line and of the contract. A line that can't be taken apart has that issue
-    alone."""
-    raw = readers.read(spark, path, contract)
-    rows = validation.typed(raw, contract)
+    """Typed rows of a source with the issues of their line and of the contract, still to be numbered. A line that can't be taken
+    apart has that issue alone."""
+    rows = validation.typed(readers.raw(spark, path, contract), contract)
     none = F.array().cast(f"array<{validation.ISSUE}>")
     own = F.when(F.col("_issue").isNotNull(), F.array(_issue(F.col("_issue"), None, "ERROR"))).otherwise(F.col("issues"))
     if "_keys" in rows.columns:
@@ -133,7 +132,8 @@ def run_ingestion(spark: SparkSession, config: dict | str, run_id: str | None =
     for d, path in sources.items():
         # Typed rows are written before they are judged: a filter on issues would repeat all that issues come from.
         typed(spark, path, kinds[d]).write.mode("overwrite").parquet(f"{at[d]}/typed")
-        rows = validation.with_rules(spark.read.parquet(f"{at[d]}/typed"), d, kinds[d]["primary_key"])
+        rows = readers.numbered(spark.read.parquet(f"{at[d]}/typed"), readers.READERS[kinds[d]["format"]][1])
+        rows = validation.with_rules(rows, d, kinds[d]["primary_key"])
         rows.write.mode("overwrite").parquet(f"{at[d]}/judged")
     of = {d: spark.read.parquet(f"{p}/judged") for d, p in at.items()}
     for d, key, other, its in c["relations"]:
@@ -156,13 +156,17 @@ def run_ingestion(spark: SparkSession, config: dict | str, run_id: str | None =
         sinks.write_parquet(valid.drop("issues", "_row", "_file"), f"{c['interim_root']}/{d}")
         sinks.write_quarantine(bad, c["quarantine_root"], run.run_id, d)
         run.paths[d] = f"{c['interim_root']}/{d}"
+    codes = everything.select("dataset", F.explode("issues").alias("i")).groupBy("dataset", "i.code", "i.severity").agg(F.count("*").alias("n"))
+    told = [r.asDict() for r in codes.orderBy("dataset", "code", "severity").collect()]
+    for p in at.values():  # what was judged is written where it belongs
+        for part in ("typed", "judged"):
+            shared.emptied(spark.read.parquet(f"{p}/{part}"))
     whole = run.counts.get("ALL", {})
     if whole.get("status") == "FAILED_QUALITY_THRESHOLD":
         run.status = "FAILED_QUALITY_THRESHOLD"
     elif run.found or whole.get("with_warnings") or whole.get("invalid"):
         run.status = "PASSED_WITH_WARNINGS"
-    codes = everything.select("dataset", F.explode("issues").alias("i")).groupBy("dataset", "i.code", "i.severity").agg(F.count("*").alias("n"))
-    return finished(run, c["report_root"], {"issues": [r.asDict() for r in codes.orderBy("dataset", "code", "severity").collect()]})
+    return finished(run, c["report_root"], {"issues": told})
 
 
 LEVELS = {"grid_region": "grid_region", "substation": "substation_id", "feeder": "feeder_id"}

@@ -77,6 +77,7 @@ def test_ingestion_quarantines_and_refuses(spark, raw):
     codes = sorted(i.code for r in kept.collect() for i in r.issues)
     assert {"FOREIGN_KEY_NOT_FOUND", "INVALID_DATA_TYPE", "MALFORMED_RECORD", "DUPLICATE_PRIMARY_KEY"} <= set(codes)
     assert (done.counts["outage_history"]["discovered"], done.counts["outage_history"]["valid"]) == (6, 1)
+    assert {json.loads(r.record)["_row"] for r in kept.collect() if any(i.code == "MALFORMED_RECORD" for i in r.issues)} == {6}
     assert pipelines.run_ingestion(spark, config | {"maximum_error_rate": 0.001}, "four").status == "FAILED_QUALITY_THRESHOLD"
     (source / "strange.txt").write_text("x")
     (source / "asset_inventory.jsonl").unlink()

@@ -25,19 +25,44 @@ def test_csv(spark, tmp_path):
     f = tmp_path / "d.csv"
     f.write_text("id,v,schema_version\na,1.5,1\nb,x,1\nc,2\n")
     got = readers.read(spark, str(f), contracts.checked(dict(CONTRACT)))
-    assert {r.id: r._issue for r in got.collect()} == {"a": None, "b": None, "c": "INCONSISTENT_CSV_ROW"}
+    assert {r.id: (r._row, r._issue) for r in got.collect()} == {"a": (2, None), "b": (3, None), "c": (4, "INCONSISTENT_CSV_ROW")}
     typed = validation.typed(got.drop("_file", "_issue"), CONTRACT)
     assert {r.id: [i.code for i in r.issues] for r in typed.collect()}["b"] == ["INVALID_DATA_TYPE"]
     f.write_text("v,id,schema_version\n1,a,1\n")
     with pytest.raises(readers.HeaderError):
-        readers.read_csv(spark, str(f), CONTRACT)
+        readers.read(spark, str(f), CONTRACT)
+
+
+@pytest.mark.parametrize("kind", ["csv", "jsonl"])
+def test_row_numbers_of_many_splits(spark, tmp_path, kind):
+    """As a sequential read counts them, whatever the splits; several files, blank lines and short rows included."""
+    want, before = {}, {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for f in "ab":
+        lines = [f"{f}{i},{i}.5,1" if i % 7 else f"{f}{i},2" for i in range(3000)]
+        if kind == "jsonl":
+            lines = [json.dumps(dict(zip(("id", "v", "schema_version"), x.split(",")))) if i % 5 else ("" if i % 2 else "{broken " + x) for i, x in enumerate(lines)]
+        (tmp_path / f"{f}.{kind}").write_text("".join(x + "\n" for x in ["id,v,schema_version"] * (kind == "csv") + lines))
+        want |= {(f, i + (2 if kind == "csv" else 1)): x for i, x in enumerate(lines) if x}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        raw = readers.raw(spark, str(tmp_path), {**CONTRACT, "format": kind})
+        assert raw.select("_file", "_block").distinct().count() > 20
+        got = readers.read(spark, str(tmp_path), {**CONTRACT, "format": kind}).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r._file[-len(kind) - 2], r._row) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        line = want[r._file[-len(kind) - 2], r._row]
+        assert r._issue in ("MALFORMED_RECORD", "INCONSISTENT_CSV_ROW") or r.id in line.replace('"', "").replace("{id: ", "").split(",")
 
 
 def test_jsonl(spark, tmp_path):
     f = tmp_path / "d.jsonl"
     f.write_text('{"id": "a", "v": 1.5, "schema_version": "1", "extra": 2}\n\n[1]\n{bad\n{"id": "b", "v": "x"}\n')
-    got = readers.read_jsonl(spark, str(f), CONTRACT).collect()
-    assert [r._issue for r in got] == [None, "MALFORMED_RECORD", "MALFORMED_RECORD", None]
+    got = sorted(readers.read(spark, str(f), {**CONTRACT, "format": "jsonl"}).collect(), key=lambda r: r._row)
+    assert [(r._row, r._issue) for r in got] == [(1, None), (3, "MALFORMED_RECORD"), (4, "MALFORMED_RECORD"), (5, None)]
     assert got[0].v == "1.5" and got[3].v == "x" and got[0]._keys == ["id", "v", "schema_version", "extra"]
 
 
