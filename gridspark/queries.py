@@ -575,6 +575,26 @@ def ret_grounding(s, d):
     return retrieval.grounding(_search(s, d), "item_id", 5).drop("grounded")
 
 
+@query("doc_flatten", """WITH p AS (SELECT event_id, to_json({'event': {'kind': event_type, 'more': json(props), 'seen.at': {'user': user_id, 'odd': user_id % 2 = 1, 'none': NULL}}, 'list': range(0, user_id % 30), 'value': CAST(event_id % 97 AS BIGINT)}) AS j FROM events),
+  t AS (SELECT event_id, key, value, type, fullkey, path, id, parent FROM p, json_tree(p.j) AS t),
+  l AS (SELECT event_id, n.*, CASE WHEN type = 'NULL' THEN 'null' WHEN type = 'BOOLEAN' THEN CASE WHEN CAST(value AS VARCHAR) = 'true' THEN 'True' ELSE 'False' END
+      WHEN type = 'ARRAY' THEN replace(CAST(CAST(CAST(value AS BIGINT[])[1:20] AS JSON) AS VARCHAR), ' ', '') WHEN type = 'VARCHAR' THEN json_extract_string(value, '$') ELSE CAST(value AS VARCHAR) END AS shown
+    FROM (SELECT event_id, t.type, t.value, t.id, t.parent, t.key FROM t WHERE type <> 'OBJECT') n),
+  up AS (SELECT a.event_id, a.id, CASE WHEN c.key IS NULL AND b.key IS NULL THEN [a.key] WHEN c.key IS NULL THEN [b.key, a.key] ELSE [c.key, b.key, a.key] END AS keys, a.shown
+    FROM l a JOIN t b ON b.event_id = a.event_id AND b.id = a.parent LEFT JOIN t c ON c.event_id = a.event_id AND c.id = b.parent WHERE b.type = 'OBJECT')
+  SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY keys) AS INTEGER) AS line_no, array_to_string(keys, '.') || '=' || shown AS line FROM up""")
+def doc_flatten(s, d):
+    from .operators import documents
+
+    e = a.table(s, d, "events")
+    inner = F.struct(F.col("user_id").alias("user"), (F.col("user_id") % 2 == 1).alias("odd"), F.lit(None).cast("string").alias("none"))
+    numbers = F.filter(F.sequence(F.lit(0), F.col("user_id") % 30), lambda x: x < F.col("user_id") % 30)
+    kind, more, at = F.to_json(F.struct(F.col("event_type").alias("kind"))), F.col("props"), F.to_json(inner, {"ignoreNullFields": "false"})
+    event = F.concat(F.rtrim(kind, F.lit("}")), F.lit(',"more":'), more, F.lit(',"seen.at":'), at, F.lit("}"))
+    text = F.concat(F.lit('{"event":'), event, F.lit(',"list":'), F.to_json(numbers), F.lit(',"value":'), (F.col("event_id") % 97).cast("string"), F.lit("}"))
+    return documents.flattened(e.select("event_id", text.alias("payload")), ["event_id"], "payload")
+
+
 @query("ret_classify", """WITH t AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS x, upper(coalesce(text, '')) AS y FROM conversations) SELECT conv_id, turn, CASE WHEN x LIKE '%real%' AND (x LIKE '%current%' OR x LIKE '%live%') THEN 'unsupported' WHEN regexp_matches(x, 'forecast|demand|load') THEN 'forecast_summary' WHEN regexp_matches(x, 'maintenance priority|highest maintenance') THEN 'maintenance_priority' WHEN regexp_matches(x, 'asset') THEN 'asset_health' WHEN regexp_matches(x, 'health score') THEN 'asset_health' WHEN regexp_matches(x, 'outage risk|risk score|elevated outage') THEN 'outage_risk' WHEN regexp_matches(x, 'reliability|saifi|saidi|caidi|asai') THEN 'reliability_performance' WHEN regexp_matches(x, 'monitoring|alert') THEN 'monitoring_alerts' WHEN regexp_matches(x, 'incident|investigate|why') THEN 'incident_investigation' WHEN regexp_matches(x, 'executive|summary|status') THEN 'executive_summary' WHEN regexp_matches(x, 'methodology|calculated|how are|limitations') THEN 'methodology' ELSE 'unsupported' END AS query_category,
 regexp_matches(x, 'open breaker|open this breaker|close breaker|switch feeder|switch this feeder|override protection|change protection|protection setting|dispatch crew|send crew automatically|guarantee|will definitely outage') OR regexp_matches(x, '\bsuppress\b.*\balerts?\b|\b(bypass|silence)\b.*\balarms?\b') AS restricted FROM t""")
 def ret_classify(s, d):
