@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, codes, ladder, share
+from . import ordered
 
 #: Weights and bands of the composite, and scores where evidence is missing.
 WEIGHTS = {"age": 0.18, "inspection": 0.17, "maintenance": 0.20, "telemetry": 0.20, "alarm": 0.10, "outage": 0.15}
@@ -166,7 +167,11 @@ def priority(f: DataFrame) -> DataFrame:
 
 
 def fleet(f: DataFrame, by: list[str]) -> DataFrame:
-    return f.groupBy(*by).agg(F.count("*").alias("assets"), F.avg("health_score").alias("mean_score"), F.median("health_score").alias("median_score"), F.min("health_score").alias("min_score"), F.max("health_score").alias("max_score"), F.avg("completeness").alias("mean_completeness"))
+    """Scores and completeness by group, with exact medians of groups of any size."""
+    whole = f.groupBy(*by).agg(
+        F.count("*").alias("assets"), F.avg("health_score").alias("mean_score"), F.min("health_score").alias("min_score"), F.max("health_score").alias("max_score"), F.avg("completeness").alias("mean_completeness"))
+    middle = ordered.median(ordered.value_ranks(f, by, "health_score"), by, "health_score", "median_score")
+    return whole.join(middle, by, "left").select(*by, "assets", "mean_score", "median_score", "min_score", "max_score", "mean_completeness")
 
 
 def reason_counts(rows: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import ratio
+from . import ordered
 
 FORECAST_METRICS = ("mae", "rmse", "mape", "smape", "wape", "bias")
 
@@ -32,10 +32,9 @@ def overall(metrics: DataFrame, keys: list[str], names: tuple[str, ...] = FORECA
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The sorted values at index floor(p * (n - 1)) of each group, as one column per share."""
-    own = Window.partitionBy(*keys)
-    ranked = rows.filter(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(own.orderBy(value)) - 1).alias("_i"), F.count("*").over(own).alias("_n"))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == F.floor(F.lit(p) * (F.col("_n") - 1)), F.col(value))).alias(name) for name, p in shares.items()])
+    """The sorted values at index floor(p * (n - 1)) of each group, as one column per share. Groups may be of any size."""
+    places = {name: F.floor(F.lit(p) * (F.col("total") - 1)) for name, p in shares.items()}
+    return ordered.at_places(ordered.value_ranks(rows, keys, value), keys, value, places)
 
 
 def intervals(predictions: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,25 +78,36 @@ def _by_score(rows: DataFrame, keys: list[str], label: str, score: str) -> DataF
 
 def roc_auc(rows: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Pairs won, ties counting half, over all pairs; null without both labels."""
-    below = F.coalesce(F.sum("_q").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = _by_score(rows, keys, label, score).withColumn("_b", below)
-    return won.groupBy(*keys).agg(ratio(F.sum(F.col("_p") * (F.col("_b") + 0.5 * F.col("_q"))), F.sum("_p") * F.sum("_q")).alias("roc_auc"))
+    won = ordered.running(_by_score(rows, keys, label, score), keys, ["_s"], {"_upto": "_q"})
+    return won.groupBy(*keys).agg(ratio(F.sum(F.col("_p") * (F.col("_upto") - 0.5 * F.col("_q"))), F.sum("_p") * F.sum("_q")).alias("roc_auc"))
+
+
+#: Terms of a harmonic sum that are added one by one; from there on its series is exact to a double.
+TERMS = 16
+
+
+def _harmonic(n: Column, p: Column) -> Column:
+    """1 / (n + 1) + ... + 1 / (n + p), whatever p."""
+    first = F.least(p, F.lit(float(TERMS)))
+    head = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), F.lit(0.0), lambda acc, k: acc + F.when(k <= first, 1 / (n + k)).otherwise(0.0))
+    x, y = n + first + 1, n + p + 1  # digamma(y) - digamma(x)
+    tail = lambda z: -1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6) + 1 / (240 * z**8)
+    return head + F.log1p((y - x) / x) + tail(y) - tail(x)
 
 
 def pr_auc(rows: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Trapezoids from (recall 0, precision 1) over rows by falling score, positives of a tied score first; null without positives.
 
-    Among the positives of one score precision runs over k = 1..p hits; that part is summed as a sequence per distinct score.
+    Among the p positives of one score precision runs over (t + k) / (t + f + k), k = 1..p, after t hits and f misses: its sum is
+    p - f (H(t + f + p) - H(t + f)) with harmonic numbers H, so a tie of any size is one expression.
     """
-    own = Window.partitionBy(*keys).orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    g = _by_score(rows, keys, label, score)
-    g = g.select(*keys, "_s", "_p", "_q", F.coalesce(F.sum("_p").over(own), F.lit(0.0)).alias("_tp"), F.coalesce(F.sum("_q").over(own), F.lit(0.0)).alias("_fp"), F.sum("_p").over(Window.partitionBy(*keys)).alias("_all"))
-    hits, falls = F.col("_tp"), F.col("_fp")
-    start = F.when(hits + falls > 0, hits / (hits + falls)).otherwise(1.0)
-    step = lambda k: (hits + k) / (hits + falls + k)
-    ks = F.sequence(F.lit(1), F.col("_p").cast("int"))
-    area = F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + (F.when(k == 1, start).otherwise(step(k - 1)) + step(k)) / 2)
-    return g.groupBy(*keys).agg(ratio(F.sum(F.when(F.col("_p") > 0, area).otherwise(0.0)), F.max("_all")).alias("pr_auc"))
+    g = ordered.running(_by_score(rows, keys, label, score), keys, [F.desc("_s")], {"_tp1": "_p", "_fp1": "_q"}, totals={"_all": "_p"})
+    p, hits, falls = F.col("_p"), F.col("_tp1") - F.col("_p"), F.col("_fp1") - F.col("_q")
+    seen = hits + falls
+    start = F.when(seen > 0, hits / seen).otherwise(1.0)
+    last = (hits + p) / (seen + p)
+    area = p - F.when(falls > 0, falls * _harmonic(seen, p)).otherwise(0.0) + (start - last) / 2
+    return g.groupBy(*keys).agg(ratio(F.sum(F.when(p > 0, area).otherwise(0.0)), F.max("_all")).alias("pr_auc"))
 
 
 def probabilistic(rows: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import clamp, codes, ladder, ratio
+from ..sources.shared import written
+from . import ordered
 
 SUSTAINED, TARGET = 5, 180
 #: Weights of the reliability score, and the bounds of its inverse-linear parts.
@@ -156,8 +158,11 @@ def benchmarks(k: DataFrame, peers: list[str], keys: list[str], scope: str = "pe
     the percentile is the share of values up to this one, null with fewer than two."""
     long = k.unpivot(keys, list(BENCHMARK_METRICS), "metric", "value").filter("value is not null")
     by = [*(peers if scope == "peer" else []), "metric"]
-    own = Window.partitionBy(*by)
-    return long.select("*", F.median("value").over(own).alias("benchmark"), F.when(F.count("*").over(own) >= 2, F.cume_dist().over(own.orderBy("value"))).alias("percentile")).withColumn("gap", F.col("value") - F.col("benchmark"))
+    ranks = written(ordered.value_ranks(long, by, "value"))
+    middle = ordered.median(ranks, by, "value", "benchmark")
+    # A row per distinct value of a peer group, so peers of one value are one row here, and a peer group is many keys.
+    told = long.join(ranks.select(*by, "value", F.when(F.col("total") >= 2, F.col("upto") / F.col("total")).alias("percentile")), [*by, "value"])
+    return told.join(middle, by).select(*keys, "metric", "value", "benchmark", "percentile", (F.col("value") - F.col("benchmark")).alias("gap"))
 
 
 def system_summary(k: DataFrame, level: str = "region") -> DataFrame:

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import codes, ladder, share
+from . import ordered
 
 BANDS = [(0.75, "CRITICAL"), (0.5, "HIGH"), (0.25, "MODERATE")]
+#: Steps of a chunk of ticks.
+TICKS = 1024
 #: Fixed value: days when something never happened.
 NEVER = 999.0
 
@@ -22,13 +25,21 @@ def panel(entities: DataFrame, telemetry: DataFrame, step: int, lookback: int, h
     """(entity_id, obs, available_history, missing_intervals, completeness): every entity at every tick of the telemetry up to
     the last minus the horizon, where the entity had at least `least_history` ticks in its lookback.
 
-    Entities and ticks are small dimension tables; their product is what is asked for, and it is dealt by entity.
+    Entities times ticks are what is asked for. Ticks are kept in chunks of TICKS steps; every entity is dealt to the chunks between the
+    first tick and the last, and meets the ticks of a chunk by an equi-join.
     """
+    chunk = F.floor(F.col("obs") / (step * TICKS))
     ticks = telemetry.select(F.col("ts_min").alias("obs")).distinct()
-    ends = telemetry.agg(F.max("ts_min").alias("last")).select("last").scalar()
+    reach = telemetry.agg(F.min("ts_min").alias("first"), F.max("ts_min").alias("last")).first()  # one row
+    ends = F.lit(reach.last)
     present = telemetry.select("entity_id", F.col("ts_min").alias("obs")).distinct().withColumn("_p", F.lit(1))
-    allowed = ticks.agg(F.array_sort(F.collect_set("obs")).alias("_t"))
-    spine = entities.select("entity_id").distinct().withColumn("_k", F.lit(1)).join(F.broadcast(allowed.withColumn("_k", F.lit(1))), "_k").select("entity_id", F.explode("_t").alias("obs"))
+    chunks = ticks.groupBy(chunk.alias("_c")).agg(F.collect_list("obs").alias("_t"))
+    if reach.first is None:
+        spine = entities.select("entity_id", F.lit(0).cast("long").alias("obs")).limit(0)
+    else:
+        numbers = F.sequence(F.lit(reach.first // (step * TICKS)), F.lit(reach.last // (step * TICKS)))
+        dealt = entities.select("entity_id").distinct().select("entity_id", F.explode(numbers).alias("_c"))
+        spine = dealt.join(chunks, "_c").select("entity_id", F.explode("_t").alias("obs"))
     back = Window.partitionBy("entity_id").orderBy("obs").rangeBetween(-step * (lookback - 1), 0)
     full = spine.join(present, ["entity_id", "obs"], "left").withColumn("available_history", F.sum(F.coalesce("_p", F.lit(0))).over(back))
     return full.filter((F.col("obs") <= ends - horizon * step) & (F.col("available_history") >= least_history)).select(
@@ -55,6 +66,27 @@ def looked_back(rows: DataFrame, events: DataFrame, reach: int, aggregates: list
     return out.fillna({k: v for k, v in (defaults or {}).items() if v is not None})
 
 
+def swept(
+    rows: DataFrame, events: DataFrame, enter: Column, leave: Column, sums: dict[str, Column], latest: dict[str, Column], reach: int, key: str = "entity_id"
+) -> DataFrame:
+    """rows with sums over the events of their entity that have entered by obs and not left, and the latest of times of those entered.
+
+    `enter` is the first minute at which an event is seen, `leave` the first at which it no longer is. A sweep: events and observations are
+    sorted by entity and time once, an event adds to running sums when it enters and takes off when it leaves. So the cost is that of
+    events and observations, however far a look back reaches. `latest` are times that are null before obs - reach. Sums are exact for whole numbers.
+    """
+    seen = events.withColumns({"_e": enter, "_l": leave} | {f"_x_{n}": F.coalesce(v.cast("double"), F.lit(0.0)) for n, v in sums.items()} | {f"_t_{n}": v for n, v in latest.items()}).filter("_e < _l")
+    out = seen.select(key, F.explode(F.array(F.struct(F.col("_e").alias("at"), F.lit(1.0).alias("sign")), F.struct(F.col("_l").alias("at"), F.lit(-1.0).alias("sign")))).alias("_p"), *[f"_x_{n}" for n in sums], *[f"_t_{n}" for n in latest])
+    steps = out.groupBy(key, F.col("_p.at").alias("_when")).agg(
+        *[F.sum(F.col(f"_x_{n}") * F.col("_p.sign")).alias(f"_x_{n}") for n in sums], *[F.max(F.when(F.col("_p.sign") > 0, F.col(f"_t_{n}"))).alias(f"_t_{n}") for n in latest])
+    ticks = rows.select(key, F.col("obs").alias("_when")).distinct().withColumn("_tick", F.lit(1))
+    line = steps.withColumn("_tick", F.lit(0)).unionByName(ticks, allowMissingColumns=True)
+    swept_line = ordered.running(line, [key], ["_when", "_tick"], {n: f"_x_{n}" for n in sums}, maxes={n: f"_t_{n}" for n in latest})
+    late = {n: F.when(F.col(n) >= F.col("obs") - reach, F.col(n)) for n in latest}
+    told = swept_line.filter("_tick = 1").withColumnRenamed("_when", "obs").withColumns(late).select(key, "obs", *sums, *latest)
+    return rows.join(told, [key, "obs"], "left")
+
+
 def label(rows: DataFrame, outages: DataFrame, horizon_minutes: int) -> DataFrame:
     """Adds label, outage_id and label_end: an unplanned outage with obs < start <= obs + horizon, the earliest by (start, id)."""
     unplanned = outages.filter(~F.col("planned")).select("entity_id", "start_min", "outage_id")
@@ -107,10 +139,11 @@ def meter_features(rows: DataFrame, meters: DataFrame, reach: int) -> DataFrame:
 def maintenance_features(rows: DataFrame, bridge: DataFrame, logs: DataFrame, reach: int) -> DataFrame:
     """Six measures of the maintenance of an entity's assets; bridge is (entity_id, asset_id). Times are the logs' ts_min."""
     c = F.col
-    linked = bridge.select("entity_id", "asset_id").distinct().join(logs, "asset_id")
-    aggs = {"_done": F.max(F.when(c("maintenance_status") == "completed", c("ts_min"))), "recent_corrective_maintenance_count": _n(c("maintenance_type") == "corrective"), "recent_emergency_maintenance_count": _n(c("maintenance_type") == "emergency"),
-            "deferred_maintenance_count": _n(c("maintenance_status") == "deferred"), "follow_up_required_count": _n(c("follow_up_required")), "recent_downtime_minutes": F.sum("downtime_minutes").cast("double")}
-    out = looked_back(rows, linked, reach, [v.alias(k) for k, v in aggs.items()], defaults={k: 0.0 for k in aggs if k != "_done"})
+    linked = bridge.select("entity_id", "asset_id").distinct().join(logs, "asset_id").filter("ts_min IS NOT NULL")
+    one = lambda x: F.when(x, 1).otherwise(0)
+    sums = {"recent_corrective_maintenance_count": one(c("maintenance_type") == "corrective"), "recent_emergency_maintenance_count": one(c("maintenance_type") == "emergency"),
+            "deferred_maintenance_count": one(c("maintenance_status") == "deferred"), "follow_up_required_count": one(c("follow_up_required")), "recent_downtime_minutes": c("downtime_minutes")}
+    out = swept(rows, linked, c("ts_min"), c("ts_min") + reach + 1, sums, {"_done": F.when(c("maintenance_status") == "completed", c("ts_min"))}, reach)
     days = (F.floor(F.col("obs") / 1440) - F.floor(F.col("_done") / 1440)).cast("double")
     return out.withColumn("days_since_last_completed_maintenance", F.coalesce(days, F.lit(NEVER))).drop("_done")
 
@@ -118,9 +151,12 @@ def maintenance_features(rows: DataFrame, bridge: DataFrame, logs: DataFrame, re
 def prior_outage_features(rows: DataFrame, outages: DataFrame, reach: int) -> DataFrame:
     """Five measures of unplanned outages that began in reach before obs and were over by then."""
     c = F.col
-    aggs = {"prior_unplanned_outage_count": F.count("*").cast("double"), "_last": F.max("start_min"), "prior_equipment_failure_outage_count": _n(c("cause") == "equipment_failure"),
-            "prior_severe_weather_outage_count": _n(c("severe")), "historical_outage_duration_minutes": F.sum("duration_minutes").cast("double")}
-    out = looked_back(rows, outages.filter(~F.col("planned")), reach, [v.alias(k) for k, v in aggs.items()], at="start_min", strict=True, also=c("end_min") <= c("obs"), defaults={k: 0.0 for k in aggs if k != "_last"})
+    one = lambda x: F.when(x, 1).otherwise(0)
+    sums = {"prior_unplanned_outage_count": F.lit(1), "prior_equipment_failure_outage_count": one(c("cause") == "equipment_failure"), "prior_severe_weather_outage_count": one(c("severe")),
+            "historical_outage_duration_minutes": c("duration_minutes")}
+    over = F.greatest("end_min", c("start_min") + 1)  # began before obs, and ended by then
+    seen = outages.filter(~c("planned") & c("start_min").isNotNull() & c("end_min").isNotNull())
+    out = swept(rows, seen, over, c("start_min") + reach + 1, sums, {"_last": c("start_min")}, reach)
     days = (F.floor(F.col("obs") / 1440) - F.floor(F.col("_last") / 1440)).cast("double")
     return out.withColumn("days_since_previous_unplanned_outage", F.coalesce(days, F.lit(NEVER))).drop("_last")
 
