@@ -10,12 +10,12 @@ from __future__ import annotations
 import argparse
 import sys
 
-from . import monitoring_run, pipelines, runs
+from . import assistant_run, monitoring_run, pipelines, runs
 from .pipelines import ConfigError
 from .queries import QUERIES
 from .sources import contracts, readers
 
-RUNS = pipelines.RUNS | runs.RUNS | {"monitoring": monitoring_run.run_monitoring}
+RUNS = pipelines.RUNS | runs.RUNS | {"monitoring": monitoring_run.run_monitoring, "genai": assistant_run.run_assistant}
 
 
 def main(args: list[str] | None = None) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import ratio, share, tokens
+from ..sources.shared import written
 
 #: Query categories, the words that choose them (first match wins) and the components that answer them.
 CATEGORIES: list[tuple[str, Sequence[str], Sequence[str]]] = [
@@ -34,6 +35,7 @@ RESTRICTED: list[tuple[str, str]] = [
     (r"\bbypass\b.*\balarms?\b", "RESTRICTED_ALERT_SUPPRESSION"),
     (r"\bsilence\b.*\balarms?\b", "RESTRICTED_ALERT_SUPPRESSION"),
 ]
+#: How an entity's id looks, and what a match of metadata adds to a score.
 ENTITY = r"\b(?:FDR|SUB|GRID|AST)-[A-Z0-9\-]+\b"
 BOOSTS = {"component": 1.0, "entity": 1.0, "category": 0.3, "metric": 0.5}
 
@@ -64,21 +66,79 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def search(post: DataFrame, n_docs: Column | int, queries: DataFrame, key: str, query: str, text: str, k: int, least: float = 0.0, boosts: DataFrame | None = None) -> DataFrame:
-    """(query, key, score, rank): the k best per query by score, then key.
+#: Postings of a query's rarest tokens that are scored first, per hit asked for; and the room that rounding to DIGITS leaves in a bound.
+SEED, DIGITS, ROOM = 20, 6, 1e-6
+
+
+def _terms(mine: DataFrame, q: DataFrame, n_docs: Column | int, query: str, df: DataFrame | None = None) -> DataFrame:
+    """(query, token, qtf, qn, df, idf, bound): a query's tokens that any document has, and the most that one adds to a lexical sum. q has the
+    queries' postings, df (token, df), if that isn't to be counted."""
+    q = q.withColumnRenamed("tf", "qtf")
+    total = q.groupBy(query).agg(F.sum("qtf").alias("qn"))
+    df = mine.groupBy("token").agg(F.count("*").alias("df")) if df is None else df
+    df = df.withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1)
+    return q.join(total, query).join(df, "token").withColumn("bound", F.col("qtf") * F.col("idf"))
+
+
+def candidates(mine: DataFrame, terms: DataFrame, key: str, query: str, k: int, most: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """((query, key, lexical), terms with `needed`): documents that can be among a query's k best, with what its needed tokens add.
+
+    The k-th best sum over a query's rarest tokens is no more than its k-th best score. Tokens are left out, the least bounds first,
+    while their bounds add up to less than that: a document with none but such tokens isn't among the k best, so the postings of common
+    words aren't joined. Of the others those go that the left-out tokens' bounds can't lift to the k-th sum either. `most` is what a boost
+    adds to a score at most.
+    """
+    hit = lambda t: F.sum(F.least("qtf", "tf") * F.col("idf")).alias(t)
+    rare = Window.partitionBy(query).orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0)
+    first = terms.withColumn("_c", F.sum("df").over(rare) - F.col("df")).filter(F.col("_c") < SEED * k)
+    part = mine.join(first, "token").groupBy(query, key).agg(hit("part"))
+    best = part.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.col("part").desc(), key))).filter(F.col("_r") <= k)
+    least = best.groupBy(query).agg(F.when(F.count("*") == k, F.min("part")).alias("least"))
+    lift = F.lit(most) * F.col("qn")
+    terms = terms.join(least, query, "left")
+    below = F.sum("bound").over(Window.partitionBy(query).orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0))
+    needed = F.coalesce(below + lift + ROOM * F.col("qn") >= F.col("least"), F.lit(True))
+    terms = terms.withColumn("needed", needed)
+    rest = terms.groupBy(query).agg(F.sum(F.when(~F.col("needed"), F.col("bound")).otherwise(0.0)).alias("rest"), F.max("least").alias("_least"), F.max(lift + ROOM * F.col("qn")).alias("_more"))
+    found = mine.join(terms.filter("needed").select(query, "token", "qtf", "idf"), "token").groupBy(query, key).agg(hit("lexical"))
+    kept = found.join(rest, query).filter(F.col("_least").isNull() | (F.col("lexical") + F.col("rest") + F.col("_more") >= F.col("_least")))
+    return kept.select(query, key, "lexical"), terms
+
+
+def search(
+    post: DataFrame, n_docs: Column | int, queries: DataFrame, key: str, query: str, text: str, k: int, least: float = 0.0, boosts: DataFrame | None = None) -> DataFrame:
+    """(query, key, score, rank): the k best per query by score, rounded to DIGITS, then key.
 
     score = sum over shared tokens of min(query tf, tf) * (ln((1 + N) / (1 + df)) + 1), over the query's tokens, plus boosts
-    (query, key, boost). Postings are cut to the queries' tokens before anything else is joined.
+    (query, key, boost; none below 0). See search_postings.
     """
-    q = postings(queries, query, text).withColumnRenamed("tf", "qtf")
-    total = q.groupBy(query).agg(F.sum("qtf").alias("qn"))
-    wanted = q.select("token").distinct()
-    mine = post.join(wanted, "token", "left_semi")
-    idf = mine.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1)
-    hit = mine.join(idf, "token").join(q, "token").groupBy(query, key).agg(F.sum(F.least("qtf", "tf") * F.col("idf")).alias("lexical"))
-    scored = hit.join(total, query).withColumn("score", F.col("lexical") / F.greatest(F.lit(1), F.col("qn")))
+    most, add = 0.0, None
     if boosts is not None:
-        scored = scored.join(boosts, [query, key], "left").withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0.0)))
+        most = boosts.agg(F.coalesce(F.max("boost"), F.lit(0.0))).first()[0]
+        add = lambda pairs: pairs.join(boosts, [query, key], "left")
+    return search_postings(post, postings(queries, query, text), n_docs, key, query, k, least, most=most, boosted=add)
+
+
+def search_postings(
+    post: DataFrame, q: DataFrame, n_docs: Column | int, key: str, query: str, k: int, least: float = 0.0, df: DataFrame | None = None, most: float = 0.0,
+    boosted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """`search` by postings of documents (key, token, tf) and of queries (query, token, tf).
+
+    Postings are cut to the queries' tokens, and pairs to those that can be among the k best, before scores are completed; the
+    result is that of scoring all. `boosted` adds a column `boost` of 0 to `most` (or null) to (query, key, ...); `df` gives document
+    frequencies that aren't counted over `post`.
+    """
+    mine = written(post.join(q.select("token").distinct(), "token", "left_semi").select(key, "token", "tf"))
+    terms = written(_terms(mine, q, n_docs, query, df))
+    kept, terms = candidates(mine, terms, key, query, k, most)
+    kept = written(kept)
+    left = kept.select(query, key).join(terms.filter("NOT needed").select(query, "token", "qtf", "idf"), query).join(mine, [key, "token"])
+    more = left.groupBy(query, key).agg(F.sum(F.least("qtf", "tf") * F.col("idf")).alias("more"))
+    scored = kept.join(more, [query, key], "left").join(terms.groupBy(query).agg(F.max("qn").alias("qn")), query)
+    scored = scored.withColumn("score", (F.col("lexical") + F.coalesce("more", F.lit(0.0))) / F.greatest(F.lit(1), F.col("qn")))
+    if boosted is not None:
+        scored = boosted(scored).withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0.0)))
+    scored = scored.withColumn("score", F.round("score", DIGITS))
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), key))
     return scored.filter(F.col("score") >= least).select(query, key, "score", rank.alias("rank")).filter(F.col("rank") <= k)
 

@@ -550,7 +550,7 @@ def ret_tokens_df(s, d):
 
 
 SEARCH = POSTINGS + """, q AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_][A-Za-z0-9_-]*'), lambda x: lower(x))) AS token FROM benchmark) GROUP BY ALL), qn AS (SELECT item_id, sum(qtf) AS qn FROM q GROUP BY ALL), df AS (SELECT token, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM po GROUP BY ALL),
-sr AS (SELECT q.item_id, po.doc_id, sum(least(qtf, tf) * idf) / any_value(qn) AS score FROM q JOIN po ON po.token = q.token JOIN df ON df.token = q.token JOIN qn ON qn.item_id = q.item_id GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sr)"""
+sr AS (SELECT q.item_id, po.doc_id, sum(least(qtf, tf) * idf) / any_value(qn) AS score FROM q JOIN po ON po.token = q.token JOIN df ON df.token = q.token JOIN qn ON qn.item_id = q.item_id GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sr)"""
 
 
 def _search(s: SparkSession, d: str) -> DataFrame:
@@ -559,9 +559,9 @@ def _search(s: SparkSession, d: str) -> DataFrame:
     return retrieval.search(retrieval.postings(docs, "doc_id", "text"), n, a.table(s, d, "benchmark"), "doc_id", "item_id", "text", 5)
 
 
-@query("ret_search_topk", "WITH " + SEARCH + " SELECT item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 5")
+@query("ret_search_topk", "WITH " + SEARCH + " SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 5")
 def ret_search_topk(s, d):
-    return _search(s, d).select("item_id", F.round("score", 6).alias("score"), "rank")
+    return _search(s, d).select("item_id", "doc_id", "score", "rank")
 
 
 @query("ret_context_budget", "WITH " + SEARCH + ", u AS (SELECT rk.item_id, rk.rank, score, sum(n_chars) OVER (PARTITION BY item_id ORDER BY rank) AS used FROM rk JOIN documents d ON d.doc_id = rk.doc_id WHERE rank <= 5) SELECT item_id, count(*) AS chunks FROM u WHERE rank = 1 OR used <= 6000 GROUP BY ALL")
