@@ -5,14 +5,17 @@ A fitted model is plain numbers; predicting is a column expression.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 Model = Callable[[DataFrame], DataFrame]
 
 
@@ -71,16 +74,51 @@ def fit_ridge(rows: DataFrame, features: list[str], target: str = "actual", alph
     return Linear(tuple(features), tuple(map(float, beta[1:])), float(beta[0]))
 
 
-#: Distinct (features, label) rows that the driver may hold while a model is fitted.
-HELD_ROWS = 10_000
+#: Distinct (features, label) rows that the driver may hold while a model is fitted, and those of a block where there are more.
+HELD_ROWS, BLOCK_ROWS = 10_000, 4096
+
+
+def _blocks(table: DataFrame, mean: np.ndarray, deviation: np.ndarray, weight: float) -> DataFrame:
+    """(n, z, y, times) of BLOCK_ROWS rows at most, as bytes of doubles: standardised features, labels, and what a row weighs."""
+    d = len(mean)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                z = (np.column_stack([part.column(f"x{i}").to_numpy() for i in range(d)]) - mean) / deviation if d else np.zeros((part.num_rows, 0))
+                y = part.column("y").to_numpy()
+                times = part.column("n").to_numpy() * np.where(y == 1, weight, 1.0)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([part.num_rows], pa.int32()), "z": [z.tobytes()], "y": [y.tobytes()], "times": [times.tobytes()]})
+
+    return table.mapInArrow(run, "n int, z binary, y binary, times binary")
+
+
+def _gradient(blocks: DataFrame, w: np.ndarray, b: float) -> np.ndarray:
+    """Sums over all rows of the intercept's and the features' gradients: a task adds up its blocks, and tasks are added per feature."""
+    d = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(d + 1)
+        for batch in batches:
+            for block in batch.to_pylist():
+                z, y, times = (np.frombuffer(block[c]) for c in ("z", "y", "times"))
+                z = z.reshape(block["n"], d)
+                with np.errstate(over="ignore"):
+                    error = times * (1 / (1 + np.exp(-(z @ w + b))) - y)
+                total += np.concatenate([[error.sum()], z.T @ error])
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(d + 1), pa.int32()), "g": total})
+
+    got = blocks.mapInArrow(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()  # a row per feature
+    return np.array([g for _, g in sorted((r.i, r.g) for r in got)])
 
 
 def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", iterations: int = 400, rate: float = 0.05, l2: float = 0.01, positive_weight: float | None = None) -> Linear:
     """Full-batch gradient descent on standardised features (population deviation, 1 where that is 0).
 
-    Equal rows are summed first, so an iteration is one aggregate over distinct feature vectors: in NumPy where there are at most
-    HELD_ROWS of them, else a Spark job each. The intercept starts at the logit of the prevalence, clipped to [.001, .999], and
-    isn't penalised.
+    Equal rows are summed first, so an iteration is one pass over distinct feature vectors: in NumPy where there are at most HELD_ROWS of
+    them, else a job of one stage and a small sum over blocks of vectors, which are written and cached once; a job's plan is the same at
+    every step. The intercept starts at the logit of the prevalence, clipped to [.001, .999], and isn't penalised.
     """
     x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)]
     table = rows.filter(F.col(label).isNotNull()).select(*x, F.col(label).cast("double").alias("y")).groupBy(*[f"x{i}" for i in range(len(x))], "y").agg(F.count("*").cast("double").alias("n")).persist()
@@ -105,12 +143,15 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", ite
                 w -= rate * (z.T @ error / n + l2 * w)
                 b -= rate * error.sum() / n
             iterations = 0
-        for _ in range(iterations):
-            z = reduce(lambda a, i: a + (F.col(f"x{i}") - float(mean[i])) / float(deviation[i]) * float(w[i]), range(len(w)), F.lit(b))  # noqa: B023
-            error = F.col("n") * F.when(F.col("y") == 1, weight).otherwise(1.0) * (1 / (1 + F.exp(-z)) - F.col("y"))
-            g = table.agg(F.sum(error), *[F.sum(error * (F.col(f"x{i}") - float(mean[i])) / float(deviation[i])) for i in range(len(w))]).collect()[0]
-            w -= rate * (np.array(g[1:]) / n + l2 * w)
-            b -= rate * g[0] / n
+        if iterations:
+            blocks = written(_blocks(table, mean, deviation, weight)).persist()
+            try:
+                for _ in range(iterations):
+                    g = _gradient(blocks, w, b)
+                    w -= rate * (g[1:] / n + l2 * w)
+                    b -= rate * g[0] / n
+            finally:
+                blocks.unpersist()
         return Linear(tuple(features), tuple(map(float, w / deviation)), float(b - (w * mean / deviation).sum()))
     finally:
         table.unpersist()
@@ -127,6 +168,7 @@ def recent_outage(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.when(hit, 0.75).otherwise(0.15))
 
 
+#: Weights of the warnings.
 def operational_warning(rows: DataFrame) -> DataFrame:
     c = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
     flag = lambda cond, w: F.when(cond, w).otherwise(0.0)
