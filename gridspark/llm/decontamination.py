@@ -8,11 +8,15 @@ LEAST % or more.
 1. A leak shares shingles with its item, so shingles of documents meet those of the items first. Sliding a window to the right
    until its first shingle is one of the item's never lowers its similarity, so windows that begin at such a place suffice, and
    of these only those that hold as many of the item's shingles as the threshold asks for.
-2. The exact similarity of each of these item-sized windows decides. Each (document, item) is reported once, with its best and
-   then first window.
+2. Each such item-sized window has a SimHash of BITS bits, and so has each item. A bag's votes are those of its pairs (shingle, its running
+   number among equal ones), one vote a pair: the plain Jaccard similarity of two sets of pairs is the weighted one of the bags, and no
+   repeated shingle owns a bit. Fingerprints are cut into RADIUS + 1 blocks; two within RADIUS bits agree in one of them at least, so a join
+   on block and value finds all within the radius, whose distance is then counted.
+3. The exact similarity of each window within the radius decides. Each (document, item) is reported once, with its best and then first
+   window.
 
-No fingerprint stands between the two: the SimHash of a bag follows its most frequent shingles, so a window at the threshold that
-lacks or replaces a repeated shingle can be at any distance, and no radius keeps all leaks.
+At the threshold a bit differs with a chance of about 0.19, so a distance over RADIUS is 6 standard deviations off (of the order of one
+window in 10^8). A radius this wide selects little by itself; step 1 does that, and blocks are compared for its windows only.
 
 Null texts, texts without words and items without words have no leaks. A null id is never reported. Rows that repeat an id are
 reported once. Ties between windows go to the earliest. Extra columns aren't read. Work for an item that many documents hold is
@@ -27,7 +31,41 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SHINGLE, LEAST = 5, 75
+#: Bits of a fingerprint, and how many of them may differ.
+BITS, RADIUS = 63, 30
+
+
+def fingerprints(bags: DataFrame, key: str, s: str, n: str) -> DataFrame:
+    """(key, fp) of bags (key, shingle hash, its count): bit i is set where most of the bag's pairs vote for it.
+
+    Counts of bits i and i + 32 share a long, so there are 32 sums; a bag may have 2^31 pairs.
+    """
+    votes = bags.select(key, F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col(n)), lambda j: F.xxhash64(F.col(s), j))).alias("v"))
+    sums = votes.groupBy(key).agg(F.count("*").alias("pairs"), *(F.sum(F.shiftrightunsigned("v", j).bitwiseAND(F.lit((1 << 32) | 1))).alias(f"c{j}") for j in range(32)))
+    ones = lambda i: F.shiftrightunsigned(f"c{i % 32}", 32 * (i // 32)).bitwiseAND(F.lit((1 << 32) - 1))
+    bits = [F.when(2 * ones(i) > F.col("pairs"), F.lit(1 << i)).otherwise(F.lit(0).cast("long")) for i in range(BITS)]
+    return sums.select(key, reduce(lambda x, y: x.bitwiseOR(y), bits).alias("fp"))
+
+
+def blocks(fp: str) -> Column:
+    """(number, value) of the RADIUS + 1 blocks of a fingerprint."""
+    edges = [BITS * b // (RADIUS + 1) for b in range(RADIUS + 2)]
+    return F.array(*(F.struct(F.lit(b).alias("b"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("v")) for b, (lo, hi) in enumerate(zip(edges, edges[1:]))))
+
+
+def within_radius(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item, which): the windows' contents whose fingerprint is within RADIUS of their item's. A content is fingerprinted once, however many
+    documents have it. windows are (item, which, win), counts (item, s, ni)."""
+    contents = windows.select("which", "win").dropDuplicates(["which"])
+    bags = contents.select("which", F.explode("win").alias("s")).groupBy("which", "s").agg(F.count("*").alias("n"))
+    pairs = windows.select("item", "which").distinct().join(fingerprints(bags, "which", "s", "n"), "which")
+    own = fingerprints(counts, "item", "s", "ni").withColumnRenamed("fp", "item_fp")
+    mine = pairs.select("item", "which", "fp", F.inline(blocks("fp")))
+    met = mine.join(own.select("item", "item_fp", F.inline(blocks("item_fp"))), ["item", "b", "v"])
+    return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("item", "which").distinct()
 
 
 def words(text: str = "text") -> Column:
@@ -78,11 +116,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFram
         split = base.join(of, "doc_id").select("doc_id", "cands", words().alias("ws")).select("doc_id", "cands", hashed("ws", k).alias("h"))
         one = split.select("doc_id", "h", F.explode_outer("cands").alias("c")).filter(F.col("c.size") == F.size("h"))
         parts.append(one.select("doc_id", F.col("c.item").alias("item"), F.col("c.m").alias("m"), F.col("c.k").alias("k"), F.col("c.start").alias("start"), F.slice("h", F.col("c.start") + 1, F.col("c.m")).alias("win")))
-    windows = reduce(DataFrame.unionByName, parts).distinct()
+    # Written, as fingerprints and similarities both read them, and texts are to be read no more.
+    windows = written(reduce(DataFrame.unionByName, parts).distinct().withColumn("which", F.xxhash64("win")))
 
     counts = items.select("item", F.explode("h").alias("s")).groupBy("item", "s").agg(F.count("*").alias("ni"))
     size = F.size("win").alias("n")
-    mine = windows.select("doc_id", "item", "m", "k", "start", size, F.xxhash64("win").alias("which"), F.explode("win").alias("s"))
+    near = windows.join(within_radius(windows, counts), ["item", "which"], "left_semi")
+    mine = near.select("doc_id", "item", "m", "k", "start", size, "which", F.explode("win").alias("s"))
     mine = mine.groupBy("doc_id", "item", "m", "k", "start", "n", "which", "s").agg(F.count("*").alias("nd")).join(counts, ["item", "s"])
     scored = mine.groupBy("doc_id", "item", "m", "k", "start", "n", "which").agg(F.sum(F.least("nd", "ni")).alias("o"))
     scored = scored.filter((100 + least) * F.col("o") >= least * (F.col("m") + F.col("n"))).withColumn("similarity", F.col("o") / (F.col("m") + F.col("n") - F.col("o")))

@@ -89,6 +89,37 @@ def test_decontamination_of_repeated_shingles(spark):
     assert set(want) == {(1, 1), (2, 1), (3, 1), (4, 2)} and got == pytest.approx(want)
 
 
+def test_fingerprints_at_the_threshold(spark):
+    """Windows that replace or lack as much as the threshold allows are within the radius, whatever is repeated; equal bags have equal bits."""
+    rng = random.Random(17)
+    bags = []
+    for i in range(400):
+        m = rng.choice([4, 5, 7, 12, 28, 100, 200])
+        item = ["x"] * (m // 7) + [f"i{i}w{j}" for j in range(m - m // 7)]
+        out = m - math.ceil(150 * m / 175)
+        bags += [(4 * i, Counter(item)), (4 * i + 1, Counter([f"n{i}w{j}" for j in range(out)] + item[out:])), (4 * i + 2, Counter(item[: math.ceil(0.75 * m)])), (4 * i + 3, Counter(reversed(item)))]
+    rows = [(k, zlib.crc32(s.encode()), n) for k, b in bags for s, n in b.items()]
+    got = {r.k: r.fp for r in decontamination.fingerprints(spark.createDataFrame(rows, "k long, s long, n long"), "k", "s", "n").collect()}
+    far = [(got[4 * i] ^ got[4 * i + j]).bit_count() for i in range(400) for j in (1, 2)]
+    assert max(far) <= decontamination.RADIUS and 8 < sum(far) / len(far) < 15
+    assert all(got[4 * i] == got[4 * i + 3] and 0 <= got[4 * i] < 1 << decontamination.BITS for i in range(400))
+    strange = [(got[4 * i] ^ got[4 * i + 4]).bit_count() for i in range(0, 300)]
+    assert 25 < sum(strange) / len(strange) < 38
+
+
+def test_blocks_find_all_within_the_radius(spark):
+    rng = random.Random(18)
+    pairs = []
+    for i in range(500):
+        a = rng.getrandbits(decontamination.BITS)
+        b = a
+        for bit in rng.sample(range(decontamination.BITS), decontamination.RADIUS):
+            b ^= 1 << bit
+        pairs.append((i, a, b))
+    df = spark.createDataFrame(pairs, "i int, a long, b long").select("i", F.arrays_overlap(decontamination.blocks("a"), decontamination.blocks("b")).alias("met"), F.size(decontamination.blocks("a")).alias("n"))
+    assert {(r.met, r.n) for r in df.collect()} == {(True, decontamination.RADIUS + 1)}
+
+
 # --- 2 substrings
 
 def cut_by_hand(rows):
