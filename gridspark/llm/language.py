@@ -5,9 +5,9 @@ each permuted by the letter's place; a document's vector bundles (adds) the vect
 bundles those of its training documents. The prediction is the prototype with the largest cosine, ties going to the
 alphabetically first language.
 
-Letters are lower-cased; each code point up to U+024F has a letter of its own while there are SYMBOLS to give, others share
-symbols by code point modulo; everything that isn't a letter is one space, and runs of spaces count once. So the number of
-different trigrams is fixed, counting is exact, and the work for a document is linear in its length.
+Letters are lower-cased, and each code point has a letter vector of its own, drawn by a hash of it, whatever the script; everything that isn't
+a letter is one space, and runs of spaces count once. Trigrams are counted sparsely and exactly, and the work for a document is linear in
+its length. At most LABELS labels are learned, those with the most rows, then the alphabetically first; rows of others aren't trained on.
 
 Null texts and texts without a letter get `und` and score 0. With no labelled document at all every text is `und`.
 Repeated rows each count in training. Columns other than the key, the text and the label are not read.
@@ -15,6 +15,7 @@ Repeated rows each count in training. Columns other than the key, the text and t
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import numpy as np
@@ -26,27 +27,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import slices, trim
 
+#: Components of a vector: the bits of a SHA-512.
 DIMENSIONS = 512
-SYMBOLS = 96
 SEED = 7
-#: Trigram vectors that a task keeps; beyond that it starts anew (bounds memory, not results).
-KEPT_VECTORS = 10_000
+#: Labels that are learned at most.
+LABELS = 256
+#: Trigram and letter vectors that a task keeps, trigrams that are bound at once, and trigram counts that a task holds before it bundles
+#: them (these bound memory, not results).
+KEPT_VECTORS, KEPT_LETTERS, BOUND, HELD_COUNTS = 10_000, 4096, 1024, 200_000
+#: Bits of a code point in a trigram's code.
+POINT = 21
 
 
 def _letter_table() -> np.ndarray:
-    """Symbol of each code point; 0 is the space."""
-    out = np.zeros(0x110000, np.uint8)
-    own = 1
+    """The lower-cased letter of each code point; 0, the space, for what isn't one."""
+    out = np.zeros(0x110000, np.int64)
     for c in range(0x110000):
         if unicodedata.category(chr(c))[0] == "L":
-            low = ord(chr(c).lower()[0])
-            if low < 0x250 and own < SYMBOLS - 16:
-                if not out[low]:
-                    out[low] = own
-                    own += 1
-                out[c] = out[low]
-            else:
-                out[c] = SYMBOLS - 16 + low % 16
+            out[c] = ord(chr(c).lower()[0])
     return out
 
 
@@ -59,82 +57,115 @@ def letters() -> np.ndarray:
     return _TABLE[0]
 
 
-def letter_vectors() -> np.ndarray:
-    """[place, symbol, component]: the place's permutation is a rotation of the components."""
-    base = np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (SYMBOLS, DIMENSIONS))
-    return np.stack([np.roll(base, place, axis=1) for place in range(3)])
+def letter_vector(point: int) -> np.ndarray:
+    """+-1 by the bits of a hash of the code point."""
+    bits = np.unpackbits(np.frombuffer(hashlib.sha512(f"{SEED}:{point}".encode()).digest(), np.uint8))
+    return bits.astype(np.float32) * 2 - 1
 
 
 def trigrams(text: str) -> np.ndarray:
     """Codes of all trigrams of a text, with a space at either end."""
     sym = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    sym = np.concatenate([np.zeros(1, np.uint8), sym, np.zeros(1, np.uint8)])
-    sym = sym[np.concatenate([[True], (sym[1:] != 0) | (sym[:-1] != 0)])].astype(np.int32)
+    sym = np.concatenate([[0], sym, [0]])
+    sym = sym[np.concatenate([[True], (sym[1:] != 0) | (sym[:-1] != 0)])]
     if len(sym) < 3:
-        return np.zeros(0, np.int32)
-    return (sym[:-2] * SYMBOLS + sym[1:-1]) * SYMBOLS + sym[2:]
+        return np.zeros(0, np.int64)
+    return sym[:-2] << 2 * POINT | sym[1:-1] << POINT | sym[2:]
 
 
 class Vectors:
     """Vectors of trigrams, bound on first use."""
 
     def __init__(self):
-        self.letters = letter_vectors()
-        self.row = np.full(SYMBOLS**3, -1, np.int32)
-        self.held = np.zeros((0, DIMENSIONS), np.float32)
+        self.letter: dict[int, int] = {}
+        self.letters = np.zeros((3, 0, DIMENSIONS), np.float32)  # by place: its permutation is a rotation of the components
+        self.row: dict[int, int] = {}
+        self.held = np.zeros((256, DIMENSIONS), np.float32)  # with room for more
+
+    def _letters(self, points: list[int]) -> np.ndarray:
+        """Rows of the letters in `letters`."""
+        new = [p for p in points if p not in self.letter]
+        if new:
+            if len(self.letter) + len(new) > KEPT_LETTERS:
+                self.letter, self.letters, new = {}, self.letters[:, :0], points
+            base = np.stack([letter_vector(p) for p in new])
+            self.letter |= {p: len(self.letter) + i for i, p in enumerate(new)}
+            self.letters = np.concatenate([self.letters, np.stack([np.roll(base, place, axis=1) for place in range(3)])], axis=1)
+        return np.array([self.letter[p] for p in points], np.int64)
 
     def bind(self, codes: np.ndarray) -> np.ndarray:
-        a, b, c = codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
+        """The vectors of at most BOUND codes."""
+        parts = np.stack([codes >> 2 * POINT, codes >> POINT & (1 << POINT) - 1, codes & (1 << POINT) - 1])
+        points, at = np.unique(parts, return_inverse=True)
+        a, b, c = self._letters(points.tolist())[at.reshape(parts.shape)]
         return self.letters[0][a] * self.letters[1][b] * self.letters[2][c]
 
     def of(self, codes: np.ndarray) -> np.ndarray:
-        """Vectors of codes without repeats."""
-        new = codes[self.row[codes] < 0]
-        if len(new):
-            if len(self.held) + len(new) > KEPT_VECTORS:
-                self.row[:] = -1
-                self.held = np.zeros((0, DIMENSIONS), np.float32)
-                if len(codes) > KEPT_VECTORS:
-                    return self.bind(codes)
-                new = codes
-            self.row[new] = np.arange(len(self.held), len(self.held) + len(new))
-            self.held = np.concatenate([self.held, self.bind(new)])
-        return self.held[self.row[codes]]
+        """Vectors of at most BOUND codes without repeats, kept for the next document."""
+        rows = [self.row.get(c, -1) for c in codes.tolist()]
+        if -1 in rows:
+            new = codes[np.array(rows) < 0]
+            if len(self.row) + len(new) > KEPT_VECTORS:
+                self.row, new = {}, codes
+            first, end = len(self.row), len(self.row) + len(new)
+            while end > len(self.held):
+                self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+            self.held[first:end] = self.bind(new)
+            self.row |= {c: first + i for i, c in enumerate(new.tolist())}
+            rows = [self.row[c] for c in codes.tolist()]
+        return self.held[rows]
+
+    def bundle(self, codes: np.ndarray, n: np.ndarray, keep: bool = True) -> np.ndarray:
+        """The sum of the codes' vectors, n times each, exactly: in single precision as long as its whole numbers suffice."""
+        total = np.zeros(DIMENSIONS)
+        for at in range(0, len(codes), BOUND):
+            times, vectors = n[at : at + BOUND], (self.of if keep else self.bind)(codes[at : at + BOUND])
+            total += times.astype(np.float32) @ vectors if times.sum() < 1 << 24 else times.astype(np.float64) @ vectors.astype(np.float64)
+        return total
 
     def document(self, text: str) -> np.ndarray | None:
         """The bundled vector; None without letters."""
         codes = trigrams(text)
-        if not len(codes):
-            return None
-        uniq, n = np.unique(codes, return_counts=True)
-        return n.astype(np.float32) @ self.of(uniq)
+        return self.bundle(*np.unique(codes, return_counts=True)) if len(codes) else None
 
 
 def train(df: DataFrame, text: str = "text", label: str = "lang") -> dict[str, np.ndarray]:
-    """Prototype of each label, from every row with a text and a label.
+    """Prototype of each learned label, from every row with a text and such a label.
 
     Trigram counts are summed per task, bound and bundled there, and then added up by Spark per (label, component); the driver
-    gets DIMENSIONS numbers per label.
+    gets DIMENSIONS numbers for each of at most LABELS labels. Sums are whole numbers, so their order doesn't matter.
     """
+    counted = df.select(F.col(label).alias("l")).filter("l IS NOT NULL").groupBy("l").agg(F.count("*").alias("n"))
+    learned = frozenset(r.l for r in counted.orderBy(F.desc("n"), "l").limit(LABELS).collect())
     src = df.select(text, label).filter(F.col(text).isNotNull() & F.col(label).isNotNull())
 
     def bundle(batches):
-        sums: dict[str, np.ndarray] = {}
+        counts: dict[str, dict[int, int]] = {}
+        totals: dict[str, np.ndarray] = {}
+        vectors, held = Vectors(), 0
+
+        def add() -> None:
+            for lang, c in counts.items():
+                codes = np.fromiter(c.keys(), np.int64, len(c))
+                totals[lang] = totals.get(lang, 0) + vectors.bundle(codes, np.fromiter(c.values(), np.int64, len(c)), keep=False)
+            counts.clear()
+
         for part in slices(batches):
             for value, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if lang not in sums:
-                    sums[lang] = np.zeros(SYMBOLS**3, np.int64)
-                codes, n = np.unique(trigrams(value), return_counts=True)
-                sums[lang][codes] += n
-        vectors = Vectors()
-        for lang, counts in sums.items():
-            total = np.zeros(DIMENSIONS)
-            codes = np.flatnonzero(counts)
-            for at in range(0, len(codes), 4096):
-                c = codes[at : at + 4096]
-                total += counts[c].astype(np.float64) @ vectors.bind(c).astype(np.float64)
+                if lang not in learned:
+                    continue
+                own = counts.setdefault(lang, {})
+                before = len(own)
+                for code, n in zip(*(x.tolist() for x in np.unique(trigrams(value), return_counts=True))):
+                    own[code] = own.get(code, 0) + n
+                held += len(own) - before
+                if held > HELD_COUNTS:
+                    add()
+                    held = 0
+        add()
+        for lang, total in totals.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang], "v": [total.tolist()]}, schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))]))
-        sums.clear()
+        vectors = None
         trim()
 
     sums = src.mapInArrow(bundle, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))

@@ -378,17 +378,56 @@ def test_language_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
 
 
-def test_language_vectors_by_hand(spark):
-    v = language.Vectors()
-    codes = language.trigrams("Ab, cd")
-    by_hand = sum(v.letters[0][c // language.SYMBOLS**2] * v.letters[1][c // language.SYMBOLS % language.SYMBOLS] * v.letters[2][c % language.SYMBOLS] for c in codes)
-    assert np.allclose(v.document("Ab, cd"), by_hand) and len(codes) == 5
+def profile_by_hand(text):
+    """Bound, permuted and bundled, letter by letter."""
+    import unicodedata
+
+    folded = "".join(c.lower()[0] if unicodedata.category(c)[0] == "L" else " " for c in text)
+    padded = re.sub(" +", " ", f" {folded} ")
+    vec = lambda c, place: np.roll(np.array([1 if b == "1" else -1 for byte in hashlib.sha512(f"7:{0 if c == ' ' else ord(c)}".encode()).digest() for b in f"{byte:08b}"]), place)
+    return sum((vec(a, 0) * vec(b, 1) * vec(c, 2) for a, b, c in zip(padded, padded[1:], padded[2:])), np.zeros(512, np.int64))
+
+
+def test_language_vectors_by_hand(spark, monkeypatch):
+    texts = ["Ab, cd", "ÄÖ über", "Привет мир", "γειά σου κόσμε", "日本語のテキスト", "x", "straße İstanbul"]
+    for _ in range(2):
+        v = language.Vectors()
+        for t in texts * 2:
+            assert np.array_equal(v.document(t), profile_by_hand(t)), t
+        assert v.document(" .,1") is None and len(language.trigrams("Ab, cd")) == 5
+        monkeypatch.setattr(language, "KEPT_VECTORS", 8)  # a small memory changes nothing
+        monkeypatch.setattr(language, "KEPT_LETTERS", 6)
+        monkeypatch.setattr(language, "BOUND", 3)
     df = docs_of(spark, ODD).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.identify(df).collect()} == {"und"}
     out = language.predict(docs_of(spark, ODD), {"xx": v.document("aaa")})
     assert out.count() == len(ODD) and {r.doc_id: r.lang_pred for r in out.collect()}[901] == "und" and "shard" in out.columns
 
 
+def test_language_prototypes_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(language, "HELD_COUNTS", 40)
+    rng = random.Random(3)
+    alphabets = {"ru": "абвгдежз", "el": "αβγδεζηθ", "en": "abcdefgh", "ru2": "ийклмноп"}
+    rows = [(i, "".join(rng.choices(alphabets[lang] + " ", k=rng.randint(1, 60))), lang) for i, lang in enumerate(rng.choices(list(alphabets), k=160))]
+    rows += [(1000, None, "en"), (1001, "abc", None), (1002, "", "en"), (5, rows[5][1], rows[5][2]), (5, rows[5][1], rows[5][2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = language.train(df)
+    want = {lang: sum((profile_by_hand(t) for _, t, x in rows if x == lang and t), np.zeros(512)) for lang in alphabets}
+    assert list(got) == sorted(want) and all(np.array_equal(got[k], v) for k, v in want.items())
+    unit = {k: v / np.linalg.norm(v) for k, v in sorted(want.items())}
+    for r in language.predict(df, got).collect():
+        p = profile_by_hand(r.text or "")
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cos = {k: float(v @ p / np.linalg.norm(p)) for k, v in unit.items()}
+        assert cos[r.lang_pred] == pytest.approx(max(cos.values())) and r.score == pytest.approx(min(1, max(0, cos[r.lang_pred])))
+    monkeypatch.setattr(language, "LABELS", 2)
+    most = sorted(alphabets, key=lambda k: (-sum(x == k for *_, x in rows), k))[:2]
+    assert sorted(language.train(df)) == sorted(most)
+    assert language.train(df.limit(0)) == {} and language.identify(df.limit(0)).count() == 0
+
+
 # --- 7 token counts
 
 def best_by_hand(word, scores):
