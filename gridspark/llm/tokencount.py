@@ -2,11 +2,12 @@
 
 A text is cut at white space; a pre-token is a word-start mark and the word. A pre-token's segmentation is the one with the
 largest sum of log scores (then the fewest tokens); a character in no piece costs as many tokens as it has UTF-8 bytes.
-Distinct pre-tokens go into a trie; the forward pass keeps at each node the best score of its prefix and the number of tokens
-in it, so a prefix that many words share is scored once, and the count of a word is what its last node stores. The trie is
-walked in sorted order, so only the path to the present word is in memory.
+The distinct pre-tokens of a task go into a trie; each node keeps the best score of its prefix and the number of tokens in it, worked out once
+from the nodes above when the node is made, so a prefix that any words of the task share is scored once. The count of a word is what its
+last node stores. A trie of NODES nodes is dropped and begun anew, which bounds memory and changes no result.
 
-The vocabulary is a published piece list, in rank order; nothing is trained. Scores follow Zipf's law over the rank.
+The vocabulary is a published piece list, in rank order; nothing is trained. Its pieces carry no unigram probabilities, so scores follow
+Zipf's law over the rank: counts are those of this stated model, not of a published unigram tokenizer.
 Null and blank texts have 0 pre-tokens and 0 tokens. Repeated rows and ties in the key have no influence.
 """
 
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_slices
 
-#: Distinct pre-tokens whose counts a task remembers; beyond that it starts anew (bounds memory, not results).
-CACHE_WORDS = 400_000
+#: Nodes of a task's trie, and distinct pre-tokens whose counts it remembers.
+NODES, CACHE_WORDS = 1_000_000, 400_000
 #: Fixed value: the word-start mark of the piece list.
 MARK = "▁"
 #: Log score of one byte of a character that no piece covers.
@@ -69,36 +70,45 @@ def zipf_scores(pieces: list[str]) -> dict[str, float]:
 
 
 class Trie:
-    """Counts for batches of distinct pre-tokens."""
+    """Words by their characters; a node has the best score of its prefix and the number of tokens in it."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
-
-    def count(self, words) -> dict[str, int]:
-        out, scores, longest = {}, self.scores, self.longest
-        path, best, used = "", [0.0], [0]
-        for word in sorted(words):
-            same = 0
-            for a, b in zip(path, word):
-                if a != b:
-                    break
-                same += 1
-            del best[same + 1 :], used[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                raw = len(word[end - 1].encode("utf-8", "surrogatepass"))
-                top, n = best[end - 1] + BYTE_SCORE * raw, used[end - 1] + raw
+        self.made = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[int, int] = {}  # node and character to node
+        self.best, self.used = [0.0], [0]
+
+    def add(self, word: str) -> int:
+        """The number of tokens of a word, which joins the trie."""
+        if len(self.best) > NODES:
+            self.clear()
+        child, best, used, scores, longest = self.child, self.best, self.used, self.scores, self.longest
+        node, path = 0, [0]
+        for end, char in enumerate(word, 1):
+            step = node << 21 | ord(char)
+            node = child.get(step, 0)
+            if not node:
+                raw = len(char.encode("utf-8", "surrogatepass"))
+                top, n = best[path[-1]] + BYTE_SCORE * raw, used[path[-1]] + raw
                 for start in range(max(0, end - longest), end):
                     s = scores.get(word[start:end])
                     if s is not None:
-                        total, k = best[start] + s, used[start] + 1
+                        total, k = best[path[start]] + s, used[path[start]] + 1
                         if total > top or total == top and k < n:
                             top, n = total, k
+                node = child[step] = len(best)
                 best.append(top)
                 used.append(n)
-            path = word
-            out[word] = used[-1]
-        return out
+                self.made += 1
+            path.append(node)
+        return used[node]
+
+    def count(self, words) -> dict[str, int]:
+        return {w: self.add(w) for w in words}
 
 
 def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
