@@ -109,15 +109,18 @@ class Matcher:
         held = Counter(t for _, c in lines for t in c)
         self.idf = {t: math.log((1 + files + PRIOR) / (1 + df.get(t, 0) + PRIOR * n / len(lines))) + 1 for t, n in held.items()}
         self.unseen = math.log(1 + files + PRIOR) + 1
-        self.templates = []
+        self.templates: dict[str, list[dict[str, float]]] = {}
         for name, c in lines:
             vector = {t: n * self.idf[t] for t, n in c.items()}
             norm = math.sqrt(sum(w * w for w in vector.values()))
-            self.templates.append((name, {t: w / norm for t, w in vector.items()}))
+            self.templates.setdefault(name, []).append({t: w / norm for t, w in vector.items()})
         # A licence's rarest group of deciding terms stands for it: a line without one of these can't be its.
-        anchors = {t for x in licences.values() for t in max(x.needs, key=lambda g: min(self.idf.get(t, 0.0) for t in g))}
+        self.anchored: dict[str, list[str]] = {}
+        for name, x in sorted(licences.items()):
+            for t in max(x.needs, key=lambda g: min(self.idf.get(t, 0.0) for t in g)):
+                self.anchored.setdefault(t, []).append(name)
         # Words stand between other signs; numbers may touch letters, as terms are cut there.
-        words = [rf"(?<![A-Za-z]){t}(?![A-Za-z])" if t.isalpha() else re.escape(t) for t in sorted(anchors, key=lambda t: (-len(t), t))]
+        words = [rf"(?<![A-Za-z]){t}(?![A-Za-z])" if t.isalpha() else re.escape(t) for t in sorted(self.anchored, key=lambda t: (-len(t), t))]
         self.anchor = re.compile("|".join(words), re.I | re.A)
 
     def fits(self, name: str, got: Counter) -> bool:
@@ -125,15 +128,17 @@ class Matcher:
         return all(any(t in got for t in group) for group in x.needs) and not any(t in got for t in x.bars)
 
     def best(self, line: str) -> tuple[str | None, float]:
-        """The licence of a text and its cosine; (None, the largest cosine) where none is sure."""
+        """The licence of a text and its cosine; (None, the largest cosine) where none is sure. Only licences that fit are compared."""
         counted = terms(line)
+        fitting = {name for t in counted if t in self.anchored for name in self.anchored[t] if self.fits(name, counted)}
+        if not fitting:
+            return None, 0.0
         got = {t: n * self.idf.get(t, self.unseen) for t, n in counted.items()}
         norm = math.sqrt(sum(w * w for w in got.values()))
         top: dict[str, float] = {}
-        for licence, vector in self.templates if norm else ():
-            cos = round(min(sum(w * got[t] for t, w in vector.items() if t in got) / norm, 1.0), DIGITS)  # equal texts, equal cosines
-            if cos > top.get(licence, 0.0) and self.fits(licence, counted):
-                top[licence] = cos
+        for licence in fitting:
+            cos = max(sum(w * got[t] for t, w in vector.items() if t in got) for vector in self.templates[licence]) / norm
+            top[licence] = round(min(cos, 1.0), DIGITS)  # equal texts, equal cosines
         ranked = sorted(top.items(), key=lambda x: (-x[1], x[0]))
         if not ranked or ranked[0][1] < self.least or len(ranked) > 1 and ranked[1][1] > ranked[0][1] - MARGIN:
             return None, ranked[0][1] if ranked else 0.0
