@@ -127,13 +127,29 @@ def weather_features(rows: DataFrame, weather: DataFrame, reach: int, key: str =
 
 
 def meter_features(rows: DataFrame, meters: DataFrame, reach: int) -> DataFrame:
-    """Seven measures of meter readings; the change is last minus first by time, then id; coverage expects two readings a meter."""
-    order = F.struct("ts_min", "event_id")
-    n, m = F.count("*"), F.count_distinct("meter_id")
+    """Seven measures of meter readings; the change is last minus first by time, then id; coverage expects two readings a meter.
+
+    Readings are added up by entity and minute before they meet observations. A meter counts by its latest reading, which is seen until its
+    next one, so the number of meters is a sum that a sweep gives, and no reading is repeated for each observation that sees it.
+    """
+    c = F.col
+    energy, nth = c("active_energy_kwh"), c("event_id")
+    # Readings without an id come first in their minute.
+    first = F.when(F.count(nth) < F.count("*"), F.min(F.when(nth.isNull(), energy))).otherwise(F.min_by(energy, nth))
+    last = F.when(F.count(nth) == 0, F.max(energy)).otherwise(F.max_by(energy, nth))
+    minutes = meters.groupBy("entity_id", "ts_min").agg(
+        F.count("*").alias("_n"), F.sum(energy).alias("_sum"), first.alias("_first"), last.alias("_last"), _n(c("quality_code") == "ESTIMATED").alias("_estimated"), _n((c("voltage_v") < 216) | (c("voltage_v") > 253)).alias("_voltage"))
+    n = F.sum("_n")
     aggs = {
-        "aggregate_energy_kwh": F.sum("active_energy_kwh"), "energy_change_rate": F.max_by("active_energy_kwh", order) - F.min_by("active_energy_kwh", order), "meter_count": m.cast("double"),
-        "meter_coverage_ratio": F.least(F.lit(1.0), n / F.greatest(F.lit(1), m * 2)), "estimated_reading_share": share(_n(F.col("quality_code") == "ESTIMATED"), n), "missing_reading_share": F.lit(0.0) * n, "voltage_quality_issue_count": _n((F.col("voltage_v") < 216) | (F.col("voltage_v") > 253))}
-    return looked_back(rows, meters, reach, [v.alias(k) for k, v in aggs.items()], defaults=dict.fromkeys(aggs, 0.0) | {"missing_reading_share": 1.0})
+        "_readings": n.cast("double"), "aggregate_energy_kwh": F.sum("_sum"), "energy_change_rate": F.max_by("_last", "ts_min") - F.min_by("_first", "ts_min"),
+        "estimated_reading_share": share(F.sum("_estimated"), n), "missing_reading_share": F.lit(0.0) * n, "voltage_quality_issue_count": F.sum("_voltage")}
+    told = looked_back(rows, minutes, reach, [v.alias(k) for k, v in aggs.items()], defaults=dict.fromkeys(aggs, 0.0) | {"missing_reading_share": 1.0})
+    known = meters.select("entity_id", "meter_id", "ts_min").filter("meter_id IS NOT NULL AND ts_min IS NOT NULL")
+    known = known.withColumn("_next", F.lead("ts_min").over(Window.partitionBy("entity_id", "meter_id").orderBy("ts_min")))
+    told = swept(told, known, c("ts_min"), F.least(c("ts_min") + reach + 1, c("_next")), {"meter_count": F.lit(1)}, {}, reach).fillna({"meter_count": 0.0})
+    cover = F.when(c("_readings") > 0, F.least(F.lit(1.0), c("_readings") / F.greatest(F.lit(1.0), c("meter_count") * 2))).otherwise(0.0)
+    return told.withColumn("meter_coverage_ratio", cover).select(
+        *rows.columns, "aggregate_energy_kwh", "energy_change_rate", "meter_count", "meter_coverage_ratio", "estimated_reading_share", "missing_reading_share", "voltage_quality_issue_count")
 
 
 def maintenance_features(rows: DataFrame, bridge: DataFrame, logs: DataFrame, reach: int) -> DataFrame:
