@@ -61,3 +61,17 @@ def test_few_documents(spark):
     got = retrieval.search(retrieval.postings(d, "doc", "t"), 2, q, "doc", "query", "t", 5)
     assert sorted((r["query"], r.doc, r.score, r["rank"]) for r in got.collect()) == sorted(by_hand(docs, queries, 5))
     assert retrieval.search(retrieval.postings(d.limit(0), "doc", "t"), 0, q, "doc", "query", "t", 5).count() == 0
+
+
+def test_only_pairs_near_the_best_are_completed(spark):
+    """Bounds come from whole sums: of documents that share common words with a query, few are left."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(30)]
+    docs = [(i, " ".join([*rng.choices(common, k=20), f"r{i % 40}"])) for i in range(600)] + [(1000 + i, " ".join([*common, f"r{i % 40}"])) for i in range(200)]
+    queries = [(q, " ".join([*common, f"r{q}"])) for q in range(10)]
+    d, q = spark.createDataFrame(docs, "doc long, t string"), spark.createDataFrame(queries, "query long, t string")
+    mine = retrieval.postings(d, "doc", "t")
+    terms = retrieval._terms(mine, retrieval.postings(q, "query", "t"), len(docs), "query")
+    assert retrieval.candidates(mine, terms, "doc", "query", 5)[0].count() < 200
+    got = retrieval.search(mine, len(docs), q, "doc", "query", "t", 5)
+    assert sorted((r["query"], r.doc, r.score, r["rank"]) for r in got.collect()) == sorted(by_hand(docs, queries, 5))
