@@ -1,7 +1,7 @@
 """Documents of several formats as sections of text: nested objects flattened to `path=value` lines, Markdown cut at its headings.
 
-Flattening walks VARIANT values level by level: each round explodes the objects that are left, and what isn't an object is a line. A
-round costs in proportion to what is still nested; there are as many rounds as the deepest document has levels.
+Flattening walks VARIANT values level by level within a document's row: each round puts the fields of the objects that are left in their
+place, and what isn't an object is a line. There are as many rounds as the deepest document has levels; nothing is shuffled or written.
 """
 
 from __future__ import annotations
@@ -27,45 +27,49 @@ METRIC_WORDS = ("saifi", "saidi", "caidi", "asai", "wape", "mae", "bias")
 REASON = r"\b[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)+\b"
 
 
-def _kind(v: str) -> Column:
-    return F.schema_of_variant(v)
+def _fields(v: Column) -> Column:
+    """An object's values by name; null for what is none."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _text(v: str) -> Column:
+def _text(v: Column) -> Column:
     """A leaf as a line shows it: null, True and False in words, lists as JSON of their first items, numbers and texts as they are."""
-    items = F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, LIST_ITEMS)
-    plain = F.try_variant_get(v, "$", "string")
-    return (F.when(F.col(v).isNull() | F.is_variant_null(v), "null").when(_kind(v).startswith("ARRAY"), F.to_json(items))
-            .when(_kind(v) == "BOOLEAN", F.initcap(plain)).otherwise(plain))
+    items, plain = F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$", "string")
+    said = F.when(plain.isin("true", "false") & (F.schema_of_variant(v) == "BOOLEAN"), F.initcap(plain)).otherwise(plain)
+    return F.when(v.isNull() | F.is_variant_null(v), "null").otherwise(F.coalesce(F.to_json(F.slice(items, 1, LIST_ITEMS)), said))
+
+
+def _entry(path: Column, v: Column) -> Column:
+    return F.struct(path.alias("path"), v.alias("v"))
+
+
+def _entries(docs: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """(keys, _e): per document, an array of the paths and values of everything that isn't an object."""
+    rows = docs.select(*keys, F.try_parse_json(payload).alias("_v")).filter("_v IS NOT NULL")
+    below = lambda path, v: F.transform(F.map_entries(_fields(v)), lambda f: _entry(F.array_append(path, f.key), f.value))
+    alone = F.array(_entry(F.array(F.lit("value")), F.col("_v")))
+    rows = rows.select(*keys, F.coalesce(below(F.array().cast("array<string>"), F.col("_v")), alone).alias("_e"))
+    while not rows.filter(F.exists("_e", lambda x: _fields(x.v).isNotNull())).isEmpty():
+        rows = rows.select(*keys, F.flatten(F.transform("_e", lambda x: F.coalesce(below(x.path, x.v), F.array(_entry(x.path, x.v))))).alias("_e"))
+    return rows
+
+
+def _told(x: Column) -> Column:
+    return F.struct(x.path.alias("path"), _text(x.v).alias("value"))
 
 
 def leaves(docs: DataFrame, keys: list[str], payload: str) -> DataFrame:
     """(keys, path, value): everything in a JSON text that isn't an object; path is an array of field names.
 
-    A text that is no JSON has no lines, one that is no object stands under the name `value`, and empty objects have no lines. `keys` have to
-    tell documents apart.
+    A text that is no JSON has no lines, one that is no object stands under the name `value`, and empty objects have no lines.
     """
-    rows = docs.select(*keys, F.array().cast("array<string>").alias("path"), F.try_parse_json(payload).alias("v")).filter("v IS NOT NULL")
-    is_object = F.coalesce(_kind("v").startswith("OBJECT"), F.lit(False))
-    line = lambda df: df.select(*keys, "path", _text("v").alias("value"))
-    out = [line(rows.filter(~is_object).withColumn("path", F.array(F.lit("value"))))]
-    left = rows.filter(is_object)
-    while True:
-        held = ", ".join(f"r.`{k}`" for k in keys)
-        # VARIANTs aren't columns of a table here, so a level is written as JSON texts.
-        explode = f"SELECT {held}, array_append(r.path, f.key) AS path, to_json(f.value) AS j, is_variant_null(f.value) OR f.value IS NULL AS nothing"
-        level = left.sparkSession.sql(explode + " FROM {rows} r, LATERAL variant_explode(r.v) f", rows=left)
-        level = written(level).withColumn("v", F.try_parse_json(F.when(F.col("nothing"), "null").otherwise(F.col("j"))))
-        out.append(line(level.filter(~is_object)))
-        left = level.filter(is_object).select(*keys, "path", "v")
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, out)
+    return _entries(docs, keys, payload).select(*keys, F.explode(F.transform("_e", _told)).alias("_x")).select(*keys, "_x.*")
 
 
 def flattened(docs: DataFrame, keys: list[str], payload: str) -> DataFrame:
     """(keys, line_no, line): `path=value` lines of each document, ordered by path, name by name; from 1."""
-    lines = leaves(docs, keys, payload).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", "value"))).alias("_l"))  # a group is a document
-    return lines.select(*keys, F.posexplode("_l").alias("_at", "_x")).select(*keys, (F.col("_at") + 1).alias("line_no"), F.concat(F.array_join("_x.path", "."), F.lit("="), "_x.value").alias("line"))
+    lines = _entries(docs, keys, payload).select(*keys, F.posexplode(F.array_sort(F.transform("_e", _told))).alias("_at", "_x"))
+    return lines.select(*keys, (F.col("_at") + 1).alias("line_no"), F.concat(F.array_join("_x.path", "."), F.lit("="), "_x.value").alias("line"))
 
 
 def as_text(lines: DataFrame, keys: list[str]) -> DataFrame:
