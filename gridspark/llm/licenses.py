@@ -119,9 +119,22 @@ class Matcher:
         for name, x in sorted(licences.items()):
             for t in max(x.needs, key=lambda g: min(self.idf.get(t, 0.0) for t in g)):
                 self.anchored.setdefault(t, []).append(name)
-        # Words stand between other signs; numbers may touch letters, as terms are cut there.
-        words = [rf"(?<![A-Za-z]){t}(?![A-Za-z])" if t.isalpha() else re.escape(t) for t in sorted(self.anchored, key=lambda t: (-len(t), t))]
-        self.anchor = re.compile("|".join(words), re.I | re.A)
+        self.anchors = sorted((t.encode(), t.isalpha()) for t in self.anchored)
+
+    def lines(self, text: str) -> list[str]:
+        """The lines with a deciding term that stands for a licence. Words stand between other signs; numbers may touch letters, as terms
+        are cut there. Terms are searched one by one in the text's bytes, as that is many times faster than a pattern of all."""
+        raw = text.encode("utf-8", "surrogatepass")
+        low, found = raw.lower(), {}  # bytes.lower() changes ASCII letters only
+        for t, word in self.anchors:
+            at = low.find(t)
+            while at >= 0:
+                end = at + len(t)
+                if not word or not (low[at - 1 : at].isalpha() or low[end : end + 1].isalpha()):
+                    start, end = low.rfind(b"\n", 0, at) + 1, low.find(b"\n", end)
+                    found[start] = end = end if end >= 0 else len(low)
+                at = low.find(t, end)
+        return [raw[start:found[start]].decode("utf-8", "surrogatepass") for start in sorted(found)]
 
     def fits(self, name: str, got: Counter) -> bool:
         x = self.licences[name]
@@ -145,15 +158,12 @@ class Matcher:
         return ranked[0]
 
     def scan(self, text: str, whole: bool) -> tuple[str | None, float]:
-        if whole and self.anchor.search(text) and (got := self.best(text))[0]:
+        lines = self.lines(text)
+        if whole and lines and (got := self.best(text))[0]:
             return got
-        name, top, done = None, 0.0, -1
-        for m in self.anchor.finditer(text):
-            if m.start() < done:
-                continue
-            start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-            done = end if end >= 0 else len(text)
-            got = self.best(text[start:done])
+        name, top = None, 0.0
+        for line in lines:
+            got = self.best(line)
             if got[0] and (got[1] > top or got[1] == top and got[0] < (name or "~")):
                 name, top = got
         return (name, top) if name else (None, 0.0)
