@@ -6,6 +6,7 @@ times in minutes since 1970. An outage belongs to the period in which it starts.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -45,10 +46,22 @@ def by_level(rows: DataFrame, levels: dict[str, str]) -> DataFrame:
     return rows.withColumn("_p", F.explode(pairs)).select("*", "_p.level", "_p.entity_id").drop("_p")
 
 
-def population(members: DataFrame, spine: DataFrame, member: str) -> DataFrame:
-    """Distinct members per (level, entity_id); entities of the spine without members have 0."""
-    counted = members.groupBy("level", "entity_id").agg(F.count_distinct(member).alias("population"))
-    return spine.select("level", "entity_id").distinct().join(counted, ["level", "entity_id"], "left").withColumn("population", F.coalesce("population", F.lit(0).cast("long")))
+def per_level(levels: dict[str, str], of: Callable[[str], DataFrame]) -> DataFrame:
+    """(level, entity_id, ...): what `of` makes of each level's column, grouped by that column alone, below each other. Rows aren't
+    repeated per level before they are grouped, and coarse levels add up before anything is shuffled."""
+    return reduce(DataFrame.unionByName, [of(c).withColumnRenamed(c, "_entity").select(F.lit(level).alias("level"), F.col("_entity").cast("string").alias("entity_id"), "*").drop("_entity") for level, c in levels.items()])
+
+
+def clustered(outages: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """The columns, written once with the rows of one `by` next to each other (a busy one in several parts), so that all that reads them
+    shares the joins behind them, and groups of `by` add up before they are shuffled."""
+    return written(outages.select(*columns).hint("rebalance", by))
+
+
+def population(members: DataFrame, spine: DataFrame, member: str, keys: Sequence[str] = ("level", "entity_id")) -> DataFrame:
+    """Distinct members per key; entities of the spine without members have 0."""
+    counted = members.groupBy(*keys).agg(F.count_distinct(member).alias("population"))
+    return spine.select(*keys).distinct().join(counted, [*keys], "left").withColumn("population", F.coalesce("population", F.lit(0).cast("long")))
 
 
 def with_period(rows: DataFrame, start: int, end: int, frequency: str = "full", at: str = "start_min") -> DataFrame:
@@ -88,13 +101,24 @@ def kpis(outages: DataFrame, keys: list[str], pop: DataFrame, period_minutes: in
     s = F.col("duration_minutes") >= sustained
     of = lambda c, x: F.sum(F.when(c, x).otherwise(0))
     one = F.lit(1).cast("long")
-    agg = outages.groupBy(*keys).agg(
-        F.count("*").alias("outage_count"), of(s, one).alias("sustained_count"), of(~F.col("planned"), one).alias("unplanned_count"), of(F.col("planned"), one).alias("planned_count"),
-        of(F.col("severe"), one).alias("severe_count"), of(F.col("cause") == "equipment_failure", one).alias("equipment_count"),
-        of(s & (F.col("duration_minutes") >= target), one).alias("prolonged_count"), of(s & (F.col("duration_minutes") <= target), one).alias("restored_in_target"),
-        of(s, F.col("customers")).alias("customer_interruptions"), of(s, F.col("customers") * F.col("duration_minutes")).alias("customer_minutes"),
-        F.avg(F.when(s, F.col("duration_minutes"))).alias("mean_duration"), F.median(F.when(s, F.col("duration_minutes"))).alias("median_duration"), F.max(F.when(s, F.col("duration_minutes"))).alias("max_duration"),
-        F.sum("load_mw").alias("load_lost"), *([F.max(period_minutes).alias("_period")] if isinstance(period_minutes, str) and period_minutes not in pop.columns else []))
+    held = [F.max(period_minutes).alias("_period")] if isinstance(period_minutes, str) and period_minutes not in pop.columns else []
+    # A row per key and duration: medians, means and bands follow from these, in memory of fixed size.
+    each = outages.groupBy(*keys, "duration_minutes").agg(
+        F.count("*").alias("_n"), of(~F.col("planned"), one).alias("_unplanned"), of(F.col("planned"), one).alias("_planned"), of(F.col("severe"), one).alias("_severe"), of(F.col("cause") == "equipment_failure", one).alias("_equipment"),
+        F.sum("customers").alias("_customers"), F.sum("load_mw").alias("_load"), *held)
+    length = F.when(s, F.col("duration_minutes"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum(F.when(s, F.col("_n")).otherwise(0)).over(group.orderBy("duration_minutes").rowsBetween(Window.unboundedPreceding, 0))
+    placed = each.withColumns({"_upto": upto, "_all": F.sum(F.when(s, F.col("_n")).otherwise(0)).over(group)})
+    at = lambda place: F.max(F.when(s & (F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto")), F.col("duration_minutes")))
+    median = (at(F.floor((F.col("_all") - 1) / 2)) + at(F.ceil((F.col("_all") - 1) / 2))) / 2
+    agg = placed.groupBy(*keys).agg(
+        F.sum("_n").alias("outage_count"), of(s, F.col("_n")).alias("sustained_count"), F.sum("_unplanned").alias("unplanned_count"), F.sum("_planned").alias("planned_count"),
+        F.sum("_severe").alias("severe_count"), F.sum("_equipment").alias("equipment_count"),
+        of(s & (F.col("duration_minutes") >= target), F.col("_n")).alias("prolonged_count"), of(s & (F.col("duration_minutes") <= target), F.col("_n")).alias("restored_in_target"),
+        of(s, F.col("_customers")).alias("customer_interruptions"), of(s, F.col("_customers") * F.col("duration_minutes")).alias("customer_minutes"),
+        ratio(F.sum(length * F.col("_n")), F.sum(F.when(s, F.col("_n")))).alias("mean_duration"), median.alias("median_duration"), F.max(length).alias("max_duration"),
+        F.sum("_load").alias("load_lost"), *([F.max("_period").alias("_period")] if held else []))
     if overlap:
         agg = agg.join(merged_minutes(outages.filter(s), keys), keys, "left")
     pop_keys = [k for k in keys if k in pop.columns]
@@ -113,6 +137,17 @@ def kpis(outages: DataFrame, keys: list[str], pop: DataFrame, period_minutes: in
     return out.withColumn("asui", 1 - F.col("asai")).drop("_period")
 
 
+#: What kpis and population read of outages.
+READ = ["start_min", "end_min", "duration_minutes", "customers", "load_mw", "planned", "cause", "severe"]
+
+
+def kpis_by_level(outages: DataFrame, levels: dict[str, str], spine: DataFrame, member: str, period_minutes: int, finest: str) -> DataFrame:
+    """KPIs of every entity of every level. `levels` maps a level to its column, in the outages and in the spine; `finest` is the column of
+    the level with most entities."""
+    rows = clustered(outages, [*levels.values(), *READ, member], finest)
+    return per_level(levels, lambda c: kpis(rows, [c], population(rows, spine, member, [c]), period_minutes))
+
+
 def score(k: DataFrame, least_population: int = 1) -> DataFrame:
     """Weighted reliability score and its band; null and INSUFFICIENT_DATA under the least population."""
     inv = lambda x, name: F.coalesce(clamp(100 * (1 - x / F.lit(WORST[name]))), F.lit(100.0))
@@ -156,7 +191,7 @@ BENCHMARK_METRICS = ("saifi", "saidi_minutes", "asai", "reliability_score")
 def benchmarks(k: DataFrame, peers: list[str], keys: list[str], scope: str = "peer") -> DataFrame:
     """(keys, metric, value, benchmark, gap, percentile): against the median of the peers (or of all, for scope "system");
     the percentile is the share of values up to this one, null with fewer than two."""
-    long = k.unpivot(keys, list(BENCHMARK_METRICS), "metric", "value").filter("value is not null")
+    long = written(k.select(*keys, *[p for p in peers if p not in keys], *BENCHMARK_METRICS)).unpivot(keys, list(BENCHMARK_METRICS), "metric", "value").filter("value is not null")
     by = [*(peers if scope == "peer" else []), "metric"]
     ranks = written(ordered.value_ranks(long, by, "value"))
     middle = ordered.median(ranks, by, "value", "benchmark")

@@ -3,10 +3,13 @@
 import contextlib
 import io
 import random
+import re
+import time
 
 import pytest
 
-from gridspark.operators import risk
+from gridspark.llm import licenses
+from gridspark.operators import documents, reliability, risk
 
 
 def plan(df):
@@ -45,3 +48,34 @@ def test_readings_are_added_up_before_they_meet_observations(spark, meters):
     """Distinct meters of pairs of reading and observation would shuffle a row for each such pair."""
     rows = spark.createDataFrame([("a", 5)], "entity_id string, obs long")
     assert "distinct meter_id" not in plan(risk.meter_features(rows, spark.createDataFrame(meters, METERS), 23))
+
+
+def test_flattening_stays_in_a_row(spark):
+    docs = spark.createDataFrame([(1, '{"a": {"b": {"c": {}, "d": [1, {"x": 2}]}, "e": null}, "t": "true", "u": true}'), (1, '[1, 2]'), (2, "no json"), (3, "{}")], "k long, j string")
+    got = documents.flattened(docs, ["k"], "j")
+    assert "Exchange" not in plan(got)
+    assert sorted((r.k, r.line_no, r.line) for r in got.collect()) == [(1, 1, 'a.b.d=[1,{"x":2}]'), (1, 1, "value=[1,2]"), (1, 2, "a.e=null"), (1, 3, "t=true"), (1, 4, "u=True")]
+
+
+def test_deciding_terms_of_a_licence_are_found_as_by_a_pattern_and_faster():
+    m = licenses.Matcher(licenses.LICENCES, {}, 1000, licenses.LEAST)
+    pattern = re.compile("|".join(rf"(?<![A-Za-z]){t}(?![A-Za-z])" if t.isalpha() else re.escape(t) for t in sorted(m.anchored, key=lambda t: (-len(t), t))), re.I | re.A)
+    rng, parts = random.Random(2), [*m.anchored, "MIT", "Zero", "\n", " ", "x", "\u00e9", "\u212a", "\u0130", "\u0660"]
+    for _ in range(2000):
+        text = "".join(rng.choices(parts, k=30))
+        assert m.lines(text) == [line for line in text.split("\n") if pattern.search(line)]
+    text = "lorem ipsum dolor sit amet " * 20000
+    began = time.perf_counter()
+    assert m.scan(text, False) == (None, 0.0)
+    middle = time.perf_counter()
+    assert not pattern.search(text)
+    assert (middle - began) * 3 < time.perf_counter() - middle
+
+
+def test_median_of_durations_from_counts(spark):
+    rows = [("a", d, 10, 1.0, False, "x", True) for d in (3, 5, 7, 7, 200)] + [("b", 4, 10, 1.0, True, "x", False), ("c", 9, 1, 1.0, None, None, None)]
+    o = spark.createDataFrame(rows, "e string, duration_minutes long, customers long, load_mw double, planned boolean, cause string, severe boolean")
+    k = reliability.kpis(o, ["e"], o.select("e").distinct().selectExpr("e", "4L AS population"), 100, overlap=False)
+    assert "median(" not in plan(k) and "percentile" not in plan(k).lower()
+    got = {r.e: (r.outage_count, r.sustained_count, r.mean_duration, r.median_duration, r.max_duration, r.unplanned_count, r.customer_minutes) for r in k.collect()}
+    assert got == {"a": (5, 4, 54.75, 7.0, 200, 5, 2190), "b": (1, 0, None, None, None, 0, 0), "c": (1, 1, 9.0, 9.0, 9, 0, 9)}
