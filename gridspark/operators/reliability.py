@@ -52,10 +52,9 @@ def per_level(levels: dict[str, str], of: Callable[[str], DataFrame]) -> DataFra
     return reduce(DataFrame.unionByName, [of(c).withColumnRenamed(c, "_entity").select(F.lit(level).alias("level"), F.col("_entity").cast("string").alias("entity_id"), "*").drop("_entity") for level, c in levels.items()])
 
 
-def clustered(outages: DataFrame, columns: list[str], by: str) -> DataFrame:
-    """The columns, written once with the rows of one `by` next to each other (a busy one in several parts), so that all that reads them
-    shares the joins behind them, and groups of `by` add up before they are shuffled."""
-    return written(outages.select(*columns).hint("rebalance", by))
+def shared_rows(outages: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, written once, so that all that reads them shares the joins behind them."""
+    return written(outages.select(*columns))
 
 
 def population(members: DataFrame, spine: DataFrame, member: str, keys: Sequence[str] = ("level", "entity_id")) -> DataFrame:
@@ -141,10 +140,9 @@ def kpis(outages: DataFrame, keys: list[str], pop: DataFrame, period_minutes: in
 READ = ["start_min", "end_min", "duration_minutes", "customers", "load_mw", "planned", "cause", "severe"]
 
 
-def kpis_by_level(outages: DataFrame, levels: dict[str, str], spine: DataFrame, member: str, period_minutes: int, finest: str) -> DataFrame:
-    """KPIs of every entity of every level. `levels` maps a level to its column, in the outages and in the spine; `finest` is the column of
-    the level with most entities."""
-    rows = clustered(outages, [*levels.values(), *READ, member], finest)
+def kpis_by_level(outages: DataFrame, levels: dict[str, str], spine: DataFrame, member: str, period_minutes: int) -> DataFrame:
+    """KPIs of every entity of every level. `levels` maps a level to its column, in the outages and in the spine."""
+    rows = shared_rows(outages, [*levels.values(), *READ, member])
     return per_level(levels, lambda c: kpis(rows, [c], population(rows, spine, member, [c]), period_minutes))
 
 
